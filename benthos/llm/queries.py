@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benthos.llm import encoding, mixing, packing, related_splits, shared_spans
+from benthos.llm import broken_pairs, cross_split, encoding, mixing, packing, related_splits, shared_spans
 from benthos.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return cross_split.overlaps(table(spark, d, "samples"))
+
+
+def p1_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return cross_split.overlap_report(table(spark, d, "samples"), p1_found(spark, d))
+
+
 def p3_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "samples"), table(spark, d, "data_arguments"), table(spark, d, "dataset_registry"))
 
@@ -21,6 +29,14 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "samples"), table(spark, d, "data_arguments"), table(spark, d, "dataset_registry"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return broken_pairs.defects(table(spark, d, "samples"), table(spark, d, "predictions"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return broken_pairs.defect_report(table(spark, d, "samples"), table(spark, d, "predictions"), p4_found(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return related_splits.groups(table(spark, d, "samples"))
 
@@ -63,7 +79,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p3_mixture, p3_shares, p5_found, p5_splits, p5_shares, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_report]
+    found = [p1_found, p1_overlap, p3_mixture, p3_shares, p4_found, p4_report, p5_found, p5_splits, p5_shares, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_report]
     return {f.__name__: f for f in found}
 
 
