@@ -1,29 +1,14 @@
-"""Queries of the core: name -> (spark, sf_dir) -> DataFrame, and their SQL twins."""
+"""All queries of the core."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from benthos.operators import packed_values
+from benthos.plans import boxes, evaluation  # noqa: F401  (they register)
+from benthos.plans.registry import QUERIES, SQL, query  # noqa: F401
 from benthos.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register the decorated function under its name, with its SQL twin if it has one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 @query()
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
