@@ -1,7 +1,7 @@
 """Problem 1: records of the evaluation splits that stand, exactly or almost, in the training split too.
 
 Records with equal pictures and equal normalised turns are one class (told by a 128-bit hash of its content, so that copies
-need no join). Classes are compared across splits by a weighted cosine join within a block (equal set of pictures, equal number
+need no join). Classes are compared across splits by a weighted cosine join within a block (equal set of pictures, digits and number
 of turns): terms are words with inverse document frequency over all records, kept if both splits have them; a class's terms, in
 order of document frequency, are put into inverted lists only as long as the rest of its vector could still reach the threshold,
 by the rest's norm and by the greatest weights that the other split has for the rest's terms in the block. Candidates get their
@@ -33,7 +33,8 @@ def normalised(samples: DataFrame) -> DataFrame:
     """(row_no, split_name, dataset, side, block, norm, k1, k2) of each row of a train, val or test split that has turns.
 
     norm: each turn but the system's, in lower case, `<image>` and all but letters, marks and digits taken as one space, Han
-    characters as words. block: the sorted set of pictures and the number of turns. A null value is an empty turn."""
+    characters as words. block: the sorted set of pictures, the digits of all turns in a row (a case never differs in a number,
+    see same_turn) and the number of turns. A null value is an empty turn."""
     text = F.transform(
         turns(F.col("conversations")),
         lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(t["value"], F.lit("")), "(?i)<image>", " ")), r"[^\p{L}\p{M}\p{N}]+", " "), r" *(\p{IsHan}) *", " $1 ")),
@@ -42,7 +43,9 @@ def normalised(samples: DataFrame) -> DataFrame:
     pictures = F.array_sort(F.array_distinct(F.array_compact(F.transform(F.coalesce(F.col("image"), F.array().cast("array<string>")), picture))))
     side = F.when(F.col("split_name") == "train", "train").when(F.col("split_name").isin("val", "test"), "eval")
     rows = samples.select("row_no", "split_name", "dataset", side.alias("side"), squeezed.alias("norm"), F.array_join(pictures, "|").alias("pictures"))
-    rows = rows.where("side is not null and row_no is not null and size(norm) > 0").withColumn("block", F.concat_ws("#", "pictures", F.size("norm"))).drop("pictures")
+    rows = rows.where("side is not null and row_no is not null and size(norm) > 0")
+    digits = F.regexp_replace(F.array_join("norm", ""), r"[^\p{N}]+", "")
+    rows = rows.withColumn("block", F.concat_ws("#", "pictures", F.xxhash64(digits), F.size("norm"))).drop("pictures")
     return rows.withColumns({"k1": F.xxhash64("block", "norm"), "k2": F.xxhash64(F.lit(17), "norm", F.lit(23), "block")})
 
 
