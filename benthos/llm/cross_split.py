@@ -89,18 +89,19 @@ def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
 
 def slip(a: str, b: str) -> bool:
-    """Whether b is a with a typing slip or two: letters left out, doubled, changed or swapped; digits never slip."""
+    """Whether b is a with a typing slip (in words of six letters or more, two): a letter left out, put in or swapped with the
+    next, in longer words also another one; digits never slip, nor do words of two letters."""
     if min(len(a), len(b)) < 3 or abs(len(a) - len(b)) > 2 or any(c.isdigit() for c in a + b):
         return a == b
-    allowed = 1 if max(len(a), len(b)) < 6 else 2
+    long = min(len(a), len(b)) >= 6
     last, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         before, last, row = last, row, [i] + [0] * len(b)
         for j, y in enumerate(b, 1):
-            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (0 if x == y else 1 if long else 2))
             if before and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 row[j] = min(row[j], before[j - 2] + 1)
-    return row[-1] <= allowed
+    return row[-1] <= (2 if long else 1)
 
 
 def same_turn(a: str, b: str, answer: bool) -> bool:

@@ -99,7 +99,7 @@ def deal(grouped: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     owes every split its share of all rows up to and including the band, less what the split has; the band's groups are counted
     out to the splits by what is owed and dealt in a fixed stride through their seeded order. Null or negative target shares
     count as 0; if all are 0, everything falls to the first split by name. Only bands (at most 64) are gathered."""
-    spark = grouped.sparkSession
+    spark, grouped = grouped.sparkSession, grouped.select("row_no", "group_no")
     sizes = durable(grouped.groupBy("group_no").agg(F.count(F.lit(1)).alias("n")).withColumn("band", F.floor(F.log2("n")).cast("int")))
     wanted = {r["split_name"]: max(r["target_share"] or 0.0, 0.0) for r in targets.where("split_name is not null").collect()}
     names = sorted(wanted, key=lambda k: (-wanted[k], k))
