@@ -40,6 +40,7 @@ def protected(s: str) -> bytearray:
     closes at its partner, a doubled partner stands for itself, and a single quote closes only before the end of a piece. A
     mark or bracket without a partner is an ordinary character."""
     out, i, n, start = bytearray(len(s)), 0, len(s), True
+    ends, open_marks = _brackets(s), set()
     while i < n:
         if start:
             m = _LEAD.match(s, i)
@@ -48,10 +49,12 @@ def protected(s: str) -> bytearray:
                 break
         c = s[i]
         end = -1
-        if c in _QUOTES and (start or c in '"“«„'):
+        if c in _QUOTES and (start or c in '"“«„') and c not in open_marks:
             end = _closing(s, i, _QUOTES[c], single=c in "'‘")
+            if end == -1:  # nor has any later one of its kind
+                open_marks.add(c)
         elif c in _BRACKETS:
-            end = _bracket(s, i)
+            end = ends.get(i, -1)
         if end > i:
             out[i : end + 1] = b"\1" * (end + 1 - i)
             i, start = end + 1, False
@@ -63,32 +66,33 @@ def protected(s: str) -> bytearray:
     return out
 
 
+_PIECE_END = re.compile(r"\s*(?:[\n\t;|•,/、，；.。]|\Z)")
+
+
 def _closing(s: str, at: int, mark: str, single: bool) -> int:
+    """Where the quotation that opens at `at` closes; -1 if it doesn't, -2 if nothing is in it."""
     i = at + 1
     while (i := s.find(mark, i)) >= 0:
         if s[i + 1 : i + 2] == mark and mark != "”" and i > at + 1:  # doubled
             i += 2
             continue
-        if not single or re.match(r"\s*(?:[\n\t;|•,/、，；.。]|$)", s[i + 1 : i + 40]) or not s[i + 1 :].strip():
-            return i if i > at + 1 else -1
+        if not single or _PIECE_END.match(s, i + 1):
+            return i if i > at + 1 else -2
         i += 1
     return -1
 
 
-def _bracket(s: str, at: int) -> int:
-    """The end of a bracket, with brackets inside; -1 if it isn't closed on its line."""
-    stack = []
-    for i in range(at, len(s)):
-        c = s[i]
+def _brackets(s: str) -> dict[int, int]:
+    """Where each bracket that is closed on its line is closed."""
+    stack, ends = [], {}
+    for i, c in enumerate(s):
         if c in _BRACKETS:
-            stack.append(_BRACKETS[c])
-        elif stack and c == stack[-1]:
-            stack.pop()
-            if not stack:
-                return i
+            stack.append((i, _BRACKETS[c]))
         elif c == "\n":
-            return -1
-    return -1
+            stack.clear()
+        elif stack and c == stack[-1][1]:
+            ends[stack.pop()[0]] = i
+    return ends
 
 
 def cuts(s: str, hidden: bytearray, delimiters: list[str]) -> list[str]:
