@@ -134,38 +134,42 @@ def matches(truth: DataFrame, found: DataFrame, most: int = 100) -> DataFrame:
     ship_code(truth.sparkSession)
     cols = ["run", "image", "category", "box_no", "x1", "y1", "x2", "y2", "score"]
     both = truth.withColumn("score", F.lit(None).cast("double")).select(*cols).unionByName(found.select(*cols))
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf[pdf["score"].isna()].sort_values("box_no")
-        p = pdf[pdf["score"].notna()].sort_values(["score", "box_no"], ascending=[False, True]).head(most)
-        run, image, category = pdf.iloc[0][["run", "image", "category"]]
-        gb, pb = (x[["x1", "y1", "x2", "y2"]].to_numpy(float) for x in (g, p))
-        ga, pa = ((b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) for b in (gb, pb))
-        wide = np.clip(np.minimum(pb[:, None, 2], gb[None, :, 2]) - np.maximum(pb[:, None, 0], gb[None, :, 0]), 0, None)
-        high = np.clip(np.minimum(pb[:, None, 3], gb[None, :, 3]) - np.maximum(pb[:, None, 1], gb[None, :, 1]), 0, None)
-        union = pa[:, None] + ga[None] - wide * high
-        over = np.where(union > 0, wide * high / np.where(union > 0, union, 1), 0)
-        rows = []
-        for area, (low, top) in AREAS.items():
-            beyond = (ga < low) | (ga > top)
-            n = int((~beyond).sum())
-            for k, t in enumerate(THRESHOLDS):
-                rows.append((run, category, area, k, n, image, -1, 0.0, False, False))
-                free = np.ones(len(ga), bool)
-                for rank in range(len(pa)):
-                    hit = -1
-                    for inside in (~beyond, beyond):  # one in the range goes before any beyond it
-                        can = np.flatnonzero(free & inside & (over[rank] >= min(t, 1 - 1e-10)))
-                        if len(can):
-                            hit = can[over[rank, can] == over[rank, can].max()][-1]
-                            break
-                    if hit >= 0:
-                        free[hit] = False
-                    ignored = bool(beyond[hit]) if hit >= 0 else bool(pa[rank] < low or pa[rank] > top)
-                    rows.append((run, category, area, k, rank, image, int(p["box_no"].iloc[rank]), float(p["score"].iloc[rank]), hit >= 0, ignored))
-        return pd.DataFrame(rows, columns=["run", "category", "area", "t", "rank", "image", "pred_no", "score", "hit", "ignored"])
-
-    return both.groupBy("run", "image", "category").applyInPandas(group, "run string, category string, area string, t int, rank int, image string, pred_no long, score double, hit boolean, ignored boolean")
+    true = F.when(F.col("score").isNull(), F.struct("box_no", "x1", "y1", "x2", "y2"))
+    hit_first = F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("minus"), "box_no", "x1", "y1", "x2", "y2"))
+    grouped = both.groupBy("run", "image", "category").agg(F.sort_array(F.collect_list(true)).alias("g"), F.slice(F.sort_array(F.collect_list(hit_first)), 1, most).alias("p"))
+    corners = lambda boxes: np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in boxes], float).reshape(-1, 4)
+
+    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for run, image, category, g, p in zip(f["run"], f["image"], f["category"], f["g"], f["p"]):
+                gb, pb = corners(g), corners(p)
+                ga, pa = ((b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) for b in (gb, pb))
+                wide = np.clip(np.minimum(pb[:, None, 2], gb[None, :, 2]) - np.maximum(pb[:, None, 0], gb[None, :, 0]), 0, None)
+                high = np.clip(np.minimum(pb[:, None, 3], gb[None, :, 3]) - np.maximum(pb[:, None, 1], gb[None, :, 1]), 0, None)
+                union = pa[:, None] + ga[None] - wide * high
+                over = np.where(union > 0, wide * high / np.where(union > 0, union, 1), 0)
+                best = over.max(1, initial=0.0).tolist()
+                for area, (low, top) in AREAS.items():
+                    beyond = (ga < low) | (ga > top)
+                    n = int((~beyond).sum())
+                    for k, t in enumerate(THRESHOLDS):
+                        rows.append((run, category, area, k, n, image, -1, 0.0, False, False))
+                        free = np.ones(len(ga), bool)
+                        for rank in range(len(pa)):
+                            hit = -1
+                            for inside in (~beyond, beyond) if best[rank] >= t - 1e-12 else ():  # one in the range goes before any beyond it
+                                can = np.flatnonzero(free & inside & (over[rank] >= min(t, 1 - 1e-10)))
+                                if len(can):
+                                    hit = can[over[rank, can] == over[rank, can].max()][-1]
+                                    break
+                            if hit >= 0:
+                                free[hit] = False
+                            ignored = bool(beyond[hit]) if hit >= 0 else bool(pa[rank] < low or pa[rank] > top)
+                            rows.append((run, category, area, k, rank, image, int(p[rank]["box_no"]), -float(p[rank]["minus"]), hit >= 0, ignored))
+            yield pd.DataFrame(rows, columns=["run", "category", "area", "t", "rank", "image", "pred_no", "score", "hit", "ignored"])
+
+    return grouped.mapInPandas(match, "run string, category string, area string, t int, rank int, image string, pred_no long, score double, hit boolean, ignored boolean")
 
 
 def average_precision(matched: DataFrame) -> DataFrame:
