@@ -44,6 +44,24 @@ def parse_json(c: Column) -> Column:
     return F.transform(ok, lambda r: F.struct(F.lower(r["label"]).alias("category"), r["bbox_2d"][0].alias("x1"), r["bbox_2d"][1].alias("y1"), r["bbox_2d"][2].alias("x2"), r["bbox_2d"][3].alias("y2")))
 
 
+def parse_any(df: DataFrame, c: str) -> DataFrame:
+    """df with <c>_kind and <c>_boxes, the boxes of a text in the dialect it is written in: json (from a brace on), plain, none (no
+    box, or no text), unreadable (JSON that is cut off or holds no whole box, or a plain line without numbers)."""
+    text = without_tokens(F.col(c))
+    is_json = F.col(c).rlike(r"^\s*\{")
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    parsed = df.withColumns({"_json": F.when(is_json & whole, parse_json(F.col(c))), "_plain": F.when(~is_json, parse_plain(F.col(c)))})
+    numbers = F.forall("_json", lambda b: b["x1"].isNotNull() & b["y1"].isNotNull() & b["x2"].isNotNull() & b["y2"].isNotNull())
+    kind = (
+        F.when(F.col(c).isNull(), "none")
+        .when(is_json, F.when(numbers & (F.size("_json") > 0), "json").otherwise("unreadable"))
+        .when(F.col("_plain").isNull(), "unreadable")
+        .when(F.size("_plain") > 0, "plain")
+        .otherwise("none")
+    )
+    return parsed.withColumn(f"{c}_kind", kind).withColumn(f"{c}_boxes", F.when(F.col(f"{c}_kind") == "json", F.col("_json")).when(F.col(f"{c}_kind") == "plain", F.col("_plain"))).drop("_json", "_plain")
+
+
 def extract_json(c: Column) -> Column:
     """The box objects that stand anywhere in a text; broken ones are skipped."""
     found = F.regexp_extract_all(c, F.lit(r'\{[^{}]*"bbox_2d"[^{}]*\}'), 0)

@@ -105,8 +105,8 @@ bf AS (SELECT model_id, id, fno, max(iou) AS iou FROM o WHERE fno IS NOT NULL GR
 SELECT model_id, n_pictures, n_boxes, n_found, miou, h5/n_found AS precision50, h7/n_found AS precision75, h5/n_boxes AS recall50, h7/n_boxes AS recall75 FROM l JOIN r USING (model_id)"""
 
 
-def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """True and found boxes of the last answers: (model_id, id, category, box_no, x1, y1, x2, y2)."""
+def _plain_boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """True and found boxes of the last answers in the plain dialect: (model_id, id, category, box_no, x1, y1, x2, y2)."""
     last = E.last_predictions(table(spark, d, "predictions").select("model_id", "id", "text", "gt", "answered_at", "pred_no"))
     of = lambda c: last.select("model_id", "id", F.posexplode(B.parse_plain(F.col(c))).alias("box_no", "b")).select("model_id", "id", "box_no", "b.*")
     return of("gt"), of("text")
@@ -114,10 +114,57 @@ def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(BOXES + GROUND)
 def grounding_metrics(spark: SparkSession, d: str) -> DataFrame:
-    truth, found = _boxes(spark, d)
+    """Of plain boxes only, as the SQL twin has it; grounding_metrics_all scores both dialects."""
+    truth, found = _plain_boxes(spark, d)
     return B.grounding(truth, found, ["model_id", "id"], ["model_id"])
 
 
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """The last answers with gt_kind, gt_boxes, text_kind, text_boxes, sized (the input's sides are known), unscaled (JSON boxes
+    without them) and unscalable (these on one side, plain ones on the other: nothing brings them to one scale)."""
+    last = E.last_predictions(table(spark, d, "predictions").select("model_id", "id", "text", "gt", "input_width", "input_height", "answered_at", "pred_no"))
+    both = B.parse_any(B.parse_any(last, "gt"), "text")
+    sized = F.coalesce((F.col("input_width") > 0) & (F.col("input_height") > 0), F.lit(False))
+    kinds = F.array("gt_kind", "text_kind")
+    unscaled = ~F.col("sized") & F.array_contains(kinds, "json")
+    return both.withColumn("sized", sized).withColumns({"unscaled": unscaled, "unscalable": unscaled & F.array_contains(kinds, "plain")})
+
+
+def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """True and found boxes of the last answers in either dialect: (model_id, id, category, box_no, x1, y1, x2, y2), as shares of
+    the sides. JSON boxes are divided by the input's sides; where these are unknown, both sides stay in pixels, by the thousand,
+    which leaves the overlap as it is. Only unscalable answers are left out."""
+    answers = _answers(spark, d).where("not unscalable")
+
+    def of(c: str) -> DataFrame:
+        b = answers.select("model_id", "id", "sized", "input_width", "input_height", F.col(f"{c}_kind").alias("kind"), F.posexplode(f"{c}_boxes").alias("box_no", "b"))
+        side = lambda x, s: F.when(F.col("kind") == "plain", F.col(f"b.{x}")).otherwise(F.col(f"b.{x}") / F.when(F.col("sized"), F.col(s)).otherwise(1000)).alias(x)
+        return b.select("model_id", "id", "box_no", "b.category", side("x1", "input_width"), side("y1", "input_height"), side("x2", "input_width"), side("y2", "input_height"))
+
+    return of("gt"), of("text")
+
+
+@query()
+def box_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Per model, the last answers by what their truth and text are read as, their boxes, and those that were not brought to one
+    scale: unscaled (compared in pixels) and, among these, unscalable (not compared)."""
+    kinds = [F.count_if(F.col(f"{c}_kind") == k).alias(f"n_{name}_{k}") for c, name in (("gt", "true"), ("text", "found")) for k in ("plain", "json", "none", "unreadable")]
+    boxes = [F.sum(F.when(F.col(f"{c}_boxes").isNotNull(), F.size(f"{c}_boxes")).otherwise(0)).alias(f"n_boxes_{name}") for c, name in (("gt", "true"), ("text", "found"))]
+    return _answers(spark, d).groupBy("model_id").agg(F.count(F.lit(1)).alias("n_answers"), *kinds, *boxes, F.count_if("unscaled").alias("n_unscaled"), F.count_if("unscalable").alias("n_unscalable"))
+
+
+def _dropped(spark: SparkSession, d: str) -> DataFrame:
+    """What box_audit counts as unread or unscaled, to stand beside a metric."""
+    return box_audit(spark, d).select("model_id", "n_true_unreadable", "n_found_unreadable", "n_unscaled", "n_unscalable")
+
+
+@query()
+def grounding_metrics_all(spark: SparkSession, d: str) -> DataFrame:
+    """grounding_metrics of boxes in both dialects, with the answers that could not be read or scaled."""
+    truth, found = _boxes(spark, d)
+    return B.grounding(truth, found, ["model_id", "id"], ["model_id"]).join(_dropped(spark, d), "model_id")
+
+
 def _coco(spark: SparkSession, d: str) -> DataFrame:
     scale = lambda df: df.select(F.col("model_id").alias("run"), F.col("id").alias("image"), "category", F.col("box_no").cast("long").alias("box_no"), *((F.col(c) * 1000).alias(c) for c in ("x1", "y1", "x2", "y2")))
     truth, found = (scale(x) for x in _boxes(spark, d))
@@ -126,12 +173,15 @@ def _coco(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def detection_coco_ap(spark: SparkSession, d: str) -> DataFrame:
-    """(run, area, ap, ap50, ap75, ar): means over categories, and over thresholds; all found boxes have one score."""
+    """(run, area, ap, ap50, ap75, ar, and the answers not read or scaled): means over categories, and over thresholds; all found
+    boxes have one score."""
     cells = _coco(spark, d)
     at = lambda k: F.avg(F.when(F.col("t") == k, F.col("ap")))
-    return cells.groupBy("run", "area").agg(F.avg("ap").alias("ap"), at(0).alias("ap50"), at(5).alias("ap75"), F.avg("recall").alias("ar"))
+    means = cells.groupBy("run", "area").agg(F.avg("ap").alias("ap"), at(0).alias("ap50"), at(5).alias("ap75"), F.avg("recall").alias("ar"))
+    return means.join(_dropped(spark, d).withColumnRenamed("model_id", "run"), "run")
 
 
 @query()
 def detection_by_category(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of detection_coco_ap at 0.5 and 0.75; box_audit counts what was not read or scaled."""
     return _coco(spark, d).where("area = 'all' and t in (0, 5)")
