@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from benthos.functions import text as T
 from benthos.session import ship_code
 
 MAX_N = 4
@@ -93,7 +94,9 @@ def soft_score(k: Column) -> Column:
 
 
 def anls(answer: Column, truths: Column) -> Column:
-    """The best of 1 - edit distance / longer length over the truths, 0 below a half; equal empty ones are 1."""
-    near = F.transform(truths, lambda t: F.coalesce(1 - F.try_divide(F.levenshtein(F.lower(F.trim(answer)), F.lower(F.trim(t))), F.greatest(F.length(F.trim(answer)), F.length(F.trim(t)))), F.lit(1.0)))
+    """The best of 1 - edit distance / longer length over the truths, 0 below a half; equal empty ones are 1. White space of any
+    script around them and letter case do not count."""
+    a = T.normal_label(answer)
+    near = F.transform(F.transform(truths, T.normal_label), lambda t: F.coalesce(1 - F.try_divide(F.levenshtein(a, t), F.greatest(F.length(a), F.length(t))), F.lit(1.0)))
     best = F.array_max(near)
     return F.when(best >= 0.5, best).otherwise(0.0)

@@ -86,10 +86,21 @@ def vqa_soft_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT model_id, count(*) AS n, avg(CASE WHEN s >= 0.5 THEN s ELSE 0 END) AS anls FROM (SELECT model_id, coalesce(1-levenshtein(lower(trim(text)), lower(trim(gt)))/nullif(greatest(length(trim(text)), length(trim(gt))),0), 1) AS s FROM predictions WHERE answer_form='label' AND text IS NOT NULL AND gt IS NOT NULL AND regexp_matches(text || gt, '^[ -~]*$')) GROUP BY 1""")
 def vqa_anls(spark: SparkSession, d: str) -> DataFrame:
+    """Of answers and truths in printable ASCII only, as the SQL twin has it; vqa_anls_all scores all."""
     p = table(spark, d, "predictions").where("answer_form = 'label' and text is not null and gt is not null").where(F.concat("text", "gt").rlike(r"^[ -~]*\z"))
+    return _anls(p)
+
+
+def _anls(p: DataFrame) -> DataFrame:
     return p.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.avg(C.anls(F.col("text"), F.array("gt"))).alias("anls"))
 
 
+@query()
+def vqa_anls_all(spark: SparkSession, d: str) -> DataFrame:
+    """vqa_anls of every label answer with a truth, in whatever script and with white space around it or not."""
+    return _anls(table(spark, d, "predictions").where("answer_form = 'label' and text is not null and gt is not null"))
+
+
 @query()
 def normal_answers(spark: SparkSession, d: str) -> DataFrame:
     """Free answers as the answer normaliser gives them."""
