@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -142,19 +142,40 @@ for _style, _sql in _CASES.items():
 
 @query(TURNS + ", m AS (SELECT row_no, t, list_transform(t, lambda x: len(list_filter(regexp_split_to_array(x.v, '\\s+'), lambda w: w <> ''))) AS n FROM t) SELECT row_no, len(t) AS n_turns, list_sum(n)::BIGINT AS n_tokens, coalesce(list_sum(list_transform(range(1,len(t)+1), lambda i: CASE WHEN t[i].h THEN 0 ELSE n[i] END)),0)::BIGINT AS n_labels, coalesce(len(list_filter(range(1,len(t)+1), lambda i: t[i].h <> (i % 2 = 1))),0) = 0 AS alternates FROM m")
 def target_masks(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of each conversation, those that count as labels, and whether its turns alternate."""
-    m = _turns(spark, d).withColumn("l", V.labelled(F.transform("t", lambda x: F.struct(x["human"].alias("human"), F.regexp_replace(x["value"], "[\\u00a0\\u3000\\u2028\\u200b]", "x").alias("value")))))
+    """Tokens of each conversation, those that count as labels, and whether its turns alternate. The twin parts words at ASCII white
+    space only, so any other is made a letter first; target_masks_all gives the tokens as they are."""
+    return _masks(_turns(spark, d), lambda v: F.regexp_replace(v, "[\\u00a0\\u3000\\u2028\\u200b]", "x"))
+
+
+def _masks(turns: DataFrame, clean) -> DataFrame:
+    m = turns.withColumn("l", V.labelled(F.transform("t", lambda x: F.struct(x["human"].alias("human"), clean(x["value"]).alias("value")))))
     return m.select("row_no", F.size("t").cast("long").alias("n_turns"), F.size("l.ids").cast("long").alias("n_tokens"), F.size(F.filter("l.labels", lambda x: x != V.IGNORED)).cast("long").alias("n_labels"), V.alternates(F.col("t")).alias("alternates"))
 
 
+@query()
+def target_masks_all(spark: SparkSession, d: str) -> DataFrame:
+    """target_masks of the texts as they are, words parted by white space of any script."""
+    return _masks(_turns(spark, d), lambda v: v)
+
+
 @query("""WITH p AS (SELECT pred_no, string_split(coalesce(prompt, ''), '<image>') AS s FROM predictions) SELECT pred_no, len(s)-1 AS n_images, 1+len(s)-1+list_sum(list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> ''))))::BIGINT AS n_tokens, 1+2*(len(s)-1)+list_sum(list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> ''))))::BIGINT AS n_doubled FROM p""")
 def image_splice(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts' tokens with an image token in place of each `<image>`; and with these doubled."""
-    clean = F.regexp_replace(F.coalesce("prompt", F.lit("")), "[\\u00a0\\u3000\\u2028\\u200b]", "x")
-    p = table(spark, d, "predictions").select("pred_no", V.splice_image(clean).alias("ids"))
+    """Prompts' tokens with an image token in place of each `<image>`; and with these doubled. Only ASCII white space parts words
+    here, as in target_masks; image_splice_all gives the tokens as they are."""
+    return _spliced(table(spark, d, "predictions"), F.regexp_replace(F.coalesce("prompt", F.lit("")), "[\\u00a0\\u3000\\u2028\\u200b]", "x"))
+
+
+def _spliced(predictions: DataFrame, prompt: Column) -> DataFrame:
+    p = predictions.select("pred_no", V.splice_image(prompt).alias("ids"))
     return p.select("pred_no", F.size(F.filter("ids", lambda x: x == V.IMAGE)).cast("long").alias("n_images"), F.size("ids").cast("long").alias("n_tokens"), F.size(V.double_images(F.col("ids"))).cast("long").alias("n_doubled"))
 
 
+@query()
+def image_splice_all(spark: SparkSession, d: str) -> DataFrame:
+    """image_splice of the prompts as they are, words parted by white space of any script."""
+    return _spliced(table(spark, d, "predictions"), F.coalesce("prompt", F.lit("")))
+
+
 @query(r"SELECT pred_no, CASE WHEN contains(prompt, '<image>') THEN E'<image>\n' || " + STRIP.format("replace(prompt, '<image>', '')") + " ELSE prompt END AS prompt, ((length(prompt)-length(replace(prompt,'<image>','')))/7)::INT AS n_images FROM predictions WHERE prompt IS NOT NULL")
 def prompt_image_first(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "predictions").where("prompt is not null").select("pred_no", T.with_image_first(F.col("prompt")).alias("prompt"), T.media_tokens(F.col("prompt")).alias("n_images"))
