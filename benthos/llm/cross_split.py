@@ -1,8 +1,8 @@
 """Problem 1: records of the evaluation splits that stand, exactly or almost, in the training split too.
 
 Records with equal pictures and equal normalised turns are one class (told by a 128-bit hash of its content, so that copies
-need no join). Classes are compared across splits by a weighted cosine join within a block (equal set of pictures, digits and number
-of turns): terms are words with inverse document frequency over all records, kept if both splits have them; a class's terms, in
+need no join). Classes are compared across splits by a weighted cosine join within a block (equal set of pictures and number of
+turns; without pictures, equal digits too): terms are words with inverse document frequency over all records, kept if both splits have them; a class's terms, in
 order of document frequency, are put into inverted lists only as long as the rest of its vector could still reach the threshold,
 by the rest's norm and by the greatest weights that the other split has for the rest's terms in the block. Candidates get their
 exact dot product; those that reach it are aligned turn by turn, since a case may differ by a few words only."""
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from benthos.functions.text import NUMBER_WORDS
 from benthos.llm.related_splits import picture
 from benthos.operators.packed_values import turns
 from benthos.operators.skew import hot_split_join
@@ -27,14 +28,16 @@ THRESHOLD = 0.5
 #: Words of a turn that may be replaced or added, typing slips aside.
 MAX_CHANGED = 4
 CLASS = ["k1", "k2"]
+#: Numbers spelt out that are equal to their digits.
+SPELT = {w: n for w, n in NUMBER_WORDS.items() if w != "none"}
 
 
 def normalised(samples: DataFrame) -> DataFrame:
     """(row_no, split_name, dataset, side, block, norm, k1, k2) of each row of a train, val or test split that has turns.
 
     norm: each turn but the system's, in lower case, `<image>` and all but letters, marks and digits taken as one space, Han
-    characters as words. block: the sorted set of pictures, the digits of all turns in a row (a case never differs in a number,
-    see same_turn) and the number of turns. A null value is an empty turn."""
+    characters as words. block: the sorted set of pictures, the digits of all turns in a row if there is no picture (these blocks
+    would be too great otherwise) and the number of turns. A null value is an empty turn."""
     text = F.transform(
         turns(F.col("conversations")),
         lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(t["value"], F.lit("")), "(?i)<image>", " ")), r"[^\p{L}\p{M}\p{N}]+", " "), r" *(\p{IsHan}) *", " $1 ")),
@@ -45,7 +48,7 @@ def normalised(samples: DataFrame) -> DataFrame:
     rows = samples.select("row_no", "split_name", "dataset", side.alias("side"), squeezed.alias("norm"), F.array_join(pictures, "|").alias("pictures"))
     rows = rows.where("side is not null and row_no is not null and size(norm) > 0")
     digits = F.regexp_replace(F.array_join("norm", ""), r"[^\p{N}]+", "")
-    rows = rows.withColumn("block", F.concat_ws("#", "pictures", F.xxhash64(digits), F.size("norm"))).drop("pictures")
+    rows = rows.withColumn("block", F.concat_ws("#", "pictures", F.when(F.col("pictures") == "", F.xxhash64(digits)), F.size("norm"))).drop("pictures")
     return rows.withColumns({"k1": F.xxhash64("block", "norm"), "k2": F.xxhash64(F.lit(17), "norm", F.lit(23), "block")})
 
 
@@ -105,8 +108,8 @@ def slip(a: str, b: str) -> bool:
 
 
 def same_turn(a: str, b: str, answer: bool) -> bool:
-    """Whether two normalised turns differ only in typing slips and a word or two replaced or added. A number never differs, and
-    an answer of up to three words may only get words added."""
+    """Whether two normalised turns differ only in typing slips and a word or two replaced or added. A number may be spelt out
+    or, in a question, added, but never replaced; an answer of up to three words may only get words added."""
     if a == b or a.replace(" ", "") == b.replace(" ", ""):
         return True
     wa, wb = a.split(), b.split()
@@ -118,11 +121,11 @@ def same_turn(a: str, b: str, answer: bool) -> bool:
             continue
         left, right = wa[i1:i2], wb[j1:j2]
         for x in list(left):  # slips, in order
-            k = next((k for k, y in enumerate(right) if slip(x, y)), None)
+            k = next((k for k, y in enumerate(right) if slip(x, y) or SPELT.get(x, x) == SPELT.get(y, y)), None)
             if k is not None:
                 left.remove(x)
                 del right[k]
-        if any(c.isdigit() for w in left + right for c in w):
+        if any(c.isdigit() for w in left + right for c in w) and (answer or left and right):
             return False
         changed += max(len(left), len(right))
         replaced += min(len(left), len(right))

@@ -65,3 +65,17 @@ def test_join_loses_no_pair(spark):
     side = {r[0]: r[3] for r in rows}
     expected = sorted((min(a, b), max(a, b)) for a in norm for b in norm if side[a] == "train" and side[b] == "test" and X.same_record(norm[a], norm[b]))
     assert found(spark, rows) == expected and expected
+
+
+def test_numbers_added_or_spelt_out(spark):
+    rows = [
+        record(1, "train", Q, "There are two sponges."),
+        record(2, "val", Q, "There are 2 sponges."),
+        record(3, "val", Q.replace("tyre", "tyre 7"), "There are two sponges."),
+        record(4, "val", Q, "There are 3 sponges."),
+        record(5, "val", Q.replace("tyre", "tyre 7"), "There are two sponges.", images=("other.jpg",)),
+    ]
+    noise = [record(100 + k, ["train", "val"][k % 2], f"What about the {w} here?", f"It is the {w} by the rock.") for k, w in enumerate(["reef", "ray", "eel", "net"] * 4)]
+    assert [p for p in found(spark, rows + noise) if max(p) < 100] == [(1, 2), (1, 3)]
+    assert not X.same_turn("how deep is buoy 3 here", "how deep is buoy 4 here", answer=False)
+    assert not X.same_turn("it lies by the old rusty buoy", "it lies by the old rusty buoy 4", answer=True)
