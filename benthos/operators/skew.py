@@ -37,3 +37,21 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Colum
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)) - 1)
     joined = ranked.join(offsets.withColumnsRenamed({k: f"_k_{k}" for k in keys} | {"_salt": "_osalt"}), [*(F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys), F.col("_salt") == F.col("_osalt")])
     return joined.withColumn(name, F.col("_rn") + F.col("_offset")).drop("_rn", "_offset", "_salt", "_osalt", *(f"_k_{k}" for k in keys))
+
+
+def counted_join(left: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """hot_split_join for a left that has no counts yet: its rows are counted by key first, so left should be cheap to read again."""
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
+    total, most = counts.agg(F.sum("_count"), F.max("_count")).first()
+    if not total or most <= max(total // HOT_PARTS, 10_000):
+        return left.join(keyed, keys)
+    return hot_split_join(left, keyed.join(counts, keys), keys, "_count", total).drop("_count")
+
+
+def celled(df: DataFrame, own: Column, others: Column, salt: Column, first: bool, cell: int = 2000) -> DataFrame:
+    """df ready for a join of two many-rowed sides on a hot key: own and others are the numbers of rows that the key has on this
+    and on the other side. Each side is dealt by salt (a hash) to groups of about `cell` rows, and repeated for every group of the
+    other side, so that a task meets cell x cell rows at most. Join on the key, _c1 and _c2; first tells the sides apart."""
+    mine = F.pmod(salt, F.greatest(F.lit(1), F.ceil(own / cell))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), (F.greatest(F.lit(1), F.ceil(others / cell)) - 1).cast("int")))
+    return df.withColumn("_c1" if first else "_c2", mine).withColumn("_c2" if first else "_c1", every)
