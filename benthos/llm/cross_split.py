@@ -1,11 +1,12 @@
 """Problem 1: records of the evaluation splits that stand, exactly or almost, in the training split too.
 
-Records with equal pictures and equal normalised turns are one class (told by a 128-bit hash of its content, so that copies
-need no join). Classes are compared across splits by a weighted cosine join within a block (equal set of pictures and number of
-turns; without pictures, equal digits too): terms are words with inverse document frequency over all records, kept if both splits have them; a class's terms, in
-order of document frequency, are put into inverted lists only as long as the rest of its vector could still reach the threshold,
-by the rest's norm and by the greatest weights that the other split has for the rest's terms in the block. Candidates get their
-exact dot product; those that reach it are aligned turn by turn, since a case may differ by a few words only."""
+Records with equal pictures and equal normalised turns, spaces aside, are one class (told by a 128-bit hash of its content, so that
+copies need no join). Classes are compared across splits by a weighted cosine join within a block (equal set of pictures and number
+of turns): a term is a word in its turn, numbers among them, weighted with its inverse document frequency over all records. A class's
+terms, rarest first, are put into inverted lists only as long as the rest of its vector could still reach the threshold, by the
+rest's norm and by the greatest weights that the other split has for the rest's terms in the block; two entries of a list make a
+candidate only if the product of their residual norms can reach it. Candidates get their exact dot product; those that reach it are
+aligned turn by turn, since a case may differ by a word or two only."""
 
 from __future__ import annotations
 
@@ -13,80 +14,97 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from benthos.functions.text import NUMBER_WORDS
 from benthos.llm.related_splits import picture
 from benthos.operators.packed_values import turns
-from benthos.operators.skew import hot_split_join
-from benthos.session import durable, ship_code
+from benthos.operators.skew import celled, counted_join, hot_split_join
+from benthos.session import durable, ship_code, spread, written
 
-#: Least cosine of candidates that are aligned. Low, since a few added rare words weigh much in a short record.
+#: Least cosine of candidates that are aligned. Low, since a slip or an added rare word weighs much in a short record.
 THRESHOLD = 0.5
-#: Words of a turn that may be replaced or added, typing slips aside.
-MAX_CHANGED = 4
+#: What may be replaced or added in a turn, typing slips aside: a word counts 1, a number or a word of one or two letters half.
+MAX_CHANGED = 2.0
 CLASS = ["k1", "k2"]
+#: Rows of a class that are kept together when its pairs are written out.
+HELD = 1000
 #: Numbers spelt out that are equal to their digits.
 SPELT = {w: n for w, n in NUMBER_WORDS.items() if w != "none"}
 
 
+def normal_turn(value: Column) -> Column:
+    """The words of a turn in lower case, parted by one space: `<image>` and all but letters, marks and digits part words, Han
+    characters are words, numbers spelt out are digits, and a decimal part of zero is left out. A null value is empty."""
+    low = F.replace(F.lower(F.coalesce(value, F.lit(""))), F.lit("<image>"), F.lit(" "))
+    whole = F.when(low.rlike("[0-9][.,]0"), F.regexp_replace(low, r"([0-9])[.,]0{1,2}(?![0-9])", "$1")).otherwise(low)
+    words = F.regexp_extract_all(whole, F.lit(r"\p{IsHan}|[\p{L}\p{M}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
+    spelt = F.create_map(*(F.lit(x) for kv in SPELT.items() for x in kv))
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(spelt, w), w)), " ")
+
+
 def normalised(samples: DataFrame) -> DataFrame:
-    """(row_no, split_name, dataset, side, block, norm, k1, k2) of each row of a train, val or test split that has turns.
-
-    norm: each turn but the system's, in lower case, `<image>` and all but letters, marks and digits taken as one space, Han
-    characters as words. block: the sorted set of pictures, the digits of all turns in a row if there is no picture (these blocks
-    would be too great otherwise) and the number of turns. A null value is an empty turn."""
-    text = F.transform(
-        turns(F.col("conversations")),
-        lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(t["value"], F.lit("")), "(?i)<image>", " ")), r"[^\p{L}\p{M}\p{N}]+", " "), r" *(\p{IsHan}) *", " $1 ")),
-    )
-    squeezed = F.transform(text, lambda t: F.trim(F.regexp_replace(t, " +", " ")))
-    pictures = F.array_sort(F.array_distinct(F.array_compact(F.transform(F.coalesce(F.col("image"), F.array().cast("array<string>")), picture))))
+    """(row_no, side, block, pictures, norm, k1, k2) of each row of a train, val or test split that has turns.
+
+    norm: the words of each turn but the system's. pictures: the sorted set of pictures; block: a hash of it and of the number of
+    turns. k1, k2 tell records that are equal but for spaces."""
+    norm = F.transform(turns(F.col("conversations")), lambda t: normal_turn(t["value"]))
+    pictures = F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.transform(F.coalesce(F.col("image"), F.array().cast("array<string>")), picture)))), "|")
     side = F.when(F.col("split_name") == "train", "train").when(F.col("split_name").isin("val", "test"), "eval")
-    rows = samples.select("row_no", "split_name", "dataset", side.alias("side"), squeezed.alias("norm"), F.array_join(pictures, "|").alias("pictures"))
-    rows = rows.where("side is not null and row_no is not null and size(norm) > 0")
-    digits = F.regexp_replace(F.array_join("norm", ""), r"[^\p{N}]+", "")
-    rows = rows.withColumn("block", F.concat_ws("#", "pictures", F.when(F.col("pictures") == "", F.xxhash64(digits)), F.size("norm"))).drop("pictures")
-    return rows.withColumns({"k1": F.xxhash64("block", "norm"), "k2": F.xxhash64(F.lit(17), "norm", F.lit(23), "block")})
+    rows = samples.select("row_no", side.alias("side"), norm.alias("norm"), pictures.alias("pictures")).where("side is not null and row_no is not null and size(norm) > 0")
+    rows = rows.withColumns({"block": F.xxhash64("pictures", F.size("norm")), "_s": F.transform("norm", lambda t: F.replace(t, F.lit(" "), F.lit("")))})
+    return rows.withColumns({"k1": F.xxhash64("pictures", "_s"), "k2": F.xxhash64(F.lit(17), "_s", F.lit(23), "pictures")}).drop("_s")
+
+
+def terms(norm: Column) -> Column:
+    """A hash of each different word of each turn and of the turn's number."""
+    each = F.transform(norm, lambda t, k: F.transform(F.filter(F.array_distinct(F.split(t, " ")), lambda w: w != ""), lambda w: F.xxhash64(k, w)))
+    return F.flatten(each)
 
 
 def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(t1, t2, e1, e2, norm_t, norm_e, dot): the pairs of different classes, one with train and one with eval rows, whose cosine
-    reaches the threshold."""
-    made = rows.groupBy(*CLASS).agg(F.first("block").alias("block"), F.first("norm").alias("norm"), F.count_if(F.col("side") == "train").alias("n_train"), F.count_if(F.col("side") == "eval").alias("n_eval"))
-    words = F.array_distinct(F.filter(F.split(F.array_join("norm", " "), " +"), lambda w: w != ""))
-    classes = durable(made.withColumn("words", words))
-    n_classes = classes.count()
-    # document frequencies over all records, by split
-    df = classes.select("n_train", "n_eval", F.explode("words").alias("word")).groupBy("word").agg(F.sum("n_train").alias("df_train"), F.sum("n_eval").alias("df_eval"), F.count(F.lit(1)).alias("_n"))
-    n_rows = classes.agg(F.sum(F.col("n_train") + F.col("n_eval"))).first()[0] or 0
-    freq = F.col("df_train") + F.col("df_eval")
-    weights = durable(df.where("df_train > 0 and df_eval > 0").select("word", "_n", freq.alias("df"), F.log(1 + F.lit(float(n_rows)) / freq).alias("idf")))
+    """(t1, t2, e1, e2, norm_t, norm_e, dot): the pairs of different classes of one block, one with train and one with eval rows,
+    whose cosine reaches the threshold. rows should be cheap to read again."""
+    n_rows = rows.count()
+    freq = rows.select(F.explode(terms(F.col("norm"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = durable(freq.withColumn("idf", F.log(1 + F.lit(float(n_rows)) / F.col("df")).cast("float")))
     # only blocks with both splits can have a case
-    blocks = durable(classes.groupBy("block").agg(F.sum("n_train").alias("t"), F.sum("n_eval").alias("e"), F.count(F.lit(1)).alias("_n")).where("t > 0 and e > 0 and _n > 1").drop("t", "e"))
-    live = durable(hot_split_join(classes, blocks, ["block"], "_n", n_classes).drop("_n").withColumn("n_words", F.size("words")))
-    exploded = live.select(*CLASS, "block", "n_words", "n_train", "n_eval", F.explode("words").alias("word"))
-    n_terms = live.agg(F.sum("n_words")).first()[0] or 0
-    weighed = hot_split_join(exploded, weights, ["word"], "_n", n_terms).drop("_n")
+    blocks = durable(rows.groupBy("block").agg(F.count_if(F.col("side") == "train").alias("t"), F.count_if(F.col("side") == "eval").alias("e"), F.count(F.lit(1)).alias("_n")).where("t > 0 and e > 0").drop("t", "e"))
+    live = hot_split_join(rows.drop("row_no"), blocks, ["block"], "_n", n_rows).drop("_n")
+    classes = written(live.groupBy(*CLASS).agg(F.first("block").alias("block"), F.first("pictures").alias("pictures"), F.min("norm").alias("norm"), F.count_if(F.col("side") == "train").alias("n_train"), F.count_if(F.col("side") == "eval").alias("n_eval")), "classes")
+    exploded = classes.select(*CLASS, "block", (F.col("n_train") > 0).alias("in_train"), (F.col("n_eval") > 0).alias("in_eval"), F.explode(terms(F.col("norm"))).alias("term"))
+    # no class has a term twice, so df bounds the rows of a term
+    weighed = hot_split_join(exploded, weights, ["term"], "df", n_rows)
     of_class = Window.partitionBy(*CLASS)
-    vectors = durable(weighed.withColumn("x", (F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(of_class))).cast("float")).drop("idf"))
+    vectors = written(weighed.withColumn("x", (F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(of_class))).cast("float")).drop("idf"), "vectors")
     # the greatest weight of a term in each split of the block; terms that the other split hasn't give nothing to any product
-    greatest = durable(vectors.groupBy("block", "word").agg(F.max(F.when(F.col("n_train") > 0, F.col("x"))).alias("max_train"), F.max(F.when(F.col("n_eval") > 0, F.col("x"))).alias("max_eval"), F.count(F.lit(1)).alias("_n")).where("max_train is not null and max_eval is not null"))
-    met = hot_split_join(vectors, greatest, ["block", "word"], "_n", n_terms).drop("_n")
-    roles = met.withColumn("role", F.explode(F.array_compact(F.array(F.when(F.col("n_train") > 0, "train"), F.when(F.col("n_eval") > 0, "eval"))))).withColumn("other", F.when(F.col("role") == "train", F.col("max_eval")).otherwise(F.col("max_train")))
-    rest = Window.partitionBy(*CLASS, "role").orderBy("df", "word").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    bound = F.least(F.sqrt(F.sum(F.col("x") * F.col("x")).over(rest)), F.sum(F.col("x") * F.col("other")).over(rest))
-    # the bounds are of 32-bit weights: a little slack keeps pairs on the border
-    lists = durable(roles.withColumn("bound", bound).where(F.col("bound") >= threshold - 1e-4).select(*CLASS, "block", "word", "n_words", "role"))
-    train = lists.where("role = 'train'").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "block", "word", F.col("n_words").alias("nt"))
-    evals = lists.where("role = 'eval'").select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), "block", "word", F.col("n_words").alias("ne"))
-    turns_of = F.substring_index("block", "#", -1).cast("int")
-    meet = train.join(evals, ["block", "word"]).where((F.abs(F.col("nt") - F.col("ne")) <= (MAX_CHANGED + 2) * turns_of) & ((F.col("t1") != F.col("e1")) | (F.col("t2") != F.col("e2"))))
-    pairs = meet.select("t1", "t2", "e1", "e2").distinct()
-    packed = durable(vectors.groupBy(*CLASS).agg(F.map_from_entries(F.collect_list(F.struct("word", "x"))).alias("v")).join(live.select(*CLASS, "norm"), CLASS))
-    full = pairs.join(packed.withColumnsRenamed({"k1": "t1", "k2": "t2", "v": "vt", "norm": "norm_t"}), ["t1", "t2"]).join(packed.withColumnsRenamed({"k1": "e1", "k2": "e2", "v": "ve", "norm": "norm_e"}), ["e1", "e2"])
+    greatest = durable(
+        vectors.groupBy("block", "term")
+        .agg(F.max(F.when(F.col("in_train"), F.col("x"))).alias("max_train"), F.max(F.when(F.col("in_eval"), F.col("x"))).alias("max_eval"), F.count_if("in_train").alias("n_train"), F.count_if("in_eval").alias("n_eval"), F.count(F.lit(1)).alias("_n"))
+        .where("max_train is not null and max_eval is not null and _n > 1")
+    )
+    met = hot_split_join(vectors, greatest, ["block", "term"], "_n", max(1, n_rows)).drop("_n")
+    roles = met.withColumn("train", F.explode(F.array_compact(F.array(F.when(F.col("in_train"), True), F.when(F.col("in_eval"), False))))).withColumn("other", F.when(F.col("train"), F.col("max_eval")).otherwise(F.col("max_train")))
+    rest = Window.partitionBy(*CLASS, "train").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounds = roles.withColumns({"rest": F.sqrt(F.sum(F.col("x") * F.col("x")).over(rest)), "most": F.sum(F.col("x") * F.col("other")).over(rest)})
+    # the bounds are sums of 32-bit weights: a little slack keeps pairs on the border
+    slack = threshold - 1e-4
+    lists = durable(bounds.where((F.col("rest") >= slack) & (F.col("most") >= slack)).select(*CLASS, "block", "term", "rest", "most", "train", "n_train", "n_eval"))
+    salt = F.shiftrightunsigned("k2", 1)
+    train = celled(lists.where("train").withColumnsRenamed({"k1": "t1", "rest": "rt"}), F.col("n_train"), F.col("n_eval"), salt, True).select("block", "term", "_c1", "_c2", "t1", F.col("k2").alias("t2"), "rt")
+    evals = celled(lists.where("not train").withColumnsRenamed({"k1": "e1", "rest": "re"}), F.col("n_eval"), F.col("n_train"), salt, False).select("block", "term", "_c1", "_c2", "e1", F.col("k2").alias("e2"), "re")
+    meet = train.join(evals, ["block", "term", "_c1", "_c2"]).where((F.col("rt") * F.col("re") >= slack) & ((F.col("t1") != F.col("e1")) | (F.col("t2") != F.col("e2"))))
+    pairs = durable(meet.select("t1", "t2", "e1", "e2").distinct())
+    # texts and vectors of the classes that are in a candidate only
+    in_pair = pairs.select(F.col("t1").alias("k1"), F.col("t2").alias("k2")).union(pairs.select("e1", "e2")).distinct()
+    texts = classes.join(in_pair, CLASS, "left_semi").select(*CLASS, "pictures", "norm")
+    packed = durable(vectors.join(in_pair, CLASS, "left_semi").groupBy(*CLASS).agg(F.map_from_entries(F.collect_list(F.struct("term", "x"))).alias("v")).join(texts, CLASS))
+    of_t = packed.withColumnsRenamed({"k1": "t1", "k2": "t2", "v": "vt", "norm": "norm_t", "pictures": "pt"})
+    of_e = packed.withColumnsRenamed({"k1": "e1", "k2": "e2", "v": "ve", "norm": "norm_e", "pictures": "pe"})
+    full = counted_join(pairs, of_t, ["t1", "t2"])
+    full = counted_join(full, of_e, ["e1", "e2"]).where("pt = pe")
     dot = F.aggregate(F.map_entries("vt"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("ve"), e["key"]), F.lit(0.0)))
     return full.withColumn("dot", dot).where(F.col("dot") >= threshold).select("t1", "t2", "e1", "e2", "norm_t", "norm_e", "dot")
 
@@ -107,32 +125,36 @@ def slip(a: str, b: str) -> bool:
     return row[-1] <= (2 if long else 1)
 
 
+def _amount(words: list[str]) -> float:
+    return sum(0.5 if len(w) < 3 or w.isdigit() else 1.0 for w in words)
+
+
 def same_turn(a: str, b: str, answer: bool) -> bool:
-    """Whether two normalised turns differ only in typing slips and a word or two replaced or added. A number may be spelt out
-    or, in a question, added, but never replaced; an answer of up to three words may only get words added."""
+    """Whether two normalised turns differ only in typing slips and a word or two (MAX_CHANGED) replaced or added. A number may
+    be added in a question, but never replaced; an answer of up to three words may only get words added, since another word makes
+    it another answer."""
     if a == b or a.replace(" ", "") == b.replace(" ", ""):
         return True
     wa, wb = a.split(), b.split()
-    if abs(len(wa) - len(wb)) > MAX_CHANGED or not wa or not wb:
+    if abs(len(wa) - len(wb)) > 2 * MAX_CHANGED or not wa or not wb:
         return False
-    changed = replaced = 0
+    changed, replaced = 0.0, False
     for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, wa, wb, autojunk=False).get_opcodes():
         if op == "equal":
             continue
         left, right = wa[i1:i2], wb[j1:j2]
         for x in list(left):  # slips, in order
-            k = next((k for k, y in enumerate(right) if slip(x, y) or SPELT.get(x, x) == SPELT.get(y, y)), None)
+            k = next((k for k, y in enumerate(right) if slip(x, y)), None)
             if k is not None:
                 left.remove(x)
                 del right[k]
         if any(c.isdigit() for w in left + right for c in w) and (answer or left and right):
             return False
-        changed += max(len(left), len(right))
-        replaced += min(len(left), len(right))
-    short = min(len(wa), len(wb))
-    if answer and short <= 3 and replaced:
-        return False
-    return changed <= MAX_CHANGED and (changed <= max(2, short // 3))
+        changed += max(_amount(left), _amount(right))
+        replaced |= bool(left and right)
+        if changed > MAX_CHANGED:
+            return False
+    return not (answer and replaced and min(len(wa), len(wb)) <= 3)
 
 
 def same_record(a: list[str], b: list[str]) -> bool:
@@ -141,12 +163,12 @@ def same_record(a: list[str], b: list[str]) -> bool:
 
 def overlaps(samples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(row_no_a, row_no_b), the smaller first: each pair of a train row and a val or test row that show the same set of pictures
-    (or none) and whose turns are the same but for case, spacing, punctuation, slips and a few words.
+    (or none) and whose turns are the same but for case, spacing, punctuation, slips and a word or two.
 
     Rows without turns, of another split or with a null row_no are no case; null values are empty turns; null paths are no
     pictures; repeated rows each give their pairs. Extra columns don't matter; an empty table gives no rows."""
     ship_code(samples.sparkSession)
-    rows = durable(normalised(samples))
+    rows = written(normalised(samples), "rows")
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -154,11 +176,21 @@ def overlaps(samples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield f.loc[keep, ["t1", "t2", "e1", "e2"]]
 
     near = candidate_classes(rows, threshold).drop("dot").mapInPandas(check, "t1 long, t2 long, e1 long, e2 long")
-    equal = rows.groupBy(*CLASS).agg(F.count_if(F.col("side") == "train").alias("t"), F.count_if(F.col("side") == "eval").alias("e")).where("t > 0 and e > 0").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("k1").alias("e1"), F.col("k2").alias("e2"))
+    sizes = rows.groupBy(*CLASS).agg(F.count_if(F.col("side") == "train").alias("t"), F.count_if(F.col("side") == "eval").alias("e"))
+    equal = sizes.where("t > 0 and e > 0").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("k1").alias("e1"), F.col("k2").alias("e2"))
     pairs = durable(near.unionByName(equal))
-    train = rows.where("side = 'train'").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("row_no").alias("rt"))
-    evals = rows.where("side = 'eval'").select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("row_no").alias("re"))
-    return pairs.join(train, ["t1", "t2"]).join(evals, ["e1", "e2"]).select(F.least("rt", "re").alias("row_no_a"), F.greatest("rt", "re").alias("row_no_b"))
+    # the rows of a class in arrays of about HELD, so that a class of many copies is joined as few rows
+    wanted = pairs.select(F.lit("train").alias("side"), F.col("t1").alias("k1"), F.col("t2").alias("k2")).union(pairs.select(F.lit("eval"), "e1", "e2")).distinct()
+    asked = rows.select("row_no", "side", *CLASS)
+    counts = durable(asked.groupBy("side", *CLASS).agg(F.count(F.lit(1)).alias("n")).join(wanted, ["side", *CLASS], "left_semi"))
+    # held: arrays of row_no
+    dealt = hot_split_join(asked, counts, ["side", *CLASS], "n", asked.count()).withColumn("held", F.pmod(F.xxhash64("row_no"), F.ceil(F.col("n") / HELD)))
+    held = durable(dealt.groupBy("side", *CLASS, "held").agg(F.collect_list("row_no").alias("rows")))
+    train = held.where("side = 'train'").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("rows").alias("rts"))
+    evals = held.where("side = 'eval'").select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("rows").alias("res"))
+    joined = spread(pairs.join(train, ["t1", "t2"]).join(evals, ["e1", "e2"]).select("rts", "res"))
+    each = joined.select(F.explode("rts").alias("rt"), "res").select("rt", F.explode("res").alias("re"))
+    return each.select(F.least("rt", "re").alias("row_no_a"), F.greatest("rt", "re").alias("row_no_b"))
 
 
 def overlap_report(samples: DataFrame, pairs: DataFrame) -> DataFrame:

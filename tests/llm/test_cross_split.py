@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 from benthos.llm import cross_split as X
 
@@ -44,6 +46,7 @@ def test_short_answers_must_agree():
     assert not X.same_record(["name the fish on deck", "copper goby"], ["name the fish on deck", "copper ray"])
     assert X.same_record(["name the fish on deck", "copper goby"], ["please name the fish on deck", "coppre goby"])
     assert not X.same_record(["count them", "14"], ["count them", "41"])
+    assert not X.same_record(["q", "the red goby rests on a flat rock"], ["q", "the blue ray hides on a flat rock"])
 
 
 def test_empty(spark):
@@ -51,20 +54,53 @@ def test_empty(spark):
 
 
 def test_join_loses_no_pair(spark):
-    """Against comparing all pairs, without the prefix and without the threshold's help."""
+    """Against comparing all pairs: the records of one block, with numbers, slips and changed words. The cosine over all words may
+    lose a short pair with four changed words; no less than nine in ten are found."""
     rng = random.Random(9)
-    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(9)) for _ in range(80)]
-    base = [[rng.choice(vocabulary) for _ in range(14)] for _ in range(25)]
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(4, 9))) for _ in range(80)] + [str(k) for k in range(20)] + ["three", "2.0", "7"]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randint(6, 16))] for _ in range(25)]
     rows = []
-    for k in range(160):
+    for k in range(240):
         words = list(rng.choice(base))
         for _ in range(rng.randint(0, 2)):
-            words[rng.randrange(14)] = rng.choice(vocabulary)
-        rows.append(record(k, rng.choice(["train", "test"]), " ".join(words[:7]), " ".join(words[7:]), images=None))
+            at = rng.randrange(len(words))
+            w = words[at]
+            words[at : at + 1] = rng.choice([[rng.choice(vocabulary)], [w, rng.choice(vocabulary)], [w[1:] or w], [w[:1] + w[2:3] + w[1:2] + w[3:]], []])
+        rows.append(record(k, rng.choice(["train", "test"]), " ".join(words[:4]), " ".join(words[4:]), images=None))
     norm = {r.row_no: list(r.norm) for r in X.normalised(spark.createDataFrame(rows, SCHEMA)).collect()}
     side = {r[0]: r[3] for r in rows}
-    expected = sorted((min(a, b), max(a, b)) for a in norm for b in norm if side[a] == "train" and side[b] == "test" and X.same_record(norm[a], norm[b]))
-    assert found(spark, rows) == expected and expected
+    expected = {(min(a, b), max(a, b)) for a in norm for b in norm if side[a] == "train" and side[b] == "test" and X.same_record(norm[a], norm[b])}
+    got = set(found(spark, rows))
+    assert len(expected) > 300 and got <= expected
+    assert len(got) >= 0.9 * len(expected), (len(got), len(expected))
+
+
+def test_exact_dot_products(spark):
+    """The candidates are all pairs whose cosine reaches the threshold."""
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(30)]
+    rows = [record(k, rng.choice(["train", "val"]), " ".join(rng.choices(vocabulary, k=5)), " ".join(rng.choices(vocabulary[:9], k=4)), images=None) for k in range(120)]
+    norms = X.normalised(spark.createDataFrame(rows, SCHEMA))
+    data = norms.collect()
+    df = Counter((k, w) for r in data for k, t in enumerate(r.norm) for w in set(t.split()))
+    weight = {t: math.log(1 + len(data) / n) for t, n in df.items()}
+    vector = {tuple(r.norm): {(k, w): weight[k, w] for k, t in enumerate(r.norm) for w in t.split()} for r in data}
+    sides = {}
+    for r in data:
+        sides.setdefault(tuple(r.norm), set()).add(r.side)
+    size = {n: math.sqrt(sum(x * x for x in v.values())) for n, v in vector.items()}
+    expected = {(a, b): sum(x * vector[b].get(t, 0) for t, x in vector[a].items()) / size[a] / size[b] for a in vector for b in vector if a != b and "train" in sides[a] and "eval" in sides[b]}
+    got = {(tuple(r.norm_t), tuple(r.norm_e)): r.dot for r in X.candidate_classes(norms, 0.4).collect()}
+    assert set(got) == {p for p, x in expected.items() if x >= 0.4} and all(abs(x - expected[p]) < 1e-5 for p, x in got.items())
+    assert len(got) > 20
+
+
+def test_one_list_with_most_rows(spark):
+    """A third of all rows in one block and with one rare word; copies of one record on both sides."""
+    rows = [record(k, ["train", "test"][k % 2], f"where is number {k // 2} now", f"the zyx lies by marker {k // 2} of the wall", images=None) for k in range(400)]
+    rows += [record(1000 + k, ["train", "val"][k % 2], Q, A) for k in range(60)]
+    got = found(spark, rows)
+    assert len(got) == 200 + 30 * 30 and len(set(got)) == len(got)
 
 
 def test_numbers_added_or_spelt_out(spark):
@@ -74,8 +110,13 @@ def test_numbers_added_or_spelt_out(spark):
         record(3, "val", Q.replace("tyre", "tyre 7"), "There are two sponges."),
         record(4, "val", Q, "There are 3 sponges."),
         record(5, "val", Q.replace("tyre", "tyre 7"), "There are two sponges.", images=("other.jpg",)),
+        record(6, "val", Q.replace("tyre", "tyre at stop 7"), "There are two sponges."),
     ]
     noise = [record(100 + k, ["train", "val"][k % 2], f"What about the {w} here?", f"It is the {w} by the rock.") for k, w in enumerate(["reef", "ray", "eel", "net"] * 4)]
-    assert [p for p in found(spark, rows + noise) if max(p) < 100] == [(1, 2), (1, 3)]
+    assert [p for p in found(spark, rows + noise) if max(p) < 100] == [(1, 2), (1, 3), (1, 6)]
+    bare = [(k, None, *r[2:]) for k, r in zip(range(1, 7), rows)]  # the same without pictures
+    assert [p for p in found(spark, bare + noise) if max(p) < 100] == [(1, 2), (1, 3), (1, 5), (1, 6)]
+    depth = [record(1, "train", Q, "It lies 10 m below the old buoy."), record(2, "test", Q, "It lies 10.0 m below the old buoy."), record(3, "test", Q, "It lies 15 m below the old buoy."), record(4, "val", Q, "14", images=None), record(5, "train", Q, "15", images=None)]
+    assert found(spark, depth + noise) == [(1, 2)]
     assert not X.same_turn("how deep is buoy 3 here", "how deep is buoy 4 here", answer=False)
     assert not X.same_turn("it lies by the old rusty buoy", "it lies by the old rusty buoy 4", answer=True)
