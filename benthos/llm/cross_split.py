@@ -5,7 +5,7 @@ copies need no join). Classes are compared across splits by a weighted cosine jo
 of turns): a term is a word in its turn, numbers among them, weighted with its inverse document frequency over all records. A class's
 terms, rarest first, are put into inverted lists only as long as the rest of its vector could still reach the threshold, by the
 rest's norm and by the greatest weights that the other split has for the rest's terms in the block; two entries of a list make a
-candidate only if the product of their residual norms can reach it. Candidates get their exact dot product; those that reach it are
+candidate only if the product of their residual norms, and that of their rarest terms with the norms of the others, can reach it. Candidates get their exact dot product; those that reach it are
 aligned turn by turn, since a case may differ by a word or two only."""
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ THRESHOLD = 0.5
 #: What may be replaced or added in a turn, typing slips aside: a word counts 1, a number or a word of one or two letters half.
 MAX_CHANGED = 2.0
 CLASS = ["k1", "k2"]
+#: Terms of a vector that its entries in the inverted lists carry, the rarest: what the others can add is bounded by their norm.
+HEAD = 64
 #: Rows of a class that are kept together when its pairs are written out.
 HELD = 1000
 #: Numbers spelt out that are equal to their digits.
@@ -64,48 +66,80 @@ def terms(norm: Column) -> Column:
     return F.flatten(each)
 
 
-def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(t1, t2, e1, e2, norm_t, norm_e, dot): the pairs of different classes of one block, one with train and one with eval rows,
-    whose cosine reaches the threshold. rows should be cheap to read again."""
+def weight(term: Column) -> Column:
+    """The weight that a weighted term carries in its upper bits; the lower 44 are of its hash, so that terms in descending order
+    are the rarest first."""
+    return F.shiftright(term, 44) / F.lit(float(1 << 14))
+
+
+def norm_of(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, t: s + weight(t) * weight(t)))
+
+
+def dot_of(a: Column, b: Column) -> Column:
+    """The sum of the products of the weights that two vectors share."""
+    return F.aggregate(F.array_intersect(a, b), F.lit(0.0), lambda s, t: s + weight(t) * weight(t))
+
+
+def class_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes of blocks with both splits, with their texts, and (k1, k2, block, in_train, in_eval, v, norm): their weighted terms,
+    the rarest first. rows should be cheap to read again."""
     n_rows = rows.count()
-    freq = rows.select(F.explode(terms(F.col("norm"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = durable(freq.withColumn("idf", F.log(1 + F.lit(float(n_rows)) / F.col("df")).cast("float")))
+    freq = rows.select(F.explode(terms(F.col("norm"))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + F.lit(float(n_rows)) / F.col("df"))
+    weights = durable(freq.select("h", "df", (F.shiftleft(F.round(idf * (1 << 14)).cast("long"), 44) + F.shiftrightunsigned("h", 20)).alias("term")))
     # only blocks with both splits can have a case
     blocks = durable(rows.groupBy("block").agg(F.count_if(F.col("side") == "train").alias("t"), F.count_if(F.col("side") == "eval").alias("e"), F.count(F.lit(1)).alias("_n")).where("t > 0 and e > 0").drop("t", "e"))
     live = hot_split_join(rows.drop("row_no"), blocks, ["block"], "_n", n_rows).drop("_n")
-    classes = written(live.groupBy(*CLASS).agg(F.first("block").alias("block"), F.first("pictures").alias("pictures"), F.min("norm").alias("norm"), F.count_if(F.col("side") == "train").alias("n_train"), F.count_if(F.col("side") == "eval").alias("n_eval")), "classes")
-    exploded = classes.select(*CLASS, "block", (F.col("n_train") > 0).alias("in_train"), (F.col("n_eval") > 0).alias("in_eval"), F.explode(terms(F.col("norm"))).alias("term"))
+    grouped = live.groupBy(*CLASS).agg(F.first("block").alias("block"), F.first("pictures").alias("pictures"), F.min("norm").alias("norm"), (F.count_if(F.col("side") == "train") > 0).alias("in_train"), (F.count_if(F.col("side") == "eval") > 0).alias("in_eval"))
+    classes = written(grouped, "classes")
+    exploded = classes.select(*CLASS, "block", "in_train", "in_eval", F.explode(terms(F.col("norm"))).alias("h"))
     # no class has a term twice, so df bounds the rows of a term
-    weighed = hot_split_join(exploded, weights, ["term"], "df", n_rows)
-    of_class = Window.partitionBy(*CLASS)
-    vectors = written(weighed.withColumn("x", (F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(of_class))).cast("float")).drop("idf"), "vectors")
+    weighed = hot_split_join(exploded, weights, ["h"], "df", n_rows)
+    vectors = weighed.groupBy(*CLASS, "block", "in_train", "in_eval").agg(F.sort_array(F.collect_list("term"), asc=False).alias("v"))
+    return classes, written(vectors.withColumn("norm", norm_of(F.col("v"))), "vectors")
+
+
+def candidate_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(t1, t2, e1, e2) of every pair of classes of a block whose cosine can reach the threshold, by the bounds of the join."""
+    each = vectors.select(*CLASS, "block", "in_train", "in_eval", F.explode("v").alias("term"), (weight(F.col("term")) / F.col("norm")).alias("x"))
     # the greatest weight of a term in each split of the block; terms that the other split hasn't give nothing to any product
     greatest = durable(
-        vectors.groupBy("block", "term")
+        each.groupBy("block", "term")
         .agg(F.max(F.when(F.col("in_train"), F.col("x"))).alias("max_train"), F.max(F.when(F.col("in_eval"), F.col("x"))).alias("max_eval"), F.count_if("in_train").alias("n_train"), F.count_if("in_eval").alias("n_eval"), F.count(F.lit(1)).alias("_n"))
         .where("max_train is not null and max_eval is not null and _n > 1")
     )
-    met = hot_split_join(vectors, greatest, ["block", "term"], "_n", max(1, n_rows)).drop("_n")
-    roles = met.withColumn("train", F.explode(F.array_compact(F.array(F.when(F.col("in_train"), True), F.when(F.col("in_eval"), False))))).withColumn("other", F.when(F.col("train"), F.col("max_eval")).otherwise(F.col("max_train")))
-    rest = Window.partitionBy(*CLASS, "train").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bounds = roles.withColumns({"rest": F.sqrt(F.sum(F.col("x") * F.col("x")).over(rest)), "most": F.sum(F.col("x") * F.col("other")).over(rest)})
-    # the bounds are sums of 32-bit weights: a little slack keeps pairs on the border
-    slack = threshold - 1e-4
-    lists = durable(bounds.where((F.col("rest") >= slack) & (F.col("most") >= slack)).select(*CLASS, "block", "term", "rest", "most", "train", "n_train", "n_eval"))
+    met = hot_split_join(each, greatest, ["block", "term"], "_n", max(1, vectors.count())).drop("_n")
+    rest = Window.partitionBy(*CLASS).orderBy("term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounds = met.withColumns({"rest": F.sqrt(F.sum(F.col("x") * F.col("x")).over(rest)), "most_train": F.sum(F.col("x") * F.col("max_eval")).over(rest), "most_eval": F.sum(F.col("x") * F.col("max_train")).over(rest)})
+    slack = threshold - 1e-6
+    lists = bounds.withColumns({"as_train": F.col("in_train") & (F.col("most_train") >= slack), "as_eval": F.col("in_eval") & (F.col("most_eval") >= slack)}).where((F.col("rest") >= slack) & (F.col("as_train") | F.col("as_eval")))
+    # the rarest terms of each vector, and the norms of these and of the others
+    heads = vectors.withColumn("head", F.slice("v", 1, HEAD)).select(*CLASS, "head", "norm", (norm_of(F.col("head")) / F.col("norm")).alias("hn")).withColumn("rn", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("hn") * F.col("hn"))))
+    entries = durable(lists.select(*CLASS, "block", "term", "rest", "as_train", "as_eval", "n_train", "n_eval").join(heads, CLASS))
     salt = F.shiftrightunsigned("k2", 1)
-    train = celled(lists.where("train").withColumnsRenamed({"k1": "t1", "rest": "rt"}), F.col("n_train"), F.col("n_eval"), salt, True).select("block", "term", "_c1", "_c2", "t1", F.col("k2").alias("t2"), "rt")
-    evals = celled(lists.where("not train").withColumnsRenamed({"k1": "e1", "rest": "re"}), F.col("n_eval"), F.col("n_train"), salt, False).select("block", "term", "_c1", "_c2", "e1", F.col("k2").alias("e2"), "re")
-    meet = train.join(evals, ["block", "term", "_c1", "_c2"]).where((F.col("rt") * F.col("re") >= slack) & ((F.col("t1") != F.col("e1")) | (F.col("t2") != F.col("e2"))))
-    pairs = durable(meet.select("t1", "t2", "e1", "e2").distinct())
+    ends = {}
+    for side, own, other in (("t", "n_train", "n_eval"), ("e", "n_eval", "n_train")):
+        rows = celled(entries.where("as_train" if side == "t" else "as_eval"), F.col(own), F.col(other), salt, side == "t")
+        ends[side] = rows.select("block", "term", "_c1", "_c2", F.col("k1").alias(side + "1"), F.col("k2").alias(side + "2"), *(F.col(c).alias(f"{c}_{side}") for c in ("rest", "head", "norm", "hn", "rn")))
+    met = ends["t"].join(ends["e"], ["block", "term", "_c1", "_c2"]).where((F.col("rest_t") * F.col("rest_e") >= slack) & ((F.col("t1") != F.col("e1")) | (F.col("t2") != F.col("e2"))))
+    most = dot_of(F.col("head_t"), F.col("head_e")) / (F.col("norm_t") * F.col("norm_e")) + F.col("hn_t") * F.col("rn_e") + F.col("rn_t") * F.col("hn_e") + F.col("rn_t") * F.col("rn_e")
+    return met.where(most >= slack).select("t1", "t2", "e1", "e2").distinct()
+
+
+def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(t1, t2, e1, e2, norm_t, norm_e, dot): the pairs of different classes of one block, one with train and one with eval rows,
+    whose cosine reaches the threshold. rows should be cheap to read again."""
+    classes, vectors = class_vectors(rows)
+    pairs = durable(candidate_pairs(vectors, threshold))
     # texts and vectors of the classes that are in a candidate only
     in_pair = pairs.select(F.col("t1").alias("k1"), F.col("t2").alias("k2")).union(pairs.select("e1", "e2")).distinct()
-    texts = classes.join(in_pair, CLASS, "left_semi").select(*CLASS, "pictures", "norm")
-    packed = durable(vectors.join(in_pair, CLASS, "left_semi").groupBy(*CLASS).agg(F.map_from_entries(F.collect_list(F.struct("term", "x"))).alias("v")).join(texts, CLASS))
-    of_t = packed.withColumnsRenamed({"k1": "t1", "k2": "t2", "v": "vt", "norm": "norm_t", "pictures": "pt"})
-    of_e = packed.withColumnsRenamed({"k1": "e1", "k2": "e2", "v": "ve", "norm": "norm_e", "pictures": "pe"})
-    full = counted_join(pairs, of_t, ["t1", "t2"])
-    full = counted_join(full, of_e, ["e1", "e2"]).where("pt = pe")
-    dot = F.aggregate(F.map_entries("vt"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("ve"), e["key"]), F.lit(0.0)))
+    texts = classes.join(in_pair, CLASS, "left_semi").select(*CLASS, "pictures", F.col("norm").alias("text"))
+    packed = durable(vectors.select(*CLASS, "v", "norm").join(texts, CLASS))
+    of_t = packed.withColumnsRenamed({"k1": "t1", "k2": "t2", "v": "vt", "norm": "nt", "text": "norm_t", "pictures": "pt"})
+    of_e = packed.withColumnsRenamed({"k1": "e1", "k2": "e2", "v": "ve", "norm": "ne", "text": "norm_e", "pictures": "pe"})
+    full = counted_join(counted_join(pairs, of_t, ["t1", "t2"]), of_e, ["e1", "e2"]).where("pt = pe")
+    dot = dot_of(F.col("vt"), F.col("ve")) / (F.col("nt") * F.col("ne"))
     return full.withColumn("dot", dot).where(F.col("dot") >= threshold).select("t1", "t2", "e1", "e2", "norm_t", "norm_e", "dot")
 
 
