@@ -30,7 +30,7 @@ THRESHOLD = 0.5
 MAX_CHANGED = 2.0
 CLASS = ["k1", "k2"]
 #: Terms of a vector that its entries in the inverted lists carry, the rarest: what the others can add is bounded by their norm.
-HEAD = 64
+HEAD = 128
 #: Rows of a class that are kept together when its pairs are written out.
 HELD = 1000
 #: Numbers spelt out that are equal to their digits.
@@ -42,9 +42,9 @@ def normal_turn(value: Column) -> Column:
     characters are words, numbers spelt out are digits, and a decimal part of zero is left out. A null value is empty."""
     low = F.replace(F.lower(F.coalesce(value, F.lit(""))), F.lit("<image>"), F.lit(" "))
     whole = F.when(low.rlike("[0-9][.,]0"), F.regexp_replace(low, r"([0-9])[.,]0{1,2}(?![0-9])", "$1")).otherwise(low)
-    words = F.regexp_extract_all(whole, F.lit(r"\p{IsHan}|[\p{L}\p{M}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
+    words = F.regexp_extract_all(whole, F.lit(r"[a-z0-9[\p{L}\p{M}\p{N}&&[^\p{IsHan}]]]+|\p{IsHan}"), F.lit(0))
     spelt = F.create_map(*(F.lit(x) for kv in SPELT.items() for x in kv))
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(spelt, w), w)), " ")
+    return F.array_join(F.transform(words, lambda w: F.when(w.isin(*SPELT), F.try_element_at(spelt, w)).otherwise(w)), " ")
 
 
 def normalised(samples: DataFrame) -> DataFrame:
@@ -52,10 +52,11 @@ def normalised(samples: DataFrame) -> DataFrame:
 
     norm: the words of each turn but the system's. pictures: the sorted set of pictures; block: a hash of it and of the number of
     turns. k1, k2 tell records that are equal but for spaces."""
-    norm = F.transform(turns(F.col("conversations")), lambda t: normal_turn(t["value"]))
+    norm = F.transform("turns", lambda t: normal_turn(t["value"]))
     pictures = F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.transform(F.coalesce(F.col("image"), F.array().cast("array<string>")), picture)))), "|")
     side = F.when(F.col("split_name") == "train", "train").when(F.col("split_name").isin("val", "test"), "eval")
-    rows = samples.select("row_no", side.alias("side"), norm.alias("norm"), pictures.alias("pictures")).where("side is not null and row_no is not null and size(norm) > 0")
+    told = samples.select("row_no", side.alias("side"), "image", turns(F.col("conversations")).alias("turns")).where("side is not null and row_no is not null and size(turns) > 0")
+    rows = told.select("row_no", "side", norm.alias("norm"), pictures.alias("pictures"))
     rows = rows.withColumns({"block": F.xxhash64("pictures", F.size("norm")), "_s": F.transform("norm", lambda t: F.replace(t, F.lit(" "), F.lit("")))})
     return rows.withColumns({"k1": F.xxhash64("pictures", "_s"), "k2": F.xxhash64(F.lit(17), "_s", F.lit(23), "pictures")}).drop("_s")
 
