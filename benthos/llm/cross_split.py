@@ -31,6 +31,7 @@ MAX_CHANGED = 2.0
 CLASS = ["k1", "k2"]
 #: Terms of a vector that its entries in the inverted lists carry, the rarest: what the others can add is bounded by their norm.
 HEAD = 128
+CARRIED = ("rest", "head", "norm", "hn", "rn", "twice", "b0", "b1", "b2", "b3")
 #: Rows of a class that are kept together when its pairs are written out.
 HELD = 1000
 #: Numbers spelt out that are equal to their digits.
@@ -117,15 +118,27 @@ def candidate_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     lists = bounds.withColumns({"as_train": F.col("in_train") & (F.col("most_train") >= slack), "as_eval": F.col("in_eval") & (F.col("most_eval") >= slack)}).where((F.col("rest") >= slack) & (F.col("as_train") | F.col("as_eval")))
     # the rarest terms of each vector, and the norms of these and of the others
     heads = vectors.withColumn("head", F.slice("v", 1, HEAD)).select(*CLASS, "head", "norm", (norm_of(F.col("head")) / F.col("norm")).alias("hn")).withColumn("rn", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("hn") * F.col("hn"))))
+    # 256 bits of the head's terms, and how many terms have no bit of their own: together they bound the terms that two heads share
+    for k in range(4):
+        bits = F.aggregate(F.filter("head", lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(3)) == k), F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+        heads = heads.withColumn(f"b{k}", bits)
+    heads = heads.withColumn("twice", F.size("head") - sum((F.bit_count(f"b{k}") for k in range(4)), F.lit(0)))
     entries = durable(lists.select(*CLASS, "block", "term", "rest", "as_train", "as_eval", "n_train", "n_eval").join(heads, CLASS))
     salt = F.shiftrightunsigned("k2", 1)
     ends = {}
     for side, own, other in (("t", "n_train", "n_eval"), ("e", "n_eval", "n_train")):
         rows = celled(entries.where("as_train" if side == "t" else "as_eval"), F.col(own), F.col(other), salt, side == "t")
-        ends[side] = rows.select("block", "term", "_c1", "_c2", F.col("k1").alias(side + "1"), F.col("k2").alias(side + "2"), *(F.col(c).alias(f"{c}_{side}") for c in ("rest", "head", "norm", "hn", "rn")))
-    met = ends["t"].join(ends["e"], ["block", "term", "_c1", "_c2"]).where((F.col("rest_t") * F.col("rest_e") >= slack) & ((F.col("t1") != F.col("e1")) | (F.col("t2") != F.col("e2"))))
-    most = dot_of(F.col("head_t"), F.col("head_e")) / (F.col("norm_t") * F.col("norm_e")) + F.col("hn_t") * F.col("rn_e") + F.col("rn_t") * F.col("hn_e") + F.col("rn_t") * F.col("rn_e")
-    return met.where(most >= slack).select("t1", "t2", "e1", "e2").distinct()
+        ends[side] = rows.select("block", "term", "_c1", "_c2", F.col("k1").alias(side + "1"), F.col("k2").alias(side + "2"), *(F.col(c).alias(f"{c}_{side}") for c in CARRIED))
+    met = ends["t"].join(ends["e"], ["block", "term", "_c1", "_c2"])
+    sizes = F.col("norm_t") * F.col("norm_e")
+    tails = F.col("hn_t") * F.col("rn_e") + F.col("rn_t") * F.col("hn_e") + F.col("rn_t") * F.col("rn_e")
+    # no term that the two share is rarer than the first one they meet at
+    shared = sum((F.bit_count(F.col(f"b{k}_t").bitwiseAND(F.col(f"b{k}_e"))) for k in range(4)), F.least("twice_t", "twice_e"))
+    at_most = shared * weight(F.col("term")) * weight(F.col("term")) / sizes + tails
+    heads_dot = dot_of(F.col("head_t"), F.col("head_e")) / sizes + tails
+    # in one condition, the cheapest first
+    fit = (F.col("rest_t") * F.col("rest_e") >= slack) & (at_most >= slack) & ((F.col("t1") != F.col("e1")) | (F.col("t2") != F.col("e2"))) & (heads_dot >= slack)
+    return met.where(fit).select("t1", "t2", "e1", "e2").distinct()
 
 
 def candidate_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
