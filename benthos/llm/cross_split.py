@@ -31,6 +31,7 @@ MAX_CHANGED = 2.0
 CLASS = ["k1", "k2"]
 #: Terms of a vector that its entries in the inverted lists carry, the rarest: what the others can add is bounded by their norm.
 HEAD = 128
+BANDS = 24
 CARRIED = ("rest", "head", "norm", "hn", "rn", "twice", "b0", "b1", "b2", "b3")
 #: Rows of a class that are kept together when its pairs are written out.
 HELD = 1000
@@ -128,8 +129,15 @@ def candidate_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     ends = {}
     for side, own, other in (("t", "n_train", "n_eval"), ("e", "n_eval", "n_train")):
         rows = celled(entries.where("as_train" if side == "t" else "as_eval"), F.col(own), F.col(other), salt, side == "t")
-        ends[side] = rows.select("block", "term", "_c1", "_c2", F.col("k1").alias(side + "1"), F.col("k2").alias(side + "2"), *(F.col(c).alias(f"{c}_{side}") for c in CARRIED))
-    met = ends["t"].join(ends["e"], ["block", "term", "_c1", "_c2"])
+        # train entries lie in bands of their residual norm; an eval entry goes to those bands only whose product with its own can do
+        top = F.lit(BANDS - 1)
+        if side == "t":
+            rows = rows.withColumn("_b", F.least(top, F.floor(F.col("rest") * BANDS).cast("int")))
+        else:
+            least = F.least(top, F.greatest(F.lit(0), F.ceil(slack / F.col("rest") * BANDS - 1 - 1e-9).cast("int")))
+            rows = rows.withColumn("_b", F.explode(F.sequence(least, top)))
+        ends[side] = rows.select("block", "term", "_b", "_c1", "_c2", F.col("k1").alias(side + "1"), F.col("k2").alias(side + "2"), *(F.col(c).alias(f"{c}_{side}") for c in CARRIED))
+    met = ends["t"].join(ends["e"], ["block", "term", "_b", "_c1", "_c2"])
     sizes = F.col("norm_t") * F.col("norm_e")
     tails = F.col("hn_t") * F.col("rn_e") + F.col("rn_t") * F.col("hn_e") + F.col("rn_t") * F.col("rn_e")
     # no term that the two share is rarer than the first one they meet at
