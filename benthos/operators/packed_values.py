@@ -1,74 +1,77 @@
 """Several values packed in one field (problem 2): the delimiters of each source inferred from all its rows, then one row per
 value with its position.
 
-Candidates are scored by source: a row in which a candidate stands outside quotes, brackets and numbers gives it the share of
-its pieces that have the row's commonest type (box, measure, single word, phrase, Han text) if it makes two or more pieces,
-else 0; a word or dash gives the share of what it parts that has the type of the row's other pieces. Punctuation starts as a likely delimiter, words and dashes as unlikely ones,
-each with the weight of a few rows; those with a mean above ACCEPT are what the source's rows are split by. A row may use
-several: lists of mixed delimiters are split by all that its source accepts."""
+Candidates come from the data: any mark between two words (a run of characters that are no letters or digits, told apart by
+whether a space stands before it) and any short word between two others. A row gives a candidate its piece count against the
+pieces that all marks of the row make, and the pieces at its sides that are of one type (box, measure, Han text, other text). A
+mark that stands equally often in all three or more pieces of another one, or without spaces in a row that has marks with spaces, belongs to
+the values and counts against itself. A source's score of a candidate is its share of the row's cuts times the share of equal
+types at its sides, both summed over the source's rows and shrunk to the figures of all sources by a few cuts; candidates that
+reach ACCEPT (words: ACCEPT_WORD) are what the source's rows are split by. A row may use several."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benthos.operators.skew import hot_split_join
 from benthos.session import durable, ship_code
 
-#: Candidates, and the mean score each starts with.
-CANDIDATES = {"\n": 0.9, "\t": 0.9, ";": 0.9, "|": 0.9, "•": 0.9, ",": 0.9, "/": 0.8, "、": 0.9, "，": 0.9, "；": 0.9, " - ": 0.2, " and ": 0.2, ":": 0.2}
-PRIOR_ROWS = 10
-ACCEPT = 0.55
+#: Least score of a mark and of a word.
+ACCEPT, ACCEPT_WORD = 0.4, 0.6
+#: Cuts of all sources that a source's figures are filled up with.
+SHRINK = 20.0
+#: Letters of a word that may be a delimiter, at most.
+WORD = 5
+#: A mark's name is at most so long; rows with longer ones don't propose them.
+MARK = 8
 
 _QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’", "'": "'"}
 _BRACKETS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】"}
-_LEAD = re.compile(r"\s*(?:(?:[-*•·–—]|\(?\d{1,3}[.)])\s+)?(?:(?:and|und|y|et|и|和|及)\s+)?", re.I)
-_BULLET = re.compile(r"^(?:[-*•·–—]\s+|\(\d{1,3}\)\s*|\d{1,3}[.)]\s+)")
-_JOIN = re.compile(r"^(?:(?:and|or|und|oder|y|o|et|ou|и|или)\s+|[和及与])(?=\S)", re.I)
-_TYPES = (("box", re.compile(r"^\[[\d\s.,-]+\]$")), ("measure", re.compile(r"^[-+]?\d[\d.,]*\s*[^\W\d]{0,4}\.?$")), ("han", re.compile(r"[一-鿿]")))
+_ENDS = {v: k for k, v in _BRACKETS.items()}
+_SPECIAL = regex.compile("[" + regex.escape("".join({*_QUOTES, *_QUOTES.values(), *_BRACKETS, *_ENDS})) + "\n]")
+_DECIMAL = regex.compile(r"(?<=\d),(?=\d)")
+_NUMBERING = regex.compile(r"(?<![\w.,])\d{1,3}[.)](?=\s)")
+_BULLET = regex.compile(r"^(?:[-*•·–—]\s+|\(\d{1,3}\)\s*|\d{1,3}[.)]\s+)")
+#: Joining words that may stand before a value.
+_JOIN = regex.compile(r"^(?:(?:and|or|und|oder|y|o|et|ou|и|или)\s+|[和及与])(?=\S)", regex.I)
+_PIECE_END = regex.compile(r"[^\S\n\t]*(?:[^\w\s]|[\n\t]|\Z)")
+_TOKEN = regex.compile(r"[\w\p{M}]+|[^\w\p{M}]+")
+_CORE = regex.compile(r"[^\w\s.\"“”„«»‘’'()\[\]{}（）【】][^\w\s\"“”„«»‘’'()\[\]{}（）【】]*|\.(?=\s)")
+_HAN = regex.compile(r"\p{Han}")
 
 
 def protected(s: str) -> bytearray:
     """1 for each character of s that can't part values: in quotes or brackets, or a comma within a number.
 
-    A quotation mark opens at the start of a piece (after a bullet, number or joining word) or, if it is double, anywhere; it
-    closes at its partner, a doubled partner stands for itself, and a single quote closes only before the end of a piece. A
-    mark or bracket without a partner is an ordinary character."""
-    out, i, n, start = bytearray(len(s)), 0, len(s), True
-    ends, open_marks = _brackets(s), set()
-    while i < n:
-        if start:
-            m = _LEAD.match(s, i)
-            i = m.end()
-            if i >= n:
-                break
-        c = s[i]
+    A double quotation mark opens anywhere, a single one where no letter or digit stands before it; it closes at its partner, a
+    doubled partner stands for itself, and a single one closes only before a mark or the end. A mark or bracket without a partner
+    is an ordinary character; brackets close on their line."""
+    out, ends = bytearray(len(s)), _brackets(s)
+    for m in _DECIMAL.finditer(s):
+        out[m.start()] = 1
+    done, lone = 0, set()
+    for m in _SPECIAL.finditer(s):
+        i, c = m.start(), m[0]
+        if i < done or c == "\n":
+            continue
         end = -1
-        if c in _QUOTES and (start or c in '"“«„') and c not in open_marks:
+        if c in _QUOTES and c not in lone and (c in '"“«„' or i == 0 or not (s[i - 1].isalnum())):
             end = _closing(s, i, _QUOTES[c], single=c in "'‘")
             if end == -1:  # nor has any later one of its kind
-                open_marks.add(c)
+                lone.add(c)
         elif c in _BRACKETS:
             end = ends.get(i, -1)
         if end > i:
             out[i : end + 1] = b"\1" * (end + 1 - i)
-            i, start = end + 1, False
-            continue
-        if c == "," and 0 < i < n - 1 and s[i - 1].isdigit() and s[i + 1].isdigit():
-            out[i] = 1
-        start = c in "\n\t;|•,/、，；" and not out[i]
-        i += 1
+            done = end + 1
     return out
 
 
-_PIECE_END = re.compile(r"\s*(?:[\n\t;|•,/、，；.。]|\Z)")
-
-
 def _closing(s: str, at: int, mark: str, single: bool) -> int:
     """Where the quotation that opens at `at` closes; -1 if it doesn't, -2 if nothing is in it."""
     i = at + 1
@@ -85,37 +88,64 @@ def _closing(s: str, at: int, mark: str, single: bool) -> int:
 def _brackets(s: str) -> dict[int, int]:
     """Where each bracket that is closed on its line is closed."""
     stack, ends = [], {}
-    for i, c in enumerate(s):
+    for m in _SPECIAL.finditer(s):
+        c = m[0]
         if c in _BRACKETS:
-            stack.append((i, _BRACKETS[c]))
+            stack.append((m.start(), _BRACKETS[c]))
         elif c == "\n":
             stack.clear()
         elif stack and c == stack[-1][1]:
-            ends[stack.pop()[0]] = i
+            ends[stack.pop()[0]] = m.start()
     return ends
 
 
-def cuts(s: str, hidden: bytearray, delimiters: list[str]) -> list[str]:
-    """The pieces of s between the delimiters that aren't protected."""
-    pieces, last, i, n = [], 0, 0, len(s)
-    singles = {d for d in delimiters if len(d) == 1}
-    words = [d for d in delimiters if len(d) > 1]
-    while i < n:
-        if not hidden[i]:
-            d = s[i] if s[i] in singles else next((w for w in words if s.startswith(w, i)), None)
-            if d:
-                pieces.append(s[last:i])
-                i += len(d)
-                last = i
+def masked(s: str) -> str:
+    """s with each protected character, and the numbering of pieces, made a letter."""
+    hidden = protected(s)
+    if any(hidden):
+        s = "".join("q" if h else c for c, h in zip(s, hidden))
+    return _NUMBERING.sub(lambda m: "q" * len(m[0]), s)
+
+
+def marks(text: str, edges: bool = False) -> list[tuple[str, int, int, bool]]:
+    """(name, from, to, tight) of each mark between two words of a masked text, and at its edges if asked for. The name has a space
+    in front if the text has one there; a mark repeated is one. tight: neither side has a space."""
+    found, tokens = [], list(_TOKEN.finditer(text))
+    for k, m in enumerate(tokens):
+        run = m[0]
+        if run[0].isalnum() or run[0] == "_" or run == " " or not (edges or 0 < k < len(tokens) - 1):
+            continue
+        if "\n" in run or "\t" in run:
+            name, tight = "\n" if "\n" in run else "\t", False
+            a, b = m.start() + min(x for x in (run.find("\n"), run.find("\t")) if x >= 0), m.start() + max(run.rfind("\n"), run.rfind("\t")) + 1
+        else:
+            core = _CORE.search(run)
+            if not core:
                 continue
-        i += 1
-    pieces.append(s[last:])
-    return pieces
+            name = core[0].rstrip(".") or "."
+            a, b = m.start() + core.start(), m.start() + core.start() + len(name)
+            if len(set(name)) == 1:  # repeated, with spaces or not
+                while b < m.end() and text[b] in name[0] + " ":
+                    b += 1
+                b = a + len(text[a:b].rstrip())
+                name = name[0]
+            tight = a > 0 and not text[a - 1].isspace() and not text[b : b + 1].isspace()
+            if a > m.start() and text[a - 1].isspace():
+                name = " " + name
+        found.append((name, a, b, tight))
+    return found
+
+
+def inner_words(piece: str) -> tuple[list[str], list[str]]:
+    """The short words between two others, and those at an end of the piece."""
+    words = piece.lower().split()
+    short = [len(w) <= WORD and w.isalpha() and not _HAN.search(w) for w in words]
+    return [w for w, x in zip(words[1:-1], short[1:-1]) if x], [w for k, (w, x) in enumerate(zip(words, short)) if x and k in (0, len(words) - 1)]
 
 
 def clean(piece: str) -> str:
     """The value as written: trimmed, without bullet or number, joining word, closing full stop and enclosing quotes."""
-    s = _BULLET.sub("", piece.strip().lstrip("​﻿")).strip()
+    s = _BULLET.sub("", piece.strip().lstrip("\u200b\ufeff")).strip()
     s = _JOIN.sub("", s).strip()
     if s.endswith(("。", ".")) and not s.endswith(".."):
         s = s[:-1].rstrip()
@@ -125,69 +155,112 @@ def clean(piece: str) -> str:
     return s
 
 
-def kind(piece: str, delimiters: list[str]) -> str:
-    hidden = protected(piece)
-    if any(not hidden[i] and (c in delimiters) for i, c in enumerate(piece)):
-        return "mixed"
+def kind(piece: str) -> str:
     s = clean(piece)
-    for name, pattern in _TYPES:
-        if pattern.search(s):
-            return name
-    return "phrase" if " " in s else "word" if s else "none"
-
-
-def score_row(s: str) -> dict[str, float]:
-    """The score of each candidate that stands unprotected in s."""
-    hidden, out = protected(s), {}
-    strong = [c for c, p in CANDIDATES.items() if p > 0.5]
-    for c in CANDIDATES:
-        if c not in s:
-            continue
-        pieces = [p for p in cuts(s, hidden, [c]) if p.strip()]
-        if len(pieces) == 1 and pieces[0] == s:
-            continue
-        if c in strong:
-            pure = Counter(kind(p, [d for d in strong if d != c]) for p in pieces)
-            pure.pop("mixed", None)  # in a row of mixed delimiters the pieces that hold another one say nothing
-            out[c] = max(pure.values()) / sum(pure.values()) if len(pieces) > 1 and pure else (0.0 if len(pieces) < 2 else 0.5)
+    return "box" if s[:1] in ("[", "{") else "measure" if s[:1].isdigit() or (s[:1] in "+-" and s[1:2].isdigit()) else "han" if _HAN.search(s) else "text"
+
+
+def score_row(s: str) -> dict[str, tuple[float, float, float]]:
+    """What the row gives each candidate in it: its cuts that can part values, all cuts it is held against, and its cuts between
+    pieces of one type. Words also count at the ends of pieces, as cuts that aren't theirs."""
+    text = masked(s)
+    found = marks(text)
+    n = len(found)
+    ends = [0, *(b for _, _, b, _ in found)]
+    pieces = [s[a : found[k][1]] if k < n else s[a:] for k, a in enumerate(ends)]
+    kinds = [kind(p) for p in pieces]
+    loose = any(not tight for _, _, _, tight in found)
+    names = [f[0] for f in found]
+    inner = set()
+    for d in set(names):
+        counts: dict[str, list[int]] = {c: [0] for c in set(names) if c != d}
+        for name in names:
+            for c, x in counts.items():
+                if name == d:
+                    x.append(0)
+                elif name == c:
+                    x[-1] += 1
+        inner |= {c for c, x in counts.items() if x[0] and len(x) > 2 and len(set(x)) == 1}
+    out: dict[str, list[float]] = {}
+    able = [name for name, _, _, tight in found if name not in inner and not (loose and tight)]
+    kinds_of_mark = len(set(able))
+    usable = len(able) * (kinds_of_mark + 1) / max(1, 2 * kinds_of_mark)  # of several that share a row, none can have all its cuts
+    for k, (name, _, _, tight) in enumerate(found):
+        if len(name) > MARK:
             continue
-        # a word or dash parts values only if what it parts are values of the kind of the row's others
-        parts, others = [], Counter()
-        for whole in cuts(s, hidden, strong):
-            inner = [p for p in cuts(whole, protected(whole), [c]) if p.strip()]
-            if len(inner) > 1:
-                parts += [kind(p, []) for p in inner]
-            elif whole.strip():
-                others[kind(whole, [])] += 1
-        if parts:
-            usual = max(others, key=others.get) if others else "phrase"
-            out[c] = parts.count(usual) / len(parts)
-    return out
+        x = out.setdefault(name, [0.0, usable, 0.0])
+        if name in inner or (loose and tight):
+            x[1] += 1
+        else:
+            x[0] += 1
+            x[2] += kinds[k] == kinds[k + 1]
+    for a, p in zip(ends, pieces):
+        between, at_end = inner_words(text[a : a + len(p)])
+        for w in between:
+            x = out.setdefault(f" {w} ", [0.0, float(len(able)), 0.0])
+            x[0] += 1
+            x[1] += 1
+            x[2] += 1
+        for w in at_end:
+            x = out.setdefault(f" {w} ", [0.0, float(len(able)), 0.0])
+            x[1] += 3
+    return {c: (x[0], x[1], x[2]) for c, x in out.items()}
 
 
 def infer_delimiters(rows: DataFrame) -> DataFrame:
-    """(source, delimiters array<string>, n_rows) of each source of rows (source, answer, ...). Every row counts; the sums are combined
-    before the shuffle, so a source may have any share of the rows. A source without rows has no delimiters; a null source is
-    one of its own ('')."""
+    """(source, delimiters array<string>, n_rows) of each source of rows (source, answer, ...): marks by name, words between spaces.
+    Every row counts; the sums are combined before the shuffle, so a source may have any share of the rows. A source without a
+    mark has no delimiters; a null source is one of its own ('')."""
     ship_code(rows.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             sums: dict[tuple[str, str], list[float]] = {}
             for source, answer in zip(f["source"], f["answer"]):
-                for c, x in score_row(answer.replace("\r\n", "\n")).items():
-                    t = sums.setdefault((source, c), [0.0, 0])
-                    t[0] += x
-                    t[1] += 1
-            yield pd.DataFrame([(s, c, *t) for (s, c), t in sums.items()], columns=["source", "candidate", "score", "n"])
-
-    scored = rows.where("answer is not null").select(F.coalesce("source", F.lit("")).alias("source"), "answer").mapInPandas(run, "source string, candidate string, score double, n long")
-    sums = scored.groupBy("source", "candidate").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
-    priors = rows.sparkSession.createDataFrame([(c, p) for c, p in CANDIDATES.items()], "candidate string, prior double")
-    sources = rows.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n_rows"))
-    joined = sources.crossJoin(F.broadcast(priors)).join(sums, ["source", "candidate"], "left")  # sources x 13 candidates
-    mean = (F.coalesce("score", F.lit(0.0)) + F.col("prior") * PRIOR_ROWS) / (F.coalesce("n", F.lit(0)) + PRIOR_ROWS)
-    return joined.groupBy("source", "n_rows").agg(F.sort_array(F.collect_list(F.when(mean >= ACCEPT, F.col("candidate")))).alias("delimiters")).select("source", "delimiters", "n_rows")
+                sums.setdefault((source, ""), [0.0, 0.0, 0.0, 0])[3] += 1
+                for c, x in score_row(_lines(answer)).items() if answer is not None else ():
+                    t = sums.setdefault((source, c), [0.0, 0.0, 0.0, 0])
+                    for k in range(3):
+                        t[k] += x[k]
+                    t[3] += 1
+            yield pd.DataFrame([(s, c, *t) for (s, c), t in sums.items()], columns=["source", "candidate", "cuts", "held", "alike", "n"])
+
+    scored = rows.select(F.coalesce("source", F.lit("")).alias("source"), "answer").mapInPandas(run, "source string, candidate string, cuts double, held double, alike double, n long")
+    sums = durable(scored.groupBy("source", "candidate").agg(*(F.sum(c).alias(c) for c in ("cuts", "held", "alike", "n"))))
+    of_all = sums.groupBy("candidate").agg(*(F.sum(c).alias("all_" + c) for c in ("cuts", "held", "alike")))
+    x = sums.where("candidate <> ''").join(of_all, "candidate")
+    fill = lambda a, b: (F.col(a) + SHRINK * F.coalesce(F.try_divide(F.col("all_" + a), F.col("all_" + b)), F.lit(0.0))) / (F.col(b) + SHRINK)
+    good = x.where(fill("cuts", "held") * fill("alike", "cuts") >= F.when(F.col("candidate").rlike("^ .* $"), ACCEPT_WORD).otherwise(ACCEPT))
+    chosen = good.groupBy("source").agg(F.sort_array(F.collect_list("candidate")).alias("delimiters"))
+    return sums.where("candidate = ''").select("source", F.col("n").alias("n_rows")).join(chosen, "source", "left").select("source", F.coalesce("delimiters", F.array().cast("array<string>")).alias("delimiters"), "n_rows")
+
+
+def _lines(answer: str) -> str:
+    return answer.replace("\r\n", "\n").replace("\r", "\n")
+
+
+def cuts(s: str, delimiters: set[str]) -> list[str]:
+    """The pieces of s between the delimiters that aren't protected. A mark with a space before it parts where the mark alone does."""
+    text, last, pieces = masked(s), 0, []
+    for name, a, b, _ in marks(text, edges=True):
+        if name in delimiters or name.lstrip(" ") in delimiters or (" " + name in delimiters and (a == 0 or b == len(text))):
+            pieces.append(s[last:a])
+            last = b
+    pieces.append(s[last:])
+    single = "".join(d.strip(" ") for d in delimiters if len(d.strip(" ")) == 1 and not d.strip(" ").isalnum())
+    pieces = [p.strip(single + " ") for p in pieces]  # marks beside another one, as in `;` before a line break
+    words = [d for d in delimiters if len(d) > 2 and d[0] == d[-1] == " "]
+    if not words:
+        return pieces
+    parted = regex.compile(r"(?<=\S)\s+(?:" + "|".join(regex.escape(w.strip()) for w in words) + r")\s+(?=\S)", regex.I)
+    out = []
+    for p in pieces:
+        text, last = masked(p), 0
+        for m in parted.finditer(text):
+            out.append(p[last : m.start()])
+            last = m.end()
+        out.append(p[last:])
+    return out
 
 
 def split_values(rows: DataFrame, delimiters: DataFrame | None = None) -> DataFrame:
@@ -208,9 +281,8 @@ def split_values(rows: DataFrame, delimiters: DataFrame | None = None) -> DataFr
         for f in frames:
             out = []
             for field, key, turn, answer, found in zip(f["field_name"], f["row_key"], f["turn"], f["answer"], f["delimiters"]):
-                s = answer.replace("\r\n", "\n").replace("\r", "\n")
                 pos = 0
-                for piece in cuts(s, protected(s), list(found)):
+                for piece in cuts(_lines(answer), set(found)):
                     if item := clean(piece):
                         pos += 1
                         out.append((field, key, turn, pos, item))

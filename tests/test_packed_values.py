@@ -1,12 +1,14 @@
+import random
+
 import pytest
 
 from benthos.operators import packed_values as V
 
-MARKS = ["\t", "\n", ",", "/", ";", "|", "•", "、", "，", "；"]
+MARKS = {"\t", "\n", ",", " /", ";", "|", " •", "、", "，", "；"}
 
 
-def items(s):
-    return [x for p in V.cuts(s, V.protected(s), MARKS) if (x := V.clean(p))]
+def items(s, delimiters=MARKS):
+    return [x for p in V.cuts(s, delimiters) if (x := V.clean(p))]
 
 
 @pytest.mark.parametrize(
@@ -23,6 +25,9 @@ def items(s):
         ("石斑鱼、海星；'章鱼'", ["石斑鱼", "海星", "章鱼"]),
         ("lone", ["lone"]),
         ('"open, one; two', ['"open', "one", "two"]),
+        ("a, b,", ["a", "b"]),
+        ("'a, b'\tc d\t“e f”", ["a, b", "c d", "e f"]),
+        ("black/white eel / ray", ["black/white eel", "ray"]),
         ("", []),
         (" , ;\n", []),
     ],
@@ -43,9 +48,36 @@ def test_split_values_with_nulls_repeats_and_clashing_columns(spark):
     assert V.split_values(df.limit(0)).count() == 0
 
 
-def test_words_are_no_delimiters(spark):
-    df = spark.createDataFrame([("s", f"red fish; sand and rubble; blue ray {k}") for k in range(40)], "source string, answer string")
-    assert V.infer_delimiters(df).first().delimiters == MARKS_SORTED
+def inferred(spark, rows):
+    found = V.infer_delimiters(spark.createDataFrame(rows, "source string, answer string")).collect()
+    return {r.source: set(r.delimiters) for r in found}
+
+
+def test_delimiters_come_from_the_data(spark):
+    """Marks and words that no list names, and marks inside values, by source."""
+    rng = random.Random(1)
+    fish = ["red fish", "blue ray", "eel", "old rope", "coral wall", "grey seal"]
+    people = [f"{w}, {c}" for w in ("Doe", "Smith", "Lee", "Kent") for c in "AJK"]
+    kinds = {
+        "names": (people, "; ", ";"),
+        "slash": (["and/or", "red/blue fish", "eel", "a/b", "grey seal"], "; ", ";"),
+        "tilde": (fish, " ~ ", " ~"),
+        "hash": (fish, " # ", " #"),
+        "arrow": (fish, " -> ", " ->"),
+        "spanish": (["pez rojo", "raya azul", "anguila", "foca gris"], " y ", " y "),
+        "german": (["roter Fisch", "blauer Rochen", "Aal", "alte Leine"], " und ", " und "),
+        "rubble": ([*fish, "sand and rubble", "ray - spotted"], "; ", ";"),
+        "lines": (fish, "\n", "\n"),
+    }
+    rows = [(source, sep.join(rng.choice(values) for _ in range(rng.randint(1, 6)))) for source, (values, sep, _) in kinds.items() for _ in range(400)]
+    assert inferred(spark, rows) == {source: {mark} for source, (_, _, mark) in kinds.items()}
+    assert items("Doe, A; Smith, J", {";"}) == ["Doe, A", "Smith, J"]
+    assert items("roter Fisch und Aal und 'Hai und Rochen'", {" und "}) == ["roter Fisch", "Aal", "Hai und Rochen"]
 
 
-MARKS_SORTED = sorted(MARKS)
+def test_rows_of_mixed_delimiters(spark):
+    rng = random.Random(2)
+    words = ["red fish", "blue ray", "eel", "old rope", "feather-star", "diver's weight"]
+    mixed = ["".join(rng.choice(words) + rng.choice([", ", "; ", " | "]) for _ in range(5)) + "crab" for _ in range(60)]
+    plain = [", ".join(rng.choices(words, k=4)) for _ in range(100)]
+    assert inferred(spark, [("s", a) for a in mixed + plain] + [("none", None), (None, "lone")]) == {"s": {",", ";", " |"}, "none": set(), "": set()}
