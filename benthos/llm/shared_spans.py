@@ -1,11 +1,13 @@
 """Problem 8: long spans that stand word for word in another document, by difference-cover anchors.
 
 A difference cover D of the period v has, for any two positions i and j, a shift k < v with (i + k) mod v and (j + k) mod v both
-in D. So any match of at least LENGTH characters holds, at such an aligned place, a window of LENGTH - v + 1 characters that is
-hashed in both documents: hashing windows only at the positions of D finds every match. The documents' windows of full LENGTH
-around anchors that another document has too are then compared by a 128-bit hash; those that another document has too are
-shared, and their union over a document, cut into longest runs, is the result. All comparing is grouping by hash, never a pair
-of documents, so a group of copies costs its size, not its square."""
+in D. So any match of at least LENGTH characters holds, in every v of them, such an aligned place, and there a window of
+LENGTH - v + 1 characters that is hashed in both documents: hashing windows only at the positions of D finds every match. Anchors
+that two documents have are sent, with the v - 1 characters at each side, to their hash; in a group of up to GROUP anchors each
+is extended to both sides against the others, and what is LENGTH or more together is shared: with the next anchor v characters
+on, nothing of a match is missed. In a larger group the windows of full LENGTH around its anchors are compared by a 128-bit hash
+instead, so that a group of copies costs its size, not its square. The union over a document, cut into longest runs, is the
+result; no pair of documents ever leaves a task."""
 
 from __future__ import annotations
 
@@ -19,16 +21,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from benthos.operators.skew import hot_split_join
-from benthos.session import durable, ship_code, spread
+from benthos.session import durable, ship_code, spread, written
 
 LENGTH = 200
+#: Anchors of one hash that are extended against each other; windows of larger groups are compared by hash.
+GROUP = 32
+#: The perfect difference set of 91.
+COVER_91 = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 #: Characters hashed at once in a Python worker; a longer document is one part.
 PART = 400_000
 
 
 @lru_cache(maxsize=8)
 def difference_cover(v: int) -> tuple[int, ...]:
-    """A small difference cover of v, greedily: each step adds the residue that covers most differences."""
+    """A small difference cover of v: for 91 the perfect one, else greedily, each step adding the residue that covers most
+    differences."""
+    if v == 91:
+        return COVER_91
     cover, missing = [0], set(range(1, v))
     while missing:
         best = max(range(v), key=lambda x: (len({(x - c) % v for c in cover} & missing | {(c - x) % v for c in cover} & missing), -x))
@@ -95,12 +104,12 @@ def _emit(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatc
 
 
 def anchors(docs: DataFrame, period: int, length: int) -> DataFrame:
-    """(h, doc_id, pos): the hash of the window at each position of the cover, of each document."""
+    """(h, doc_id, part, pos): the hash of the window at each position of the cover, of each document (doc_id, text, part)."""
     width, cover = length - period + 1, np.array(difference_cover(period))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            ids, texts, parts = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for a, b in _parts([len(t) for t in texts]):
                 codes, starts = _codes(texts[a:b])
                 windows = Windows(codes, SEEDS[0])
@@ -110,9 +119,9 @@ def anchors(docs: DataFrame, period: int, length: int) -> DataFrame:
                     grid = (np.arange(0, sizes[k] - width + 1, period)[:, None] + cover).ravel() if sizes[k] >= width else np.empty(0, np.int64)
                     grid = grid[grid + width <= sizes[k]]
                     if len(grid):
-                        yield from _emit([windows.at(starts[k] + grid, width), np.full(len(grid), ids[a + k]), grid.astype(np.int32)], ["h", "doc_id", "pos"])
+                        yield from _emit([windows.at(starts[k] + grid, width), np.full(len(grid), ids[a + k]), np.full(len(grid), parts[a + k]), grid.astype(np.int32)], ["h", "doc_id", "part", "pos"])
 
-    return docs.mapInArrow(_gathered(run), "h long, doc_id long, pos int")
+    return docs.mapInArrow(_gathered(run), "h long, doc_id long, part long, pos int")
 
 
 def _gathered(run):
@@ -158,7 +167,94 @@ def grams(candidates: DataFrame, period: int, length: int) -> DataFrame:
     return candidates.mapInArrow(_gathered(run), "g1 long, g2 long, doc_id long, pos int")
 
 
-def shared_spans(docs: DataFrame, length: int = LENGTH, period: int = 0) -> DataFrame:
+def contexts(candidates: DataFrame, period: int, length: int) -> DataFrame:
+    """(h, h2, doc_id, pos, before, after): each of the document's shared anchors of small groups, with a second hash of it and the
+    period - 1 characters at each side, fewer at the document's ends."""
+    width = length - period + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, hits, hashes = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
+            for a, b in _parts([len(t) for t in texts]):
+                codes, starts = _codes(texts[a:b])
+                second = Windows(codes, SEEDS[1])
+                for k in range(a, b):
+                    pos = hits[k].values.to_numpy()
+                    if len(pos):
+                        t = texts[k]
+                        around = [pa.array([t[max(0, p - period + 1) : p] for p in pos]), pa.array([t[p + width : p + length] for p in pos])]
+                        own = [pa.array(x) for x in (hashes[k].values.to_numpy(), second.at(starts[k - a] + pos, width), np.full(len(pos), ids[k]), pos.astype(np.int32))]
+                        yield pa.RecordBatch.from_arrays([*own, *around], names=["h", "h2", "doc_id", "pos", "before", "after"])
+
+    return candidates.mapInArrow(_gathered(run), "h long, h2 long, doc_id long, pos int, before string, after string")
+
+
+def _sides(texts: list[str], n: int, backwards: bool) -> np.ndarray:
+    """The code points of each text from the anchor on, as rows of n; what a text lacks equals nothing."""
+    out = np.repeat(-1 - np.arange(len(texts), dtype=np.int64)[:, None], n, 1)
+    sizes = np.array([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    rows = np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[rows, np.repeat(sizes, sizes) - 1 - at if backwards else at] = codes
+    return out
+
+
+def _reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of their leading columns each row of a and of b have in common."""
+    other = a != b
+    return np.where(other.any(1), other.argmax(1), a.shape[1])
+
+
+def extended(t: pa.Table, period: int, length: int) -> pa.RecordBatch:
+    """(doc_id, from_char, to_char) of the anchors of t, sorted by h, that are part of a match of `length` or more."""
+    width = length - period + 1
+    h, h2, doc, pos = (t.column(c).to_numpy() for c in ("h", "h2", "doc_id", "pos"))
+    before, after = _sides(t.column("before").to_pylist(), period - 1, True), _sides(t.column("after").to_pylist(), period - 1, False)
+    left, right = np.full(len(h), -1), np.full(len(h), -1)
+    edges = np.flatnonzero(np.diff(h)) + 1
+    size = np.diff(np.concatenate([[0], edges, [len(h)]]))
+    last = np.repeat(np.cumsum(size), size)  # where each row's group ends
+    for step in range(1, int(size.max()) if len(size) else 0):
+        i = np.flatnonzero(np.arange(len(h)) + step < last)
+        j = i + step
+        ok = (doc[i] != doc[j]) & (h2[i] == h2[j])
+        i, j = i[ok], j[ok]
+        for k in range(0, len(i), 20_000):
+            a, b = i[k : k + 20_000], j[k : k + 20_000]
+            x, y = _reach(before[a], before[b]), _reach(after[a], after[b])
+            ok = x + width + y >= length
+            for e in (a[ok], b[ok]):
+                np.maximum.at(left, e, x[ok])
+                np.maximum.at(right, e, y[ok])
+    on = left >= 0
+    return pa.RecordBatch.from_arrays([pa.array(doc[on]), pa.array((pos[on] - left[on]).astype(np.int32)), pa.array((pos[on] + width + right[on]).astype(np.int32))], names=["doc_id", "from_char", "to_char"])
+
+
+def extend(around: DataFrame, period: int, length: int) -> DataFrame:
+    """(doc_id, from_char, to_char) of every match of the anchors of one hash, which stand in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 20_000:  # but for the last group, which may go on
+                t = pa.Table.from_batches(held)
+                h = t.column("h").to_numpy()
+                cut = int(np.searchsorted(h, h[-1])) if h[0] != h[-1] else 0
+                if cut:
+                    yield extended(t.slice(0, cut), period, length)
+                held = t.slice(cut).combine_chunks().to_batches()
+                rows = len(h) - cut
+        if rows:
+            yield extended(pa.Table.from_batches(held), period, length)
+
+    return around.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc_id long, from_char int, to_char int")
+
+
+def shared_spans(docs: DataFrame, length: int = LENGTH, period: int = 0, group: int = GROUP) -> DataFrame:
     """(doc_id, from_char, to_char): the longest runs of characters that lie in `length` or more successive characters standing
     identically in a document with another doc_id. Offsets count code points from 0, to_char is exclusive.
 
@@ -169,10 +265,12 @@ def shared_spans(docs: DataFrame, length: int = LENGTH, period: int = 0) -> Data
     """
     spark = docs.sparkSession
     ship_code(spark)
-    period = period or max(1, length * 91 // 200)
+    period = period or max(2, length * 91 // 200)
     texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= length))
-    found = durable(anchors(spread(texts), period, length))
-    return _spans(texts, found, length, period)
+    # a document of several rows is one, but its texts have positions of their own
+    texts = texts.withColumn("part", F.xxhash64("text"))
+    found = written(anchors(spread(texts), period, length), "anchors")
+    return _spans(texts, found, length, period, group)
 
 
 def _twice(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -181,17 +279,23 @@ def _twice(df: DataFrame, keys: list[str]) -> DataFrame:
     return seen.where("_a <> _b").drop("_a", "_b")
 
 
-def _spans(texts: DataFrame, found: DataFrame, length: int, period: int) -> DataFrame:
-    hits = hot_split_join(found, _twice(found, ["h"]), ["h"], "_n", found.count())
-    by_doc = hits.groupBy("doc_id").agg(F.collect_set("pos").alias("hits"))  # bounded by the document's own length
-    candidates = texts.join(by_doc, "doc_id").select("doc_id", "text", "hits")
-    wide = durable(grams(candidates, period, length))
-    shared = hot_split_join(wide, _twice(wide, ["g1", "g2"]), ["g1", "g2"], "_n", wide.count()).select("doc_id", "pos").distinct()
-    # windows that begin at most `length` apart touch or overlap: one run
-    by_pos = Window.partitionBy("doc_id").orderBy("pos")
-    starts = shared.withColumn("new", (F.col("pos") - F.lag("pos").over(by_pos) > length).cast("int"))
-    runs = starts.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(by_pos))
-    return runs.groupBy("doc_id", "run").agg(F.min("pos").cast("int").alias("from_char"), (F.max("pos") + length).cast("int").alias("to_char")).drop("run")
+def _spans(texts: DataFrame, found: DataFrame, length: int, period: int, group: int) -> DataFrame:
+    shared = durable(_twice(found, ["h"]).withColumn("small", F.col("_n") <= group))
+    hits = hot_split_join(found, shared, ["h"], "_n", found.count())
+    # bounded by the document's own length
+    by_doc = hits.groupBy("doc_id", "part").agg(F.collect_list(F.when(F.col("small"), F.struct("pos", "h"))).alias("near"), F.collect_list(F.when(~F.col("small"), F.col("pos"))).alias("hits"))
+    candidates = written(texts.join(by_doc, ["doc_id", "part"]).select("doc_id", "text", F.col("near.pos").alias("near"), F.col("near.h").alias("hashes"), "hits"), "candidates")
+    runs = extend(contexts(candidates.select("doc_id", "text", "near", "hashes"), period, length), period, length)
+    if not shared.where("not small").isEmpty():
+        wide = written(grams(candidates.where("size(hits) > 0").select("doc_id", "text", "hits"), period, length), "grams")
+        same = hot_split_join(wide, _twice(wide, ["g1", "g2"]), ["g1", "g2"], "_n", wide.count())
+        runs = runs.unionByName(same.select("doc_id", F.col("pos").alias("from_char"), (F.col("pos") + length).alias("to_char")))
+    # spans that touch or overlap are one run
+    before = Window.partitionBy("doc_id").orderBy("from_char", "to_char").rowsBetween(Window.unboundedPreceding, -1)
+    up_to = Window.partitionBy("doc_id").orderBy("from_char", "to_char")
+    starts = runs.distinct().withColumn("new", F.coalesce((F.col("from_char") > F.max("to_char").over(before)).cast("int"), F.lit(1)))
+    numbered = starts.withColumn("run", F.sum("new").over(up_to))
+    return numbered.groupBy("doc_id", "run").agg(F.min("from_char").alias("from_char"), F.max("to_char").alias("to_char")).drop("run")
 
 
 def shared_report(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -37,9 +37,9 @@ def test_cover(v):
     assert {(a - b) % v for a in d for b in d} == set(range(v)) and len(d) <= 2 * v**0.5 + 3
 
 
-def check(spark, docs, length):
+def check(spark, docs, length, group=S.GROUP):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS h", "2 AS pos", "3 AS hits")
-    got = [tuple(r) for r in S.shared_spans(df, length).select("doc_id", "from_char", "to_char").collect()]
+    got = [tuple(r) for r in S.shared_spans(df, length, group=group).select("doc_id", "from_char", "to_char").collect()]
     assert len(got) == len(set(got)) and set(got) == brute(docs, length)
     return got
 
@@ -51,11 +51,13 @@ def test_random_texts(spark):
     docs = [(k, "".join(rng.choice([word(rng.randint(0, 25)), rng.choice(common)[rng.randint(0, 9) :]]) for _ in range(rng.randint(0, 8)))) for k in range(60)]
     docs += [(100, None), (101, ""), (None, common[0] * 2), (102, docs[3][1]), (103, docs[3][1]), (104, common[1] + common[1])]
     assert check(spark, docs, 20)
+    assert check(spark, docs, 20, group=3)  # most anchors' groups are larger, and compared by hash
 
 
 def test_copies_and_repeats(spark):
     text = "".join(random.Random(1).choice("abcdef") for _ in range(400))
     assert sorted(check(spark, [(k, text) for k in range(30)] + [(99, text[:200]), (98, text[:199])], 200))[0] == (0, 0, 400)
+    assert len(check(spark, [(k, text) for k in range(40)] + [(99, text[:200]), (98, text[150:] + "z" * 90)], 200)) == 42
     assert check(spark, [(1, "ab" * 300)], 200) == []  # only within itself
     assert check(spark, [(1, text), (1, text)], 200) == []  # one document twice
     assert check(spark, [], 200) == []
