@@ -61,6 +61,26 @@ def null_like(c: Column) -> Column:
     return c.isNull() | F.lower(F.trim(c)).isin("nan", "none", "")
 
 
+def until_null_like(options: Column) -> Column:
+    """The options before the first null-like one."""
+    first = F.array_position(F.transform(options, null_like), True)
+    return F.when(first > 0, F.slice(options, F.lit(1), (first - 1).cast("int"))).otherwise(options)
+
+
+def rotated(options: Column, by: Column) -> Column:
+    return F.concat(F.slice(options, by + 1, F.size(options)), F.slice(options, F.lit(1), by))
+
+
+#: Fixed value: the instruction after the options.
+ONE_LETTER = "Answer with the option’s letter from the given choices directly."
+
+
+def mcq_prompt(hint: Column, question: Column, options: Column) -> Column:
+    """Hint (unless null-like), question, lettered options and the instruction, a line each."""
+    lettered = F.transform(options, lambda x, i: F.concat(F.char(i + 65), F.lit(". "), x))
+    return F.concat_ws("\n", F.when(~null_like(hint), hint), question, F.array_join(lettered, "\n"), F.lit(ONE_LETTER))
+
+
 def yes_or_no(c: Column) -> Column:
     """no, if the first sentence, commas aside, has one of the words No, not or no; else yes."""
     words = F.split(F.replace(F.substring_index(c, ".", 1), F.lit(","), F.lit("")), " ")
@@ -118,6 +138,7 @@ CONTRACTIONS = {
     "wouldn'tve": "wouldn't've", "yall": "y'all", "yall'll": "y'all'll", "y'allll": "y'all'll", "yall'd've": "y'all'd've", "y'alld've": "y'all'd've",
     "y'all'dve": "y'all'd've", "youd": "you'd", "youd've": "you'd've", "you'dve": "you'd've", "youll": "you'll", "youre": "you're", "youve": "you've",
 }
+#: Number words, articles and signs of the answer normaliser.
 NUMBER_WORDS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
 ARTICLES = ("a", "an", "the")
 SIGNS = (";", "/", "[", "]", '"', "{", "}", "(", ")", "=", "+", "\\", "_", "-", ">", "<", "@", "`", ",", "?", "!")

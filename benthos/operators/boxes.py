@@ -20,23 +20,54 @@ def without_tokens(c: Column) -> Column:
 
 
 def parse_plain(c: Column) -> Column:
-    """Boxes of lines `label N: [x1,y1,x2,y2]`: label in lower case without digits, numbers above 1 taken as thousandths. Lines of
-    another shape are skipped; a line whose brackets don't hold numbers makes the whole text null; other than four numbers skip."""
-    lines = F.transform(F.split(without_tokens(c), "\n"), lambda s: F.regexp_extract_all(s, F.lit(r"^([^:\[]*):\s*\[\[?([^\]]*)\]?\]?\s*$"), 0))
-    shaped = F.flatten(lines)
-    rows = F.transform(
-        shaped,
-        lambda s: F.struct(
-            F.lower(F.trim(F.regexp_replace(F.regexp_extract(s, r"^([^:\[]*):", 1), r"\d", ""))).alias("category"),
-            F.transform(F.split(F.regexp_extract(s, r"\[\[?([^\]]*)", 1), ","), lambda x: F.trim(x).try_cast("double")).alias("v"),
-        ),
-    )
-    broken = F.exists(rows, lambda r: F.exists(r["v"], lambda x: x.isNull()))
+    """Boxes of lines `label N: [x1,y1,x2,y2]` or `<ref>label</ref><box>[[x1,y1,x2,y2]]</box>`: label trimmed, in lower case, without
+    digits; numbers above 1 taken as thousandths. A line of another shape (no `[[` and not one colon) is skipped, as is one
+    with other than four numbers; a line whose brackets hold no or other than numbers makes the whole text null."""
+    lines = F.transform(F.split(c, "\n"), without_tokens)
+    double = lambda s: (F.length(s) - F.length(F.replace(s, F.lit("[["), F.lit("")))) / 2
+    shaped = F.filter(lines, lambda s: F.when(s.contains("[["), double(s) == 1).otherwise(F.size(F.split(s, ":")) == 2))
+    parted = F.transform(shaped, lambda s: F.when(s.contains("[["), F.split(s, r"\[\[")).otherwise(F.split(s, ":")))
+    numbers = lambda x: F.filter(F.transform(F.split(F.regexp_replace(F.trim(x), r"^[\[\]]+|[\[\]]+$", ""), ","), lambda x: F.trim(x)), lambda v: v != "")
+    label = lambda x: F.lower(F.trim(F.regexp_replace(x, r"[\d:]", "")))
+    rows = F.transform(parted, lambda r: F.struct(label(r[0]).alias("category"), F.transform(numbers(r[1]), lambda x: x.try_cast("double")).alias("v")))
+    broken = F.exists(rows, lambda r: (F.size(r["v"]) == 0) | F.exists(r["v"], lambda x: x.isNull()))
     scaled = F.transform(F.filter(rows, lambda r: F.size(r["v"]) == 4), lambda r: F.struct(r["category"].alias("category"), F.when(F.array_max(r["v"]) > 1, F.transform(r["v"], lambda x: x / 1000)).otherwise(r["v"]).alias("v")))
     boxes = F.transform(scaled, lambda r: F.struct(r["category"].alias("category"), r["v"][0].alias("x1"), r["v"][1].alias("y1"), r["v"][2].alias("x2"), r["v"][3].alias("y2")))
     return F.when(~broken, boxes)
 
 
+def one_plain(c: Column) -> Column:
+    """The box of a grounding answer, `[x1,y1,x2,y2]` or `<ref>label</ref><box>[[…]]</box>`: null for several boxes, several lines,
+    another shape or other than numbers; numbers above 1 taken as thousandths. Their count isn't looked at here."""
+    last = F.element_at(F.split(without_tokens(c), r"\[\["), -1)
+    inner = F.regexp_replace(F.trim(F.when(c.contains("[["), last).otherwise(c)), r"^[\[\]]+|[\[\]]+$", "")
+    v = F.transform(F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: x.try_cast("double"))
+    fits = ~c.contains("],[") & ~c.contains("], [") & ~c.contains("\n") & ~inner.contains(":") & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull())
+    return F.when(fits, F.when(F.array_max(v) > 1, F.transform(v, lambda x: x / 1000)).otherwise(v))
+
+
+def one_json(c: Column) -> Column:
+    """The box of a grounding answer in JSON, the first of a list: null (left out) if the text names Fish or several boxes, and
+    [0, 0, 0, 0] if it can't be read."""
+    whole = F.try_parse_json(c)
+    one = F.coalesce(F.try_variant_get(whole, "$[0].bbox_2d", "array<double>"), F.try_variant_get(whole, "$.bbox_2d", "array<double>"))
+    zero = F.array(*(F.lit(0.0) for _ in range(4)))
+    many = c.contains("Fish") | c.contains("],[") | c.contains("], [")
+    return F.when(one.isNull(), zero).when(~many, one)
+
+
+def to_pixels(box: Column, w: Column, h: Column) -> Column:
+    """A box of shares of the sides in pixels, as (x, y, width, height, area)."""
+    x1, y1, x2, y2 = box["x1"] * w, box["y1"] * h, box["x2"] * w, box["y2"] * h
+    return F.struct(x1.alias("x"), y1.alias("y"), (x2 - x1).alias("width"), (y2 - y1).alias("height"), ((x2 - x1) * (y2 - y1)).alias("area"))
+
+
+def between_sizes(x: Column, scale: Column, last: Column | None = None) -> Column:
+    """A coordinate scaled, halves to the even number, and kept between 0 and last if that is given."""
+    moved = F.bround(x * scale).cast("bigint")
+    return moved if last is None else F.greatest(F.lit(0).cast("bigint"), F.least(moved, last))
+
+
 def parse_json(c: Column) -> Column:
     """Boxes of `{"bbox_2d": [...], "label": ...}` objects parted by commas; a text that isn't wholly JSON is null."""
     parsed = F.from_json(F.concat(F.lit("["), without_tokens(c), F.lit("]")), "array<struct<bbox_2d:array<double>,label:string>>")
@@ -190,19 +221,31 @@ def matches(truth: DataFrame, found: DataFrame, most: int = 100) -> DataFrame:
     return grouped.mapInPandas(match, "run string, category string, area string, t int, rank int, image string, pred_no long, score double, hit boolean, ignored boolean")
 
 
-def average_precision(matched: DataFrame) -> DataFrame:
-    """(run, category, area, t, n_truth, ap, recall): the mean of the precision envelope at 101 recalls, and the recall reached;
-    categories without a true box in the area range are left out. Found boxes of a category go by score, picture and number."""
-    cell = ["run", "category", "area", "t"]
-    counts = matched.where("pred_no < 0").groupBy(*cell).agg(F.sum("rank").alias("n_truth")).where("n_truth > 0")
-    order = Window.partitionBy(*cell).orderBy(F.desc("score"), "image", "pred_no")
+def average_precision(matched: DataFrame, most: tuple[int, ...] = (100,)) -> DataFrame:
+    """(run, category, area, t, most, n_truth, ap, recall): the mean of the precision envelope at 101 recalls, and the recall
+    reached, with no more than `most` found boxes a picture; categories without a true box in the area range are left out. Found
+    boxes of a category go by score, md5 of the picture, and number.
+
+    A category may have most of the boxes: its boxes are dealt in order to parts by score and md5 and only the parts' sums
+    are carried over, so that no task ranks a whole category."""
+    cell = ["run", "category", "area", "t", "most"]
+    wide = matched.withColumn("most", F.explode(F.array(*(F.lit(m) for m in most))))
+    counts = wide.where("pred_no < 0").groupBy(*cell).agg(F.sum("rank").alias("n_truth")).where("n_truth > 0")
+    found = wide.where("pred_no >= 0 and not ignored and rank < most")
+    part = [*cell, "_s", "_p"]
+    dealt = found.withColumns({"_s": -F.col("score"), "_h": F.md5(F.col("image").cast("binary"))}).withColumn("_p", F.substring("_h", 1, 2))
+    sums = dealt.groupBy(*part).agg(F.sum(F.col("hit").cast("long")).alias("_hits"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*cell).orderBy("_s", "_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*part, F.coalesce(F.sum("_hits").over(before), F.lit(0)).alias("_tp0"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_n0"))
+    order = Window.partitionBy(*part).orderBy("_h", "image", "pred_no")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = matched.where("pred_no >= 0 and not ignored").withColumn("tp", F.sum(F.col("hit").cast("int")).over(upto)).withColumn("n", F.row_number().over(order))
-    joined = curve.join(counts, cell)
-    points = joined.withColumns({"r": F.col("tp") / F.col("n_truth"), "p": F.col("tp") / F.col("n")})
-    behind = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    envelope = points.withColumn("env", F.max("p").over(behind)).withColumn("before", F.coalesce(F.lag("r").over(order), F.lit(-1.0)))
-    # the recalls k / 100 for which this is the first point that reaches them
-    steps = F.floor(F.col("r") * 100 + 1e-9) - F.when(F.col("before") < 0, -1).otherwise(F.floor(F.col("before") * 100 + 1e-9))
-    sums = envelope.groupBy(*cell).agg((F.sum(steps * F.col("env")) / 101).alias("ap"), F.max("r").alias("recall"))
+    curve = dealt.join(offsets, part).withColumns({"tp": F.sum(F.col("hit").cast("long")).over(upto) + F.col("_tp0"), "n": F.row_number().over(order) + F.col("_n0")})
+    # only points at a hit can raise the envelope; of those with one recall step the best is enough
+    points = curve.where("hit").join(counts, cell).withColumns({"r": F.col("tp") / F.col("n_truth"), "p": F.col("tp") / F.col("n")}).withColumn("k", F.floor(F.col("r") * 100 + 1e-9).cast("int"))
+    steps = points.groupBy(*cell, "n_truth", "k").agg(F.max("p").alias("p"), F.max("r").alias("r"))
+    behind = Window.partitionBy(*cell).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lower = Window.partitionBy(*cell).orderBy("k")
+    envelope = steps.withColumns({"env": F.max("p").over(behind), "from": F.coalesce(F.lag("k").over(lower), F.lit(-1))})
+    # the precision at recall j / 100 is the envelope of the first step k >= j
+    sums = envelope.groupBy(*cell).agg((F.sum((F.col("k") - F.col("from")) * F.col("env")) / 101).alias("ap"), F.max("r").alias("recall"))
     return counts.join(sums, cell, "left").fillna(0.0, ["ap", "recall"])

@@ -101,7 +101,9 @@ def padded(a: Column, length: Column, fill: int) -> Column:
 
 def positions(mask: Column) -> Column:
     """The running count of ones, less one; 1 where the mask is 0."""
-    return F.transform(mask, lambda m, i: F.when(m == 0, 1).otherwise(F.aggregate(F.slice(mask, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x) - 1))
+    start = F.struct(F.lit(-1).alias("n"), F.array().cast("array<int>").alias("p"))
+    step = lambda a, m: F.struct((a["n"] + m.cast("int")).alias("n"), F.array_append(a["p"], F.when(m == 0, 1).otherwise(a["n"] + m.cast("int"))).alias("p"))
+    return F.aggregate(mask, start, step, lambda a: a["p"])
 
 
 def interleave(c: Column) -> Column:

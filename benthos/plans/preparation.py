@@ -17,6 +17,9 @@ from benthos.sources.files import metric_document, unseen
 from benthos.sources.tables import table
 from benthos.streaming import workers as W
 
+#: White space of any script, for the SQL twins.
+SPACES = r"[\s\p{Z}\x{0085}\x{000b}]+"
+
 # --- captions ---------------------------------------------------------------------------------------------------------
 
 CAPS = f"""WITH {LAST}, toks AS (SELECT model_id, id AS key, list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}'']+', ' ', 'g'), ' '), lambda w: w <> '') AS hyp, list_filter(string_split(regexp_replace(lower(gt), '[^\\p{{L}}\\p{{N}}'']+', ' ', 'g'), ' '), lambda w: w <> '') AS ref FROM lastp WHERE answer_form='caption' AND text IS NOT NULL AND gt IS NOT NULL),
@@ -84,23 +87,20 @@ def vqa_soft_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("answer").agg(F.count(F.lit(1)).alias("n"), F.avg(C.soft_score(F.col("k"))).alias("soft"), F.avg(F.array_contains("answers", F.col("answer")).cast("int")).alias("exact"))
 
 
-@query("""SELECT model_id, count(*) AS n, avg(CASE WHEN s >= 0.5 THEN s ELSE 0 END) AS anls FROM (SELECT model_id, coalesce(1-levenshtein(lower(trim(text)), lower(trim(gt)))/nullif(greatest(length(trim(text)), length(trim(gt))),0), 1) AS s FROM predictions WHERE answer_form='label' AND text IS NOT NULL AND gt IS NOT NULL AND regexp_matches(text || gt, '^[ -~]*$')) GROUP BY 1""")
-def vqa_anls(spark: SparkSession, d: str) -> DataFrame:
-    """Of answers and truths in printable ASCII only, as the SQL twin has it; vqa_anls_all scores all."""
-    p = table(spark, d, "predictions").where("answer_form = 'label' and text is not null and gt is not null").where(F.concat("text", "gt").rlike(r"^[ -~]*\z"))
-    return _anls(p)
+# the twin's edit distance is of bytes, so each other character of a pair is first put into one of those that lower case leaves free
+ONE_BYTE = "array_to_string([chr(i::INT) FOR i IN range(1, 9)] || [chr(i::INT) FOR i IN range(14, 32)] || [chr(i::INT) FOR i IN range(65, 91)], '')"
 
 
-def _anls(p: DataFrame) -> DataFrame:
+@query(f"""WITH p AS (SELECT model_id, lower({STRIP.format('text')}) AS a, lower({STRIP.format('gt')}) AS b FROM predictions WHERE answer_form='label' AND text IS NOT NULL AND gt IS NOT NULL),
+m AS (SELECT *, array_to_string(list_sort(list_distinct(regexp_extract_all(a || b, '[^\\x00-\\x7F]'))), '') AS other FROM p),
+t AS (SELECT model_id, translate(a, other, {ONE_BYTE}) AS a, translate(b, other, {ONE_BYTE}) AS b FROM m)
+SELECT model_id, count(*) AS n, avg(CASE WHEN s >= 0.5 THEN s ELSE 0 END) AS anls FROM (SELECT model_id, coalesce(1-levenshtein(a, b)/nullif(greatest(length(a), length(b)),0), 1) AS s FROM t) GROUP BY 1""")
+def vqa_anls(spark: SparkSession, d: str) -> DataFrame:
+    """Every label answer with a truth, in whatever script and with white space around it or not."""
+    p = table(spark, d, "predictions").where("answer_form = 'label' and text is not null and gt is not null")
     return p.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.avg(C.anls(F.col("text"), F.array("gt"))).alias("anls"))
 
 
-@query()
-def vqa_anls_all(spark: SparkSession, d: str) -> DataFrame:
-    """vqa_anls of every label answer with a truth, in whatever script and with white space around it or not."""
-    return _anls(table(spark, d, "predictions").where("answer_form = 'label' and text is not null and gt is not null"))
-
-
 @query()
 def normal_answers(spark: SparkSession, d: str) -> DataFrame:
     """Free answers as the answer normaliser gives them."""
@@ -140,65 +140,48 @@ for _style, _sql in _CASES.items():
     query(f"{TURNS} SELECT row_no, {_sql} AS prompt FROM t")(_prompts(_style))
 
 
-@query(TURNS + ", m AS (SELECT row_no, t, list_transform(t, lambda x: len(list_filter(regexp_split_to_array(x.v, '\\s+'), lambda w: w <> ''))) AS n FROM t) SELECT row_no, len(t) AS n_turns, list_sum(n)::BIGINT AS n_tokens, coalesce(list_sum(list_transform(range(1,len(t)+1), lambda i: CASE WHEN t[i].h THEN 0 ELSE n[i] END)),0)::BIGINT AS n_labels, coalesce(len(list_filter(range(1,len(t)+1), lambda i: t[i].h <> (i % 2 = 1))),0) = 0 AS alternates FROM m")
+@query(TURNS + ", m AS (SELECT row_no, t, list_transform(t, lambda x: len(list_filter(regexp_split_to_array(x.v, '@U@'), lambda w: w <> ''))) AS n FROM t) SELECT row_no, len(t) AS n_turns, list_sum(n)::BIGINT AS n_tokens, coalesce(list_sum(list_transform(range(1,len(t)+1), lambda i: CASE WHEN t[i].h THEN 0 ELSE n[i] END)),0)::BIGINT AS n_labels, coalesce(len(list_filter(range(1,len(t)+1), lambda i: t[i].h <> (i % 2 = 1))),0) = 0 AS alternates FROM m".replace("@U@", SPACES))
 def target_masks(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of each conversation, those that count as labels, and whether its turns alternate. The twin parts words at ASCII white
-    space only, so any other is made a letter first; target_masks_all gives the tokens as they are."""
-    return _masks(_turns(spark, d), lambda v: F.regexp_replace(v, "[\\u00a0\\u3000\\u2028\\u200b]", "x"))
-
-
-def _masks(turns: DataFrame, clean) -> DataFrame:
-    m = turns.withColumn("l", V.labelled(F.transform("t", lambda x: F.struct(x["human"].alias("human"), clean(x["value"]).alias("value")))))
+    """Tokens of each conversation, those that count as labels, and whether its turns alternate; white space of any script parts words."""
+    m = _turns(spark, d).withColumn("l", V.labelled(F.col("t")))
     return m.select("row_no", F.size("t").cast("long").alias("n_turns"), F.size("l.ids").cast("long").alias("n_tokens"), F.size(F.filter("l.labels", lambda x: x != V.IGNORED)).cast("long").alias("n_labels"), V.alternates(F.col("t")).alias("alternates"))
 
 
-@query()
-def target_masks_all(spark: SparkSession, d: str) -> DataFrame:
-    """target_masks of the texts as they are, words parted by white space of any script."""
-    return _masks(_turns(spark, d), lambda v: v)
-
-
-@query("""WITH p AS (SELECT pred_no, string_split(coalesce(prompt, ''), '<image>') AS s FROM predictions) SELECT pred_no, len(s)-1 AS n_images, 1+len(s)-1+list_sum(list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> ''))))::BIGINT AS n_tokens, 1+2*(len(s)-1)+list_sum(list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> ''))))::BIGINT AS n_doubled FROM p""")
+@query("""WITH p AS (SELECT pred_no, string_split(coalesce(prompt, ''), '<image>') AS s FROM predictions), n AS (SELECT pred_no, len(s)-1 AS n_images, list_sum(list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '@U@'), lambda w: w <> ''))))::BIGINT AS n FROM p) SELECT pred_no, n_images, 1+n_images+n AS n_tokens, 1+2*n_images+n AS n_doubled FROM n""".replace("@U@", SPACES))
 def image_splice(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts' tokens with an image token in place of each `<image>`; and with these doubled. Only ASCII white space parts words
-    here, as in target_masks; image_splice_all gives the tokens as they are."""
-    return _spliced(table(spark, d, "predictions"), F.regexp_replace(F.coalesce("prompt", F.lit("")), "[\\u00a0\\u3000\\u2028\\u200b]", "x"))
-
-
-def _spliced(predictions: DataFrame, prompt: Column) -> DataFrame:
-    p = predictions.select("pred_no", V.splice_image(prompt).alias("ids"))
+    """Prompts' tokens with an image token in place of each `<image>`; and with these doubled."""
+    p = table(spark, d, "predictions").select("pred_no", V.splice_image(F.coalesce("prompt", F.lit(""))).alias("ids"))
     return p.select("pred_no", F.size(F.filter("ids", lambda x: x == V.IMAGE)).cast("long").alias("n_images"), F.size("ids").cast("long").alias("n_tokens"), F.size(V.double_images(F.col("ids"))).cast("long").alias("n_doubled"))
 
 
-@query()
-def image_splice_all(spark: SparkSession, d: str) -> DataFrame:
-    """image_splice of the prompts as they are, words parted by white space of any script."""
-    return _spliced(table(spark, d, "predictions"), F.coalesce("prompt", F.lit("")))
-
-
 @query(r"SELECT pred_no, CASE WHEN contains(prompt, '<image>') THEN E'<image>\n' || " + STRIP.format("replace(prompt, '<image>', '')") + " ELSE prompt END AS prompt, ((length(prompt)-length(replace(prompt,'<image>','')))/7)::INT AS n_images FROM predictions WHERE prompt IS NOT NULL")
 def prompt_image_first(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "predictions").where("prompt is not null").select("pred_no", T.with_image_first(F.col("prompt")).alias("prompt"), T.media_tokens(F.col("prompt")).alias("n_images"))
 
 
-@query("""WITH s AS (SELECT row_no, coalesce(num_tokens, 0) % 7 + 2 AS n, coalesce(num_tokens, 0) % 3 + 1 AS g FROM samples) SELECT row_no, (n+g*g*2+n)::INT AS n_positions, (n+greatest(g,2)+n-1)::INT AS last_position, (n + g - 1)::INT AS last_w FROM s""")
+GRID = """WITH s AS (SELECT row_no, coalesce(num_tokens, 0) % 7 + 2 AS n, coalesce(num_tokens, 0) % 3 + 1 AS g FROM samples), e AS (SELECT row_no, n, g, unnest(range(0, n + 2*g*g + n)) AS k FROM s)
+SELECT row_no, k::INT AS k, (CASE WHEN k < n THEN k WHEN k < n+2*g*g THEN n + (k-n)//(g*g) ELSE n + greatest(2, g) + k - n - 2*g*g END)::INT AS t, (CASE WHEN k < n THEN k WHEN k < n+2*g*g THEN n + (k-n)//g % g ELSE n + greatest(2, g) + k - n - 2*g*g END)::INT AS h, (CASE WHEN k < n THEN k WHEN k < n+2*g*g THEN n + (k-n) % g ELSE n + greatest(2, g) + k - n - 2*g*g END)::INT AS w FROM e"""
+
+
+@query(GRID)
 def grid_positions(spark: SparkSession, d: str) -> DataFrame:
-    """Three-axis positions of text, a picture of 2 x g x g cells, and text."""
+    """Three-axis positions, one row each, of text, a picture of 2 x g x g cells, and text."""
     n, g = (F.coalesce("num_tokens", F.lit(0)) % 7 + 2).alias("n"), (F.coalesce("num_tokens", F.lit(0)) % 3 + 1).alias("g")
     s = table(spark, d, "samples").select("row_no", n, g)
     seg = lambda k, t, h, w: F.struct(k.cast("int").alias("n"), t.cast("int").alias("t"), h.cast("int").alias("h"), w.cast("int").alias("w"))
     zero = F.lit(0)
     p = V.grid_positions(F.array(seg(F.col("n"), zero, zero, zero), seg(zero, F.lit(2), F.col("g"), F.col("g")), seg(F.col("n"), zero, zero, zero)))
-    picture = F.slice(p, F.col("n") + 1, F.col("g") * F.col("g") * 2)
-    return s.select("row_no", F.size(p).alias("n_positions"), F.element_at(p, -1)["t"].alias("last_position"), F.array_max(F.transform(picture, lambda x: x["w"])).alias("last_w"))
+    return s.select("row_no", F.posexplode(p).alias("k", "p")).select("row_no", "k", "p.*")
 
 
-@query("SELECT row_no, least(n, 40) AS kept, 40 AS padded, least(n, 40)-1 AS last_position FROM (SELECT row_no, coalesce(num_tokens, 1) AS n FROM samples) WHERE n > 0")
+@query("SELECT row_no, k::INT AS k, CASE WHEN k < n THEN ((row_no * 31 + k * 17) % 1000 + 1)::INT ELSE 0 END AS id, (k < n)::INT AS mask, CASE WHEN k < n THEN k ELSE 1 END::INT AS position FROM (SELECT row_no, coalesce(num_tokens, 1) AS n, unnest(range(0, 40)) AS k FROM samples) WHERE n > 0")
 def pad_truncate(spark: SparkSession, d: str) -> DataFrame:
-    """Token lists cut or filled to 40, and the last of the positions counted over the mask."""
-    s = table(spark, d, "samples").select("row_no", F.sequence(F.lit(1), F.coalesce("num_tokens", F.lit(1))).alias("ids")).where("size(ids) > 0")
+    """Token lists cut or filled to 40: each id, its mask and its position counted over the mask (1 where it is filled)."""
+    made = F.transform(F.sequence(F.lit(0), F.coalesce("num_tokens", F.lit(1)) - 1), lambda k: ((F.col("row_no") * 31 + k * 17) % 1000 + 1).cast("int"))
+    s = table(spark, d, "samples").where("coalesce(num_tokens, 1) > 0").select("row_no", made.alias("ids"))
     p = s.select("row_no", V.padded(F.col("ids"), F.lit(40), 0).alias("p")).withColumn("m", F.transform("p", lambda x: (x != 0).cast("int")))
-    return p.select("row_no", F.aggregate("m", F.lit(0), lambda a, x: a + x).alias("kept"), F.size("p").alias("padded"), F.array_max(F.zip_with(V.positions(F.col("m")), "m", lambda x, m: F.when(m == 1, x))).alias("last_position"))
+    rows = p.withColumn("q", V.positions(F.col("m"))).select("row_no", F.posexplode(F.arrays_zip("p", "m", "q")).alias("k", "z"))
+    return rows.select("row_no", "k", F.col("z.p").alias("id"), F.col("z.m").alias("mask"), F.col("z.q").alias("position"))
 
 
 # --- batches -----------------------------------------------------------------------------------------------------------
@@ -287,12 +270,12 @@ def resume_unseen(spark: SparkSession, d: str) -> DataFrame:
     return unseen(table(spark, d, "samples").where("split_name = 'test' and id is not null").select("id").distinct(), done, "id")
 
 
-@query("SELECT p.pred_no, m.width, m.height FROM predictions p JOIN (SELECT DISTINCT id, image[1] AS image FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_no DESC) rn FROM samples WHERE id IS NOT NULL) WHERE rn=1) s USING (id) JOIN (SELECT image, max(width) AS width, max(height) AS height FROM image_meta WHERE image IS NOT NULL GROUP BY 1) m USING (image)")
+@query("SELECT p.pred_no, s.image_no::INT AS image_no, s.image, m.width, m.height FROM predictions p JOIN (SELECT id, image_no, image[image_no] AS image FROM (SELECT id, image, unnest(range(1, len(image)+1)) AS image_no FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_no DESC) rn FROM samples WHERE id IS NOT NULL) WHERE rn=1)) s USING (id) JOIN (SELECT image, max(width) AS width, max(height) AS height FROM image_meta WHERE image IS NOT NULL GROUP BY 1) m USING (image)")
 def picture_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Each answer with the size of its record's first picture; answers without one are dropped."""
-    s = E.last_of(table(spark, d, "samples").select("id", "row_no", F.get("image", F.lit(0)).alias("image")), ["id"], ["row_no"]).select("id", "image")
+    """Each answer with the size of each of its record's pictures, numbered from 1; pictures without one are dropped."""
+    s = E.last_of(table(spark, d, "samples").select("id", "row_no", "image"), ["id"], ["row_no"]).select("id", F.posexplode("image").alias("k", "image"))
     m = table(spark, d, "image_meta").where("image is not null").groupBy("image").agg(F.max("width").alias("width"), F.max("height").alias("height"))
-    return table(spark, d, "predictions").select("pred_no", "id").join(s, "id").join(m, "image").select("pred_no", "width", "height")
+    return table(spark, d, "predictions").select("pred_no", "id").join(s, "id").join(m, "image").select("pred_no", (F.col("k") + 1).alias("image_no"), "image", "width", "height")
 
 
 def _beats(spark: SparkSession, d: str) -> DataFrame:
@@ -328,12 +311,16 @@ def metric_documents(spark: SparkSession, d: str) -> DataFrame:
     return metric_document(counting_metrics(spark, d), ["model_id"])
 
 
-@query(r"""WITH p AS (SELECT p_partkey, list_filter([p_brand, p_type, CAST(p_size AS VARCHAR)], lambda x: x IS NOT NULL AND lower(x) NOT IN ('nan','none','')) AS o FROM part), r AS (SELECT p_partkey, o, unnest(range(0, len(o))) AS round_no FROM p)
-SELECT p_partkey, round_no, array_to_string(list_transform(range(1, len(o)+1), lambda i: chr((64+i)::INT) || '. ' || o[((i-1+round_no) % len(o)) + 1]), E'\n') AS options, chr((65+(len(o)-round_no) % len(o))::INT) AS answer FROM r""")
+MCQ = r"""WITH p AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_type END AS hint, [p_brand, p_type, CASE WHEN p_partkey % 7 = 0 THEN 'nan' ELSE CAST(p_size AS VARCHAR) END, CASE WHEN p_partkey % 3 > 0 THEN p_name END] AS raw FROM part), o AS (SELECT p_partkey, p_name, hint, raw[1:coalesce(list_min(list_filter(range(1, 5), lambda i: raw[i] IS NULL OR lower(raw[i]) IN ('nan', 'none', ''))), 5)-1] AS o FROM p), r AS (SELECT *, unnest(range(0, len(o))) AS round_no FROM o)
+SELECT p_partkey, round_no, CASE WHEN hint IS NULL THEN '' ELSE hint || E'\n' END || p_name || E'\n' || array_to_string(list_transform(range(1, len(o)+1), lambda i: chr((64+i)::INT) || '. ' || o[((i-1+round_no) % len(o)) + 1]), E'\n') || E'\nAnswer with the option’s letter from the given choices directly.' AS prompt, chr((65+(len(o)-round_no) % len(o))::INT) AS answer FROM r"""
+
+
+@query(MCQ)
 def mcq_rotations(spark: SparkSession, d: str) -> DataFrame:
-    """Every rotation of a question's options, and where the first option now stands."""
-    raw = F.array("p_brand", "p_type", F.col("p_size").cast("string"))
-    p = table(spark, d, "part").select("p_partkey", F.filter(raw, lambda x: ~T.null_like(x)).alias("o"))
-    r = p.select("p_partkey", "o", F.explode(F.sequence(F.lit(0), F.size("o") - 1)).alias("r")).where("size(o) > 0")
-    turned = F.transform(F.concat(F.slice("o", F.col("r") + 1, F.size("o")), F.slice("o", F.lit(1), F.col("r"))), lambda x, i: F.concat(F.char(i + 65), F.lit(". "), x))
-    return r.select("p_partkey", F.col("r").cast("long").alias("round_no"), F.array_join(turned, "\n").alias("options"), F.char(65 + (F.size("o") - F.col("r")) % F.size("o")).alias("answer"))
+    """The prompt of every rotation of a question's options (hint, question, options up to the first null-like one, instruction),
+    and where the first option now stands."""
+    key = F.col("p_partkey")
+    raw = F.array("p_brand", "p_type", F.when(key % 7 == 0, "nan").otherwise(F.col("p_size").cast("string")), F.when(key % 3 > 0, F.col("p_name")))
+    p = table(spark, d, "part").select("p_partkey", "p_name", F.when(key % 5 != 0, F.col("p_type")).alias("hint"), T.until_null_like(raw).alias("o"))
+    r = p.where("size(o) > 0").select("*", F.explode(F.sequence(F.lit(0), F.size("o") - 1)).alias("r"))
+    return r.select("p_partkey", F.col("r").cast("long").alias("round_no"), T.mcq_prompt(F.col("hint"), F.col("p_name"), T.rotated(F.col("o"), F.col("r"))).alias("prompt"), F.char(65 + (F.size("o") - F.col("r")) % F.size("o")).alias("answer"))
