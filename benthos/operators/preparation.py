@@ -17,6 +17,24 @@ def rate(name: Column) -> Column:
     return F.when(digits == "", 1.0).otherwise(digits.cast("double") / 100)
 
 
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    """All rows of all parts; columns that a part lacks are null."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def named(registry: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of the registry (dataset, ...) for the names, `%NN` aside; fails on a name that isn't there. Both are small."""
+    wanted = {n.split("%")[0].strip().lower() for n in names if n.strip()}
+    found = registry.where(F.lower(F.trim("dataset")).isin(*wanted))
+    missing = wanted - {r[0] for r in found.select(F.lower(F.trim("dataset"))).distinct().collect()}
+    if missing:
+        raise ValueError(f"not in the registry: {sorted(missing)}")
+    return found
+
+
 def oversample(df: DataFrame, extra: dict[str, int]) -> DataFrame:
     """df with n more copies of the rows of each tag, numbered from 0."""
     n = F.lit(0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from benthos.operators import packed_values
-from benthos.plans import boxes, evaluation, preparation, sequences  # noqa: F401  (they register)
+from benthos.plans import boxes, evaluation, preparation, review, sequences  # noqa: F401  (they register)
 from benthos.plans.registry import QUERIES, SQL, query  # noqa: F401
 from benthos.sources.tables import table
 
