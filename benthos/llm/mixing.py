@@ -1,13 +1,15 @@
 """Problem 3: sources mixed to target weights.
 
-The total size of a run is cut into equal blocks, which Sainte-Laguë's highest quotients (weight / 1, / 3, / 5, ...) give to the
-sources, and then again to each source's shards by their numbers of records. The seats are found by bisecting the divisor, so
-the work follows the number of sources and shards, not of blocks. Within a shard, records stand in a seeded order and a run
-takes a stretch of it, going round as often as needed."""
+The total size of a run (in records) is given by Sainte-Laguë's highest quotients (weight / 1, / 3, / 5, ...) to the sources, and
+then again to each source's shards by their numbers of records. The seats are found by bisecting the divisor, so the work
+follows the number of sources and shards, not of records. A shard is cut into blocks of BLOCK records and of equal tokens: its
+records, by falling num_tokens, are dealt to the blocks to and fro. A run takes the blocks of its quota in a row, from a seeded
+one on, going round as often as needed, and of the last block only what is left of the quota."""
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
@@ -15,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-
 #: Records of a shard at most, about: so a source with a third of all rows is ordered in many tasks.
 SHARD_ROWS = 250_000
+#: Records of a block, about.
+BLOCK = 16
 
 
 def sainte_lague(weights: dict, seats: int) -> dict:
@@ -43,6 +46,17 @@ def sainte_lague(weights: dict, seats: int) -> dict:
     return {k: given.get(k, 0) for k in weights}
 
 
+def blocks_of(n: int) -> int:
+    return max(1, -(-n // BLOCK))
+
+
+def before_block(block: int, n: int) -> int:
+    """The records in the blocks before a block of a shard of n: the last, partial round of dealing goes to or fro."""
+    m = blocks_of(n)
+    rounds, rest = divmod(n, m)
+    return block * rounds + (min(block, rest) if rounds % 2 == 0 else max(0, block - (m - rest)))
+
+
 def run_sources(arguments: DataFrame) -> DataFrame:
     """(run_no, source, weight, max_repeat, size_ratio) of each source that a run's dataset_use names.
 
@@ -60,7 +74,7 @@ def plan(samples: DataFrame, arguments: DataFrame, registry: DataFrame, shard_ro
     """The quotas of all runs: one row (run_no, source, shard, n, quota, offset) for each shard used, one report row for each
     source named, and the records with source and shard. Only counts by source and shard are gathered."""
     spark = samples.sparkSession
-    records = samples.where("split_name = 'train' and dataset is not null").select("row_no", "id", F.lower(F.trim("dataset")).alias("source"))
+    records = samples.where("split_name = 'train' and dataset is not null").select("row_no", "id", F.col("num_tokens") if "num_tokens" in samples.columns else F.lit(None).cast("int").alias("num_tokens"), F.lower(F.trim("dataset")).alias("source"))
     sizes = {r["source"]: r["n"] for r in records.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     shards = {k: -(-n // shard_rows) for k, n in sizes.items()}
     registered = {r[0] for r in registry.select(F.lower(F.trim("dataset"))).distinct().collect()}
@@ -81,15 +95,16 @@ def plan(samples: DataFrame, arguments: DataFrame, registry: DataFrame, shard_ro
         total_weight, reached = sum(usable.values()), sum(capped.values())
         for r in sorted(named, key=lambda r: r["source"]):
             s = r["source"]
-            report.append((run_no, s, r["weight"], s in registered, sizes.get(s, 0), usable[s] / total_weight if s in usable and total_weight else None, size, seats.get(s, 0), capped.get(s, 0), capped[s] / reached if s in usable and reached else None))
+            report.append((run_no, s, r["weight"], s in registered, sizes.get(s, 0), usable[s] / total_weight if s in usable and total_weight else None, size, seats.get(s, 0), capped.get(s, 0), capped[s] / reached if s in usable and reached else None, capped[s] / size if s in usable and size else None))
         for s, quota in capped.items():
             for shard, n in sainte_lague(counts[s], quota).items():
                 if n:
-                    # each run starts at another place of the shard's order
-                    quotas.append((run_no, s, shard, counts[s][shard], n, (run_no or 0) * 7919 % counts[s][shard]))
+                    # each run starts at another block
+                    size_of = counts[s][shard]
+                    quotas.append((run_no, s, shard, size_of, n, before_block(zlib.crc32(f"{run_no} {s} {shard}".encode()) % blocks_of(size_of), size_of)))
     return (
         spark.createDataFrame(quotas, "run_no int, source string, shard int, n long, quota long, offset long"),
-        spark.createDataFrame(report, "run_no int, dataset string, weight long, registered boolean, n_records long, target_share double, total_size long, target_records long, used_records long, actual_share double"),
+        spark.createDataFrame(report, "run_no int, dataset string, weight long, registered boolean, n_records long, target_share double, total_size long, target_records long, used_records long, actual_share double, share_of_total double"),
         sharded,
     )
 
@@ -106,10 +121,13 @@ def mix(samples: DataFrame, arguments: DataFrame, registry: DataFrame, seed: int
     One shuffle of the records' keys by (source, shard) orders them for all runs; the table of quotas (runs x sources x shards)
     is broadcast: it is one row per SHARD_ROWS records and run."""
     quotas, _, sharded = plan(samples, arguments, registry, shard_rows)
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("row_no", F.lit(seed)), "row_no")
-    ranked = sharded.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
-    used = ranked.join(F.broadcast(quotas), ["source", "shard"])
-    copies = F.expr("quota div n + if((rank + offset) % n < quota % n, 1, 0)")
+    order = Window.partitionBy("source", "shard").orderBy(F.desc(F.coalesce("num_tokens", F.lit(0))), F.xxhash64("row_no", F.lit(seed)), "row_no")
+    dealt = sharded.withColumn("_k", (F.row_number().over(order) - 1).cast("long")).join(F.broadcast(quotas), ["source", "shard"])
+    blocks = dealt.withColumns({"_m": F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK))}).withColumns({"_j": F.expr("_k div _m"), "_i": F.expr("_k % _m"), "_r": F.expr("n div _m"), "_rest": F.expr("n % _m")})
+    block = F.when(F.col("_j") % 2 == 0, F.col("_i")).otherwise(F.col("_m") - 1 - F.col("_i"))
+    more = F.when(F.col("_r") % 2 == 0, F.least("_block", "_rest")).otherwise(F.greatest(F.lit(0), F.col("_block") - (F.col("_m") - F.col("_rest"))))
+    used = blocks.withColumn("_block", block).withColumn("rank", F.col("_block") * F.col("_r") + more + F.col("_j"))
+    copies = F.expr("quota div n + if(pmod(rank - offset, n) < quota % n, 1, 0)")
     return used.withColumn("use_no", F.explode(F.sequence(F.lit(1), copies.cast("int"), F.lit(1)))).where(copies > 0).select("run_no", F.col("source").alias("dataset"), "row_no", "id", "use_no")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from benthos.operators.skew import hot_split_join, salted_rank
+from benthos.operators.skew import counted_join, hot_split_join, salted_rank
 from benthos.session import durable, written
 
 SALTS = 64
@@ -45,12 +45,16 @@ def components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     root is any one node of the component. Loops and parallel edges are dropped. Rounds follow the logarithm of the number of
     nodes. Every round's tables are kept in the shared folder, so a lost executor costs no more than the round."""
     spark = edges.sparkSession
+    # tables, not checkpoints: a checkpoint keeps its plan's partitionings, which multiply where a loop joins a table with itself
+    durable = lambda df: written(df, "step")
     ordered = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     # live edges: cu and cv are the components of the original edge u, v
     live = durable(ordered.select(F.col("u").alias("cu"), F.col("v").alias("cv"), F.struct(F.xxhash64("u", "v").alias("w"), "u", "v").alias("e")))
     labels = live.select(F.explode(F.array("cu", "cv")).alias("node")).distinct().select("node", F.col("node").alias("root"))
+    done: list[DataFrame] = []
     forest = spark.createDataFrame([], "u long, v long, round int")
     number = 0
+    # one component may hold most nodes: joins on a component count their keys first and broadcast the few hot ones
     while not live.isEmpty():
         number += 1
         both = live.select(F.col("cu").alias("c"), F.col("cv").alias("to"), "e").unionByName(live.select(F.col("cv").alias("c"), F.col("cu").alias("to"), "e"))
@@ -58,17 +62,24 @@ def components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         forest = forest.unionByName(written(chosen.select("e.u", "e.v").distinct().withColumn("round", F.lit(number)), f"forest-{number}"))
         # two components that chose the same edge: the smaller becomes a root
         back = chosen.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        up = durable(chosen.select("c", "p").join(back, "p").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")))
+        up = durable(counted_join(chosen.select("c", "p"), back, ["p"]).select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")))
         while True:
-            further = durable(up.join(up.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p").select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+            further = durable(counted_join(up, up.select(F.col("c").alias("p"), F.col("p").alias("pp")), ["p"]).select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
             up = further.select("c", "p")
             if further.where("moved").isEmpty():
                 break
-        labels = durable(labels.join(up.select(F.col("c").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
-        live = live.join(up.select(F.col("c").alias("cu"), F.col("p").alias("pu")), "cu").join(up.select(F.col("c").alias("cv"), F.col("p").alias("pv")), "cv").where("pu <> pv")
+        half = durable(counted_join(live, up.select(F.col("c").alias("cu"), F.col("p").alias("pu")), ["cu"]))
+        ends = counted_join(half, up.select(F.col("c").alias("cv"), F.col("p").alias("pv")), ["cv"]).where("pu <> pv")
         # of parallel edges only the least can be chosen later
-        live = durable(live.groupBy(F.least("pu", "pv").alias("cu"), F.greatest("pu", "pv").alias("cv")).agg(F.min("e").alias("e")))
-    return labels, forest
+        live = durable(ends.groupBy(F.least("pu", "pv").alias("cu"), F.greatest("pu", "pv").alias("cv")).agg(F.min("e").alias("e")))
+        # components without a live edge are finished, and their nodes moved no more
+        alive = live.select(F.explode(F.array("cu", "cv")).alias("p")).distinct().withColumn("alive", F.lit(True))
+        moved = durable(counted_join(labels, up.join(alive, "p", "left").select(F.col("c").alias("root"), "p", F.coalesce("alive", F.lit(False)).alias("alive")), ["root"]).select("node", F.col("p").alias("root"), "alive"))
+        done.append(moved.where("not alive").drop("alive"))
+        labels = moved.where("alive").drop("alive")
+    for part in done:
+        labels = labels.unionByName(part)
+    return durable(labels), forest
 
 
 def groups(samples: DataFrame) -> DataFrame:
@@ -83,7 +94,7 @@ def groups(samples: DataFrame) -> DataFrame:
     edges = firsts.where(F.size("all") > 1).select(F.col("first").alias("u"), F.explode("all").alias("v")).where("u <> v")
     labels, _ = components(edges)
     least = labels.groupBy("root").agg(F.min("node").alias("group_no"))
-    named = durable(labels.join(least, "root").select(F.col("node").alias("first"), "group_no"))
+    named = durable(counted_join(labels, least, ["root"]).select(F.col("node").alias("first"), "group_no"))
     # anchors in no edge are their own smallest row; many rows may have one anchor, so the join splits hot ones
     rows = firsts.select("row_no", "first")
     sizes = rows.groupBy("first").agg(F.count(F.lit(1)).alias("_n")).join(named, "first", "left").select("first", F.coalesce("group_no", "first").alias("group_no"), "_n")

@@ -88,3 +88,33 @@ def test_mix(spark):
     report = {(r.run_no, r.dataset): r for r in M.shares(samples, arguments, registry).collect()}
     assert report[1, "gone"].target_share is None and report[5, "big"].weight == 50
     assert M.mix(samples.limit(0), arguments, registry).count() == 0 and M.mix(samples, arguments.limit(0), registry).count() == 0
+
+
+def test_blocks_have_equal_tokens(spark):
+    """The ranks that the blocks give are a bijection, and the blocks of a run have the tokens of the source's mean."""
+    from benthos.llm import mixing as M
+
+    for n in (1, 5, 16, 17, 33, 100, 1000):
+        m = M.blocks_of(n)
+        sizes = [M.before_block(k + 1, n) - M.before_block(k, n) for k in range(m)]
+        assert sum(sizes) == n and max(sizes) - min(sizes) <= 1
+    rows = [(k, f"a{k}", "reef", "train", (k * 37) % 500) for k in range(1600)] + [(2000 + k, "b", "wall", "train", None) for k in range(400)]
+    df = spark.createDataFrame(rows, "row_no long, id string, dataset string, split_name string, num_tokens int")
+    runs = spark.createDataFrame([(1, "reef%50,wall%50", 1, 0.4), (2, "reef,wall", 3, 1.5)], "run_no int, dataset_use string, max_repeat int, size_ratio double")
+    reg = spark.createDataFrame([("reef",), ("wall",)], "dataset string")
+    used = M.mix(df, runs, reg)
+    got = {(r.run_no, r.dataset): (r.n, r.most) for r in used.groupBy("run_no", "dataset").agg(F.count("*").alias("n"), F.max("use_no").alias("most")).collect()}
+    assert got == {(1, "reef"): (400, 1), (1, "wall"): (400, 1), (2, "reef"): (1500, 1), (2, "wall"): (1200, 3)}
+    mean = used.join(df.select("row_no", "num_tokens"), "row_no").where("run_no = 1 and dataset = 'reef'").agg(F.avg("num_tokens")).first()[0]
+    assert abs(mean - 249.5) < 8
+    assert used.groupBy("run_no", "row_no", "use_no").count().where("count > 1").isEmpty()
+    shares = {(r.run_no, r.dataset): (r.actual_share, r.share_of_total) for r in M.shares(df, runs, reg).collect()}
+    assert shares[2, "wall"] == (1200 / 2700, 0.4) and shares[1, "reef"] == (0.5, 0.5)
+
+
+def test_one_giant_component(spark):
+    """A third of all records and more in one component, through one picture and through a chain."""
+    rows = [(k, None, ["hub.jpg"] + ([f"p{k}.jpg"] if k % 2 else [])) for k in range(3000)] + [(20_000 + k, None, [f"c{k}.jpg", f"c{k + 1}.jpg"]) for k in range(300)] + [(30_000 + k, None, [f"s{k}.jpg"]) for k in range(600)]
+    df = spark.createDataFrame(rows, "row_no long, id string, image array<string>")
+    sizes = sorted(r[0] for r in R.groups(df).groupBy("group_no").count().select("count").collect())
+    assert sizes == [1] * 600 + [300, 3000]
