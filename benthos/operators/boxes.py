@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from benthos.session import ship_code
+from benthos.session import ship_code, written
 
 BOX = "struct<category:string,x1:double,y1:double,x2:double,y2:double>"
 
@@ -224,20 +224,21 @@ def matches(truth: DataFrame, found: DataFrame, most: int = 100) -> DataFrame:
 def average_precision(matched: DataFrame, most: tuple[int, ...] = (100,)) -> DataFrame:
     """(run, category, area, t, most, n_truth, ap, recall): the mean of the precision envelope at 101 recalls, and the recall
     reached, with no more than `most` found boxes a picture; categories without a true box in the area range are left out. Found
-    boxes of a category go by score, md5 of the picture, and number.
+    boxes of a category go by score, picture and number.
 
-    A category may have most of the boxes: its boxes are dealt in order to parts by score and md5 and only the parts' sums
-    are carried over, so that no task ranks a whole category."""
+    A category may have most of the boxes: its boxes are dealt to ranges of this order and only the ranges' sums are carried
+    over, so that no task ranks a whole category."""
     cell = ["run", "category", "area", "t", "most"]
     wide = matched.withColumn("most", F.explode(F.array(*(F.lit(m) for m in most))))
     counts = wide.where("pred_no < 0").groupBy(*cell).agg(F.sum("rank").alias("n_truth")).where("n_truth > 0")
     found = wide.where("pred_no >= 0 and not ignored and rank < most")
-    part = [*cell, "_s", "_p"]
-    dealt = found.withColumns({"_s": -F.col("score"), "_h": F.md5(F.col("image").cast("binary"))}).withColumn("_p", F.substring("_h", 1, 2))
+    part = [*cell, "_p"]
+    ranged = found.withColumn("_s", -F.col("score")).repartitionByRange(*cell, "_s", "image", "pred_no")
+    dealt = written(ranged.withColumn("_p", F.spark_partition_id()), "ranged")
     sums = dealt.groupBy(*part).agg(F.sum(F.col("hit").cast("long")).alias("_hits"), F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*cell).orderBy("_s", "_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*cell).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*part, F.coalesce(F.sum("_hits").over(before), F.lit(0)).alias("_tp0"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_n0"))
-    order = Window.partitionBy(*part).orderBy("_h", "image", "pred_no")
+    order = Window.partitionBy(*part).orderBy("_s", "image", "pred_no")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     curve = dealt.join(offsets, part).withColumns({"tp": F.sum(F.col("hit").cast("long")).over(upto) + F.col("_tp0"), "n": F.row_number().over(order) + F.col("_n0")})
     # only points at a hit can raise the envelope; of those with one recall step the best is enough

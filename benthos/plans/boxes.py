@@ -221,7 +221,7 @@ SINGLE = f"""WITH {LAST}, {PLAIN.replace('FROM predictions', 'FROM lastp')}, bx
 g AS (SELECT * FROM bx WHERE field='gt' AND n = 1), f AS (SELECT * FROM bx WHERE field='text' AND n = 1),
 j AS (SELECT f.model_id, f.id, greatest(0, least(g.v[3],f.v[3])-greatest(g.v[1],f.v[1]))*greatest(0, least(g.v[4],f.v[4])-greatest(g.v[2],f.v[2])) AS inter, (g.v[3]-g.v[1])*(g.v[4]-g.v[2]) AS ga, (f.v[3]-f.v[1])*(f.v[4]-f.v[2]) AS fa FROM g JOIN f USING (model_id, id)),
 hits AS (SELECT model_id, id, coalesce(inter/nullif(ga+fa-inter,0),0) >= 0.5 AS hit FROM j), n AS (SELECT model_id, count(*) AS n_truth FROM g GROUP BY 1),
-curve AS (SELECT model_id, id, sum(hit::INT) OVER w AS tp, row_number() OVER w AS k FROM hits WINDOW w AS (PARTITION BY model_id ORDER BY md5(id))),
+curve AS (SELECT model_id, id, sum(hit::INT) OVER w AS tp, row_number() OVER w AS k FROM hits WINDOW w AS (PARTITION BY model_id ORDER BY id)),
 pts AS (SELECT c.model_id, id, tp/n_truth AS r, tp/k AS p FROM curve c JOIN n USING (model_id)),
 env AS (SELECT q.model_id, q.k, coalesce(max(p) FILTER (r >= q.k/100.0 - 1e-12), 0) AS p FROM (SELECT model_id, unnest(range(0, 101)) AS k FROM n) q LEFT JOIN pts USING (model_id) GROUP BY ALL)
 SELECT model_id, n_truth, sum(p)/101 AS ap50, max(r0) AS recall50 FROM env JOIN n USING (model_id) LEFT JOIN (SELECT model_id, max(r) AS r0 FROM pts GROUP BY 1) USING (model_id) GROUP BY ALL"""
