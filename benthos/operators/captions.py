@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from benthos.functions import text as T
 from benthos.session import ship_code
 
 MAX_N = 4
+#: Pairs whose words are Python objects at one time.
+AT_ONCE = 256
 
 
 def words(c: Column) -> Column:
@@ -32,15 +36,33 @@ def _counts(pairs: DataFrame, by: list[str], column: str) -> DataFrame:
 
 
 def bleu(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n_pairs, bleu1..bleu4) of pairs (by, key, hyp, ref) of word lists: clipped n-gram precision over the corpus, geometric
-    mean and brevity penalty; 0 where an order has no match."""
-    sizes = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.size("hyp")).alias("hyp_len"), F.sum(F.size("ref")).alias("ref_len"))
-    h, r = _counts(pairs, by, "hyp"), _counts(pairs, by, "ref")
-    clipped = h.join(r, [*by, "key", "n", "gram"], "left").groupBy(*by, "n").agg(F.sum("hyp_n").alias("all"), F.sum(F.least("hyp_n", F.coalesce("ref_n", F.lit(0)))).alias("hit"))
-    wide = clipped.groupBy(*by).agg(*(F.max(F.when(F.col("n") == k, F.try_divide("hit", "all"))).alias(f"p{k}") for k in range(1, MAX_N + 1)))
+    """(by, n_pairs, bleu1..bleu4) of pairs (by, key, hyp, ref) of word lists, one a key: clipped n-gram precision over the corpus,
+    geometric mean and brevity penalty; 0 where an order has no match. The n-grams of a pair are counted where its row is, so
+    that none is shuffled or broadcast."""
+    ship_code(pairs.sparkSession)
+    orders = range(1, MAX_N + 1)
+    counts = ["hyp_len", "ref_len", *(f"{c}{n}" for n in orders for c in ("hit", "all"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for start in range(0, batch.num_rows, AT_ONCE):
+                few = batch.slice(start, AT_ONCE)
+                for a, b in zip(few.column("hyp").to_pylist(), few.column("ref").to_pylist()):
+                    row = [len(a), len(b)]
+                    for n in orders:
+                        h, r = (Counter(zip(*(x[i:] for i in range(n)))) for x in (a, b))
+                        row += [(h & r).total(), max(0, len(a) - n + 1)]
+                    rows.append(row)
+            columns = zip(*rows) if rows else [()] * len(counts)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *(pa.array(c, pa.int64()) for c in columns)], names=[*by, *counts])
+
+    kinds = ", ".join([*(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by), *(f"{c} long" for c in counts)])
+    sums = pairs.select(*by, "hyp", "ref").mapInArrow(run, kinds).groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), *(F.sum(c).alias(c) for c in counts)).where("all1 > 0")
+    wide = sums.withColumns({f"p{n}": F.try_divide(f"hit{n}", f"all{n}") for n in orders})
     brevity = F.when(F.col("hyp_len") < F.col("ref_len"), F.exp(1 - F.col("ref_len") / F.col("hyp_len"))).otherwise(1.0)
     score = lambda k: F.when(F.least(*(F.coalesce(f"p{i}", F.lit(0.0)) for i in range(1, k + 1)), F.lit(1.0)) > 0, brevity * F.exp(sum(F.log(f"p{i}") for i in range(1, k + 1)) / k)).otherwise(0.0)
-    return sizes.join(wide, by).select(*by, "n_pairs", *(score(k).alias(f"bleu{k}") for k in range(1, MAX_N + 1)))
+    return wide.select(*by, "n_pairs", *(score(k).alias(f"bleu{k}") for k in orders))
 
 
 def cider(pairs: DataFrame, by: list[str]) -> DataFrame:

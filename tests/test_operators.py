@@ -162,3 +162,16 @@ def test_streaming_windows_and_registry(spark, tmp_path):
     q = workers.write_daily_log(log, str(tmp_path / "log"), str(tmp_path / "c2"))
     q.awaitTermination(60)
     assert spark.read.json(str(tmp_path / "log")).count() == 4
+
+
+def test_bleu_counts_where_the_pair_is(spark, tmp_path):
+    pairs = [("m", "1", "a b a b c d e", "a b c d e"), ("m", "2", "", "a"), ("m", "3", "x y z w", "x y z w v u"), ("n", "1", "a", "b"), ("o", "1", "", "b")]
+    spark.createDataFrame([(m, k, h.split(), r.split()) for m, k, h, r in pairs], "by string, key string, hyp array<string>, ref array<string>").write.parquet(str(tmp_path / "p"))
+    df = C.bleu(spark.read.parquet(str(tmp_path / "p")), ["by"])
+    # a join of n-grams is planned as a broadcast by the size of the file, whatever number of n-grams comes out of it
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["by"]: r for r in df.collect()}
+    hit, every, brevity = [9, 7, 5, 3], [11, 9, 7, 5], math.exp(1 - 12 / 11)
+    want = [brevity * math.prod(hit[i] / every[i] for i in range(k)) ** (1 / k) for k in range(1, 5)]
+    assert found["m"].n_pairs == 3 and all(math.isclose(found["m"][f"bleu{k + 1}"], w) for k, w in enumerate(want))
+    assert set(found) == {"m", "n"} and found["n"].bleu1 == 0
