@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -173,9 +174,26 @@ THRESHOLDS = [0.5 + 0.05 * k for k in range(10)]
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 
 
+def greedy(over: np.ndarray, beyond: np.ndarray, least: float) -> list[int]:
+    """For each found box in order the true box that it takes, or -1: the free one it overlaps most, by at least `least`, one within
+    the area range before one beyond it, the last of equals."""
+    taken, free = [], np.ones(len(beyond), bool)
+    for row in over:
+        hit = -1
+        for inside in (~beyond, beyond):
+            can = np.flatnonzero(free & inside & (row >= least))
+            if len(can):
+                hit = int(can[row[can] == row[can].max()][-1])
+                free[hit] = False
+                break
+        taken.append(hit)
+    return taken
+
+
 def matches(truth: DataFrame, found: DataFrame, most: int = 100) -> DataFrame:
-    """(run, category, area, t, rank, image, pred_no, score, hit, ignored): found boxes matched to true ones of the same picture
-    and category, in order of score; and each picture's number of true boxes as rows with pred_no -1 and the number in rank.
+    """(run, category, image, pred_no, rank, score, hit, ignored, n): found boxes matched to true ones of the same picture and
+    category, in order of score; bit 10 * area + threshold of hit and ignored tells what became of a box in that area range at
+    that threshold. Each group has a row with pred_no -1 and in n its numbers of true boxes in the area ranges.
 
     Greedy: each found box takes the free true box it overlaps most, by at least t, one within the area range before one beyond
     it; a match beyond the range, or an unmatched box beyond it, is ignored. At most `most` found boxes a picture and category.
@@ -186,6 +204,7 @@ def matches(truth: DataFrame, found: DataFrame, most: int = 100) -> DataFrame:
     true = F.when(F.col("score").isNull(), F.struct("box_no", "x1", "y1", "x2", "y2"))
     hit_first = F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("minus"), "box_no", "x1", "y1", "x2", "y2"))
     grouped = both.groupBy("run", "image", "category").agg(F.sort_array(F.collect_list(true)).alias("g"), F.slice(F.sort_array(F.collect_list(hit_first)), 1, most).alias("p"))
+    least = [min(t, 1 - 1e-10) for t in THRESHOLDS]
     corners = lambda boxes: np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in boxes], float).reshape(-1, 4)
 
     def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,32 +212,55 @@ def matches(truth: DataFrame, found: DataFrame, most: int = 100) -> DataFrame:
             rows = []
             for run, image, category, g, p in zip(f["run"], f["image"], f["category"], f["g"], f["p"]):
                 gb, pb = corners(g), corners(p)
-                ga, pa = ((b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) for b in (gb, pb))
+                ga, fa = ((b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) for b in (gb, pb))
                 wide = np.clip(np.minimum(pb[:, None, 2], gb[None, :, 2]) - np.maximum(pb[:, None, 0], gb[None, :, 0]), 0, None)
                 high = np.clip(np.minimum(pb[:, None, 3], gb[None, :, 3]) - np.maximum(pb[:, None, 1], gb[None, :, 1]), 0, None)
-                union = pa[:, None] + ga[None] - wide * high
+                union = fa[:, None] + ga[None] - wide * high
                 over = np.where(union > 0, wide * high / np.where(union > 0, union, 1), 0)
-                best = over.max(1, initial=0.0).tolist()
-                for area, (low, top) in AREAS.items():
+                # what meets what at a threshold is told by how many overlaps reach it: few thresholds differ
+                reach = [int(x) for x in (over.reshape(-1, 1) >= least).sum(0)]
+                hits, ignored, n, known = [0] * len(fa), [0] * len(fa), [], {}
+                for a, (low, top) in enumerate(AREAS.values()):
                     beyond = (ga < low) | (ga > top)
-                    n = int((~beyond).sum())
-                    for k, t in enumerate(THRESHOLDS):
-                        rows.append((run, category, area, k, n, image, -1, 0.0, False, False))
-                        free = np.ones(len(ga), bool)
-                        for rank in range(len(pa)):
-                            hit = -1
-                            for inside in (~beyond, beyond) if best[rank] >= t - 1e-12 else ():  # one in the range goes before any beyond it
-                                can = np.flatnonzero(free & inside & (over[rank] >= min(t, 1 - 1e-10)))
-                                if len(can):
-                                    hit = can[over[rank, can] == over[rank, can].max()][-1]
-                                    break
+                    n.append(int((~beyond).sum()))
+                    outside, kind = ((fa < low) | (fa > top)).tolist(), beyond.tobytes()
+                    for k, t in enumerate(least):
+                        bit = 1 << (a * len(THRESHOLDS) + k)
+                        if (kind, reach[k]) not in known:
+                            known[kind, reach[k]] = greedy(over, beyond, t) if reach[k] else [-1] * len(fa)
+                        for rank, hit in enumerate(known[kind, reach[k]]):
                             if hit >= 0:
-                                free[hit] = False
-                            ignored = bool(beyond[hit]) if hit >= 0 else bool(pa[rank] < low or pa[rank] > top)
-                            rows.append((run, category, area, k, rank, image, int(p[rank]["box_no"]), -float(p[rank]["minus"]), hit >= 0, ignored))
-            yield pd.DataFrame(rows, columns=["run", "category", "area", "t", "rank", "image", "pred_no", "score", "hit", "ignored"])
+                                hits[rank] |= bit
+                            if beyond[hit] if hit >= 0 else outside[rank]:
+                                ignored[rank] |= bit
+                rows.append((run, category, image, -1, -1, 0.0, 0, 0, n))
+                rows += [(run, category, image, int(b["box_no"]), rank, -float(b["minus"]), hits[rank], ignored[rank], None) for rank, b in enumerate(p)]
+            yield pd.DataFrame(rows, columns=["run", "category", "image", "pred_no", "rank", "score", "hit", "ignored", "n"])
+
+    return grouped.mapInPandas(match, "run string, category string, image string, pred_no long, rank int, score double, hit long, ignored long, n array<long>")
+
+
+#: Found boxes whose running counts are held at one time.
+AT_ONCE = 1024
 
-    return grouped.mapInPandas(match, "run string, category string, area string, t int, rank int, image string, pred_no long, score double, hit boolean, ignored boolean")
+
+def counted(hit: np.ndarray, ignored: np.ndarray, rank: np.ndarray, most: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each box counts, and is a hit, in each cell: two arrays of boxes x (len(most) * 40)."""
+    bits = np.arange(len(AREAS) * len(THRESHOLDS))
+    seen = (ignored[:, None] >> bits & 1) == 0
+    taken = (hit[:, None] >> bits & 1) == 1
+    rows = np.concatenate([seen & (rank < m)[:, None] for m in most], 1)
+    return rows, rows & np.tile(taken, len(most))
+
+
+def chunks(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The runs of rows with equal keys of a batch, in slices of at most AT_ONCE rows."""
+    values = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+    start = 0
+    for i in range(1, len(values) + 1):
+        if i == len(values) or values[i] != values[start] or i - start == AT_ONCE:
+            yield values[start], batch.slice(start, i - start)
+            start = i
 
 
 def average_precision(matched: DataFrame, most: tuple[int, ...] = (100,)) -> DataFrame:
@@ -226,27 +268,79 @@ def average_precision(matched: DataFrame, most: tuple[int, ...] = (100,)) -> Dat
     reached, with no more than `most` found boxes a picture; categories without a true box in the area range are left out. Found
     boxes of a category go by score, picture and number.
 
-    A category may have most of the boxes: its boxes are dealt to ranges of this order and only the ranges' sums are carried
-    over, so that no task ranks a whole category."""
-    cell = ["run", "category", "area", "t", "most"]
-    wide = matched.withColumn("most", F.explode(F.array(*(F.lit(m) for m in most))))
-    counts = wide.where("pred_no < 0").groupBy(*cell).agg(F.sum("rank").alias("n_truth")).where("n_truth > 0")
-    found = wide.where("pred_no >= 0 and not ignored and rank < most")
-    part = [*cell, "_p"]
-    ranged = found.withColumn("_s", -F.col("score")).repartitionByRange(*cell, "_s", "image", "pred_no")
+    A category may have most of the boxes: its boxes, one row each for all cells, are dealt to ranges of this order and only the
+    ranges' sums are carried over, so that no task ranks a whole category. Tables that grow with the boxes or the categories are
+    joined by shuffle only: what their files say of their size is far too little."""
+    n_cells, n_areas, n_t = len(most) * len(AREAS) * len(THRESHOLDS), len(AREAS), len(THRESHOLDS)
+    matched = written(matched, "matched")
+    whole, part = ["run", "category"], ["run", "category", "_p"]
+    truths = matched.where("pred_no < 0").groupBy(*whole).agg(*(F.sum(F.col("n")[a]).alias(f"n{a}") for a in range(n_areas)))
+    numbers = F.array(*(F.col(f"n{a}") for a in range(n_areas)))
+    ranged = matched.where("pred_no >= 0").select(*whole, (-F.col("score")).alias("_s"), "image", "pred_no", "rank", "hit", "ignored").repartitionByRange(*whole, "_s", "image", "pred_no")
     dealt = written(ranged.withColumn("_p", F.spark_partition_id()), "ranged")
-    sums = dealt.groupBy(*part).agg(F.sum(F.col("hit").cast("long")).alias("_hits"), F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*cell).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*part, F.coalesce(F.sum("_hits").over(before), F.lit(0)).alias("_tp0"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_n0"))
-    order = Window.partitionBy(*part).orderBy("_s", "image", "pred_no")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = dealt.join(offsets, part).withColumns({"tp": F.sum(F.col("hit").cast("long")).over(upto) + F.col("_tp0"), "n": F.row_number().over(order) + F.col("_n0")})
-    # only points at a hit can raise the envelope; of those with one recall step the best is enough
-    points = curve.where("hit").join(counts, cell).withColumns({"r": F.col("tp") / F.col("n_truth"), "p": F.col("tp") / F.col("n")}).withColumn("k", F.floor(F.col("r") * 100 + 1e-9).cast("int"))
-    steps = points.groupBy(*cell, "n_truth", "k").agg(F.max("p").alias("p"), F.max("r").alias("r"))
-    behind = Window.partitionBy(*cell).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lower = Window.partitionBy(*cell).orderBy("k")
+
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, few in chunks(batch, part):
+                rows, hits = counted(*(few.column(c).to_numpy() for c in ("hit", "ignored", "rank")), most)
+                out.append((*key, rows.sum(0), hits.sum(0)))
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), *(pa.array([x.tolist() for x in c], pa.list_(pa.int64())) for c in columns[3:])], names=[*part, "rows", "hits"])
+
+    each = dealt.select(*part, "hit", "ignored", "rank").mapInArrow(sums_of, "run string, category string, _p int, rows array<long>, hits array<long>")
+    sums = each.select(*part, F.posexplode(F.arrays_zip("rows", "hits")).alias("cell", "s")).groupBy(*part, "cell").agg(F.sum("s.rows").alias("rows"), F.sum("s.hits").alias("hits"))
+    before = Window.partitionBy(*whole, "cell").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*part, F.struct("cell", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("rows", "hits"))).alias("s"))
+    heads = offsets.groupBy(*part).agg(F.sort_array(F.collect_list("s")).alias("s")).select(*part, F.col("s.rows").alias("n0"), F.col("s.hits").alias("tp0"))
+    starts = heads.hint("merge").join(truths.select(*whole, numbers.alias("n")), whole)
+    none = F.lit(None).cast("array<long>")
+    rows = dealt.select(*part, F.lit(1).alias("_o"), "_s", "image", "pred_no", "rank", "hit", "ignored", *(none.alias(c) for c in ("n0", "tp0", "n")))
+    firsts = starts.select(*part, F.lit(0).alias("_o"), *(F.lit(None).cast(k).alias(c) for c, k in (("_s", "double"), ("image", "string"), ("pred_no", "long"), ("rank", "int"), ("hit", "long"), ("ignored", "long"))), "n0", "tp0", "n")
+    ordered = rows.unionByName(firsts).repartition(*part).sortWithinPartitions(*part, "_o", "_s", "image", "pred_no")
+
+    def steps_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(run, category, cell, k, p, r): of the points with one recall step the best. Only points at a hit can raise the envelope.
+        Each part begins with its row of sums, which a part of a category without a true box lacks."""
+
+        def told() -> pa.RecordBatch:
+            at = np.flatnonzero(best[0]) if key else []
+            columns = [pa.array([key[0]] * len(at) if key else [], pa.string()), pa.array([key[1]] * len(at) if key else [], pa.string())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.array(at, np.int32) // 101, pa.int32()), pa.array(np.array(at, np.int32) % 101, pa.int32()), *(pa.array(b[at] if key else [], pa.float64()) for b in best)], names=[*whole, "cell", "k", "p", "r"])
+
+        key, best = None, []
+        for batch in batches:
+            for now, few in chunks(batch, part):
+                if now != key:
+                    if key:
+                        yield told()
+                    key, n_truth, best = now, None, [np.zeros(n_cells * 101) for _ in range(2)]
+                if few.column("_o")[0].as_py() == 0:
+                    n, tp = (np.array(few.column(c)[0].as_py()) for c in ("n0", "tp0"))
+                    n_truth = np.tile(np.repeat(np.array(few.column("n")[0].as_py()), n_t), len(most))
+                    few = few.slice(1)
+                if n_truth is None or not few.num_rows:
+                    continue
+                rows, hits = counted(*(few.column(c).to_numpy() for c in ("hit", "ignored", "rank")), most)
+                every, reached = rows.cumsum(0) + n, hits.cumsum(0) + tp
+                n, tp = every[-1], reached[-1]
+                i, cell = np.nonzero(hits & (n_truth > 0))
+                r, p = reached[i, cell] / n_truth[cell], reached[i, cell] / every[i, cell]
+                at = cell * 101 + np.floor(r * 100 + 1e-9).astype(int)
+                np.maximum.at(best[0], at, p)
+                np.maximum.at(best[1], at, r)
+        if key:
+            yield told()
+
+    points = ordered.select(*part, "_o", "rank", "hit", "ignored", "n0", "tp0", "n").mapInArrow(steps_of, "run string, category string, cell int, k int, p double, r double")
+    of = [*whole, "cell"]
+    steps = points.groupBy(*of, "k").agg(F.max("p").alias("p"), F.max("r").alias("r"))
+    behind = Window.partitionBy(*of).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lower = Window.partitionBy(*of).orderBy("k")
     envelope = steps.withColumns({"env": F.max("p").over(behind), "from": F.coalesce(F.lag("k").over(lower), F.lit(-1))})
     # the precision at recall j / 100 is the envelope of the first step k >= j
-    sums = envelope.groupBy(*cell).agg((F.sum((F.col("k") - F.col("from")) * F.col("env")) / 101).alias("ap"), F.max("r").alias("recall"))
-    return counts.join(sums, cell, "left").fillna(0.0, ["ap", "recall"])
+    reached = envelope.groupBy(*of).agg((F.sum((F.col("k") - F.col("from")) * F.col("env")) / 101).alias("ap"), F.max("r").alias("recall"))
+    cells = F.array(*(F.struct(F.lit(i).alias("cell"), F.lit(list(AREAS)[i // n_t % n_areas]).alias("area"), F.lit(i % n_t).alias("t"), F.lit(most[i // n_t // n_areas]).alias("most")) for i in range(n_cells)))
+    counts = truths.select(*whole, numbers.alias("n"), F.inline(cells)).withColumn("n_truth", F.get("n", (F.col("cell") / n_t).cast("int") % n_areas)).where("n_truth > 0").drop("n")
+    joined = counts.hint("merge").join(reached, of, "left").fillna(0.0, ["ap", "recall"])
+    return joined.select(*whole, "area", "t", "most", "n_truth", "ap", "recall")

@@ -10,6 +10,7 @@ from benthos.operators import boxes as B
 from benthos.operators import evaluation as E
 from benthos.plans.evaluation import LAST
 from benthos.plans.registry import query
+from benthos.session import written
 from benthos.sources.tables import table
 
 PLAIN = r"""lines AS (SELECT pred_no, field, regexp_replace(unnest(string_split(txt, E'\n')), '</?(ref|box)>', '', 'g') AS line FROM (SELECT pred_no, 'text' AS field, text AS txt FROM predictions UNION ALL SELECT pred_no, 'gt', gt FROM predictions) WHERE txt IS NOT NULL),
@@ -149,11 +150,11 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("sized", sized).withColumns({"unscaled": unscaled, "unscalable": unscaled & F.array_contains(kinds, "plain")})
 
 
-def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _boxes(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """True and found boxes of the last answers in either dialect: (model_id, id, category, box_no, x1, y1, x2, y2), as shares of
     the sides. JSON boxes are divided by the input's sides; where these are unknown, both sides stay in pixels, by the thousand,
     which leaves the overlap as it is. Only unscalable answers are left out."""
-    answers = _answers(spark, d).where("not unscalable")
+    answers = answers.where("not unscalable")
 
     def of(c: str) -> DataFrame:
         b = answers.select("model_id", "id", "sized", "input_width", "input_height", F.col(f"{c}_kind").alias("kind"), F.posexplode(f"{c}_boxes").alias("box_no", "b"))
@@ -167,34 +168,43 @@ def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def box_audit(spark: SparkSession, d: str) -> DataFrame:
     """Per model, the last answers by what their truth and text are read as, their boxes, and those that were not brought to one
     scale: unscaled (compared in pixels) and, among these, unscalable (not compared)."""
+    return _audit(_answers(spark, d))
+
+
+def _audit(answers: DataFrame) -> DataFrame:
     kinds = [F.count_if(F.col(f"{c}_kind") == k).alias(f"n_{name}_{k}") for c, name in (("gt", "true"), ("text", "found")) for k in ("plain", "json", "none", "unreadable")]
     boxes = [F.sum(F.when(F.col(f"{c}_boxes").isNotNull(), F.size(f"{c}_boxes")).otherwise(0)).alias(f"n_boxes_{name}") for c, name in (("gt", "true"), ("text", "found"))]
-    return _answers(spark, d).groupBy("model_id").agg(F.count(F.lit(1)).alias("n_answers"), *kinds, *boxes, F.count_if("unscaled").alias("n_unscaled"), F.count_if("unscalable").alias("n_unscalable"))
+    return answers.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_answers"), *kinds, *boxes, F.count_if("unscaled").alias("n_unscaled"), F.count_if("unscalable").alias("n_unscalable"))
 
 
-def _dropped(spark: SparkSession, d: str) -> DataFrame:
+def _dropped(answers: DataFrame) -> DataFrame:
     """What box_audit counts as unread or unscaled, to stand beside a metric."""
-    return box_audit(spark, d).select("model_id", "n_true_unreadable", "n_found_unreadable", "n_unscaled", "n_unscalable")
+    return _audit(answers).select("model_id", "n_true_unreadable", "n_found_unreadable", "n_unscaled", "n_unscalable")
 
 
 @query(BOXES + GROUND)
 def grounding_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Of boxes in both dialects; box_audit counts the answers that could not be read or scaled."""
-    truth, found = _boxes(spark, d)
+    truth, found = _boxes(_answers(spark, d))
     return B.grounding(truth, found, ["model_id", "id"], ["model_id"])
 
 
-def _coco(spark: SparkSession, d: str, most: tuple[int, ...] = (100,)) -> DataFrame:
+def _read(spark: SparkSession, d: str) -> DataFrame:
+    """The answers without their texts, as a table: their boxes are parsed once."""
+    return written(_answers(spark, d).drop("text", "gt"), "answers")
+
+
+def _coco(spark: SparkSession, d: str, answers: DataFrame, most: tuple[int, ...] = (100,)) -> DataFrame:
     """Cells of average precision of the last answers to detection records: boxes in pixels of the record's picture (its first size
     in image_meta, else the input's, else thousandths), so that areas mean what they say."""
-    truth, found = _boxes(spark, d)
+    truth, found = _boxes(answers)
     pictures = E.last_of(table(spark, d, "samples").select("id", "row_no", F.get("image", F.lit(0)).alias("picture")), ["id"], ["row_no"]).select("id", "picture")
     sizes = table(spark, d, "image_meta").where("width > 0 and height > 0").groupBy("image").agg(F.max(F.struct("width", "height")).alias("s")).select(F.col("image").alias("picture"), "s.*")
-    known = pictures.join(sizes, "picture").select("id", "width", "height")
+    known = pictures.join(sizes.hint("merge"), "picture").select("id", "width", "height")
 
     def scaled(df: DataFrame) -> DataFrame:
         side = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(1000.0))
-        b = df.join(known, "id", "left")
+        b = df.join(known.hint("merge"), "id", "left")
         return b.select(F.col("model_id").alias("run"), F.col("id").alias("image"), "category", F.col("box_no").cast("long").alias("box_no"), *((F.col(c) * side("width" if c[0] == "x" else "height")).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
     matched = B.matches(scaled(truth), scaled(found).withColumn("score", F.lit(0.9)), max(most))
@@ -205,16 +215,17 @@ def _coco(spark: SparkSession, d: str, most: tuple[int, ...] = (100,)) -> DataFr
 def detection_coco_ap(spark: SparkSession, d: str) -> DataFrame:
     """The twelve figures per model: ap, ap50, ap75, ap by area, ar at 1, 10 and 100 found boxes, ar by area; -1 where no category
     has a true box. Means over categories and thresholds; all found boxes have one score. Beside them the answers not read or scaled."""
-    cells = _coco(spark, d, (1, 10, 100))
+    answers = _read(spark, d)
+    cells = _coco(spark, d, answers, (1, 10, 100))
     at = lambda v, area="all", most=100, t=None: F.coalesce(F.avg(F.when((F.col("area") == area) & (F.col("most") == most) & ((F.col("t") == t) if t is not None else F.lit(True)), F.col(v))), F.lit(-1.0))
     figures = [at("ap").alias("ap"), at("ap", t=0).alias("ap50"), at("ap", t=5).alias("ap75"), *(at("ap", a).alias(f"ap_{a}") for a in ("small", "medium", "large")), *(at("recall", most=m).alias(f"ar{m}") for m in (1, 10, 100)), *(at("recall", a).alias(f"ar_{a}") for a in ("small", "medium", "large"))]
-    return cells.groupBy("run").agg(*figures).join(_dropped(spark, d).withColumnRenamed("model_id", "run"), "run")
+    return cells.groupBy("run").agg(*figures).join(_dropped(answers).withColumnRenamed("model_id", "run"), "run")
 
 
 @query()
 def detection_by_category(spark: SparkSession, d: str) -> DataFrame:
     """The cells of detection_coco_ap at 0.5 and 0.75; box_audit counts what was not read or scaled."""
-    return _coco(spark, d).where("area = 'all' and t in (0, 5)")
+    return _coco(spark, d, _read(spark, d)).where("area = 'all' and t in (0, 5)")
 
 
 SINGLE = f"""WITH {LAST}, {PLAIN.replace('FROM predictions', 'FROM lastp')}, bx AS (SELECT p.model_id, p.id, field, v, count(*) OVER (PARTITION BY p.pred_no, field) AS n FROM plain JOIN lastp p USING (pred_no)),

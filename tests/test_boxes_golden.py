@@ -44,3 +44,29 @@ def test_a_category_with_most_boxes(spark):
         points.append((hits / 180, hits / n))
     expected = sum(max((p for r, p in points if r >= q / 100 - 1e-12), default=0.0) for q in range(101)) / 101
     assert abs(cells[10, 0].ap - expected) < 1e-9
+
+
+def test_precision_of_a_category_in_several_ranges(spark):
+    """One row a found box, whatever the number of cells; no join is a broadcast; the ranges of a category add up."""
+    schema = "run string, image string, category string, box_no long, x1 double, y1 double, x2 double, y2 double"
+    truth = [("r", f"{i:03d}", "c", 0, 0.0, 0.0, 100.0, 100.0) for i in range(300)]
+    found = [("r", f"{i:03d}", "c", 0, *((0.0, 0.0, 100.0, 100.0) if i % 3 else (200.0, 0.0, 300.0, 100.0)), 0.9) for i in range(299, 40, -1)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        matched = B.matches(spark.createDataFrame(truth, schema), spark.createDataFrame(found, schema + ", score double"))
+        assert matched.where("pred_no >= 0").count() == len(found)
+        cells = B.average_precision(matched, (1, 100))
+        assert "Broadcast" not in cells._jdf.queryExecution().executedPlan().toString()
+        got = {(r.area, r.t, r.most): r for r in cells.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    points, tp = [], 0
+    for n, i in enumerate(range(41, 300), 1):
+        tp += i % 3 > 0
+        points.append((tp / 300, tp / n))
+    ap = sum(max((p for r, p in points if r >= j / 100 - 1e-12), default=0.0) for j in range(101)) / 101
+    assert set(got) == {(a, t, m) for a in ("all", "large") for t in range(10) for m in (1, 100)}
+    assert all(r.n_truth == 300 and abs(r.ap - ap) < 1e-12 and abs(r.recall - tp / 300) < 1e-12 for r in got.values())
