@@ -1,8 +1,8 @@
 """Problem 1: records of the evaluation splits that stand, exactly or almost, in the training split too.
 
 Records with equal pictures and equal normalised turns, spaces aside, are one class (told by a 128-bit hash of its content, so that
-copies need no join). Classes are compared across splits by a weighted cosine join within a block (equal set of pictures and number
-of turns): a term is a word in its turn, numbers among them, weighted with its inverse document frequency over all records. A class's
+copies need no join). Classes are compared across splits by a weighted cosine join within a block (equal set of pictures, number
+of turns and digits of each answer, which no case can differ in): a term is a word in its turn, numbers among them, weighted with its inverse document frequency over all records. A class's
 terms, rarest first, are put into inverted lists only as long as the rest of its vector could still reach the threshold, by the
 rest's norm and by the greatest weights that the other split has for the rest's terms in the block; two entries of a list make a
 candidate only if the product of their residual norms, and that of their rarest terms with the norms of the others, can reach it. Candidates get their exact dot product; those that reach it are
@@ -63,6 +63,12 @@ def normalised(samples: DataFrame) -> DataFrame:
     return rows.withColumns({"k1": F.xxhash64("pictures", "_s"), "k2": F.xxhash64(F.lit(17), "_s", F.lit(23), "pictures")}).drop("_s")
 
 
+def numbers_told(norm: Column) -> Column:
+    """The digits of each answer, in a row. `same_turn` lets no number of an answer be replaced, added or left out, and turns that
+    are equal but for spaces have the same digits: records that differ here are no case."""
+    return F.transform(F.filter(norm, lambda t, k: k % 2 == 1), lambda t: F.regexp_replace(t, "[^0-9]", ""))
+
+
 def terms(norm: Column) -> Column:
     """A hash of each different word of each turn and of the turn's number."""
     each = F.transform(norm, lambda t, k: F.transform(F.filter(F.array_distinct(F.split(t, " ")), lambda w: w != ""), lambda w: F.xxhash64(k, w)))
@@ -224,7 +230,7 @@ def overlaps(samples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Rows without turns, of another split or with a null row_no are no case; null values are empty turns; null paths are no
     pictures; repeated rows each give their pairs. Extra columns don't matter; an empty table gives no rows."""
     ship_code(samples.sparkSession)
-    rows = written(normalised(samples), "rows")
+    rows = written(normalised(samples).withColumn("block", F.xxhash64("block", numbers_told(F.col("norm")))), "rows")
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

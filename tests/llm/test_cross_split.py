@@ -1,7 +1,10 @@
 import math
 import random
+import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from benthos.llm import cross_split as X
 
 SCHEMA = "row_no long, image array<string>, conversations array<struct<speaker:string,value:string>>, split_name string, dataset string"
@@ -121,3 +124,30 @@ def test_numbers_added_or_spelt_out(spark):
     assert found(spark, depth + noise) == [(1, 2)]
     assert not X.same_turn("how deep is buoy 3 here", "how deep is buoy 4 here", answer=False)
     assert not X.same_turn("it lies by the old rusty buoy", "it lies by the old rusty buoy 4", answer=True)
+
+
+def test_numbers_of_answers_part_blocks(spark):
+    """What the join compares has the same digits in each answer, and no pair of the same record is lost by it: all pairs of texts
+    with numbers in words, beside words, spelt out and parted by spaces."""
+    rng = random.Random(5)
+    words = ["1", "2", "12", "3", "1 2", "2nd", "b2", "0.5", "10.0", "three", "one", "x1y", "reef", "sponge", "m"]
+    turns = {" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(300)}
+    rows = [record(k, "train", "Which number is told here?", t) for k, t in enumerate(sorted(turns))]
+    got = X.normalised(spark.createDataFrame(rows, SCHEMA)).select("norm", X.numbers_told(F.col("norm")).alias("told")).collect()
+    same = [(a, b) for a in got for b in got if a.norm != b.norm and X.same_record(a.norm, b.norm)]
+    assert len(same) > 100 and all(a.told == b.told for a, b in same)
+    assert got[0].told == [re.sub("[^0-9]", "", got[0].norm[1])]
+    # one block of 600 by 600 records without pictures: only those whose answers have the same number are compared
+    rows = [record(k, ["train", "test"][k % 2], "How deep is the old rusty buoy here?", f"It lies {k // 2} m below the old rusty buoy.", images=None) for k in range(1200)]
+    before, compared = X.candidate_pairs, []
+
+    def counted(vectors, threshold):
+        compared.append(vectors.groupBy("block").agg(F.expr("count_if(in_train) * count_if(in_eval)").alias("n")).agg(F.sum("n")).first()[0])
+        return before(vectors, threshold)
+
+    X.candidate_pairs = counted
+    try:
+        assert found(spark, rows) == [(k, k + 1) for k in range(0, 1200, 2)]
+    finally:
+        X.candidate_pairs = before
+    assert compared == [600]
