@@ -1,10 +1,10 @@
 """Problem 4: defective pairs of question and answer, by tagging the answer's clauses with a conditional random field.
 
 Each clause is an answer, a refusal, an echo of the question, in a foreign language (not the one that the question is in or asks
-for) or unfinished. The field is fitted on a bounded sample of the data's own pairs (TRAIN_ROWS records): those that show no sign
-of a defect, as they are and with defects made in them (broken off, replaced by their question, by a refusal, by clauses of
-another language). What a clause is told by is learned from the sample: character trigrams of each of its languages, so that a
-clause that reads unlike the question's language is foreign whether or not its own language is known; the words of its sound
+for) or unfinished. The field is fitted on all the data's own pairs that show no sign of a defect, as they are and with defects made
+in them (broken off, replaced by their question, by a refusal, by clauses of another language): tasks fit one each on their share,
+and the mean of these, weighted by their pairs, is the field. What a clause is told by is counted over all pairs: character trigrams of each of its languages, so that a
+clause that reads unlike the question's language is foreign whether or not its own language is known; the words of sound
 answers, which a refusal lacks; the words of refusals, and clauses that recur with unrelated questions. Words, scripts and endings
 of known kinds are features beside these. The share of an answer's characters that each tag covers decides its defect."""
 
@@ -15,20 +15,22 @@ import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benthos.llm.crf import Crf
 from benthos.operators.packed_values import turns
-from benthos.session import ship_code, spread
+from benthos.session import ship_code, spread, written
 
-#: Records of samples that the field is fitted on, at most: those with the least hashes of row_no.
-TRAIN_ROWS = 3000
+#: Sound pairs that one task fits a field on; the fields of all tasks are averaged.
+PART = 20_000
+#: Sound pairs whose made defects a task holds at once, and visits of pairs up to which a small table is gone through again.
+CHUNK, VISITS, EPOCHS = 3000, 18_000, 6
 HASHED = 1 << 14
 KEPT_CLAUSES = 100_000
 
@@ -121,19 +123,13 @@ class Trigrams:
     """How well a text reads as one of a language: the mean log probability of its characters after the two before, smoothed by
     shorter contexts, and how far below the usual that is."""
 
-    def __init__(self, texts: list[str]):
-        half = len(texts) // 2
-        self._count(texts[:half] or texts)
-        held = [x for t in texts[half:] if (x := self.mean(t)) is not None] or [-2.0]
-        self.usual, self.spread = float(np.mean(held)), max(0.15, float(np.std(held)))
-        self._count(texts)
-
-    def _count(self, texts: list[str]) -> None:
-        grams: list[Counter] = [Counter(), Counter(), Counter()]
-        for t in texts:
-            t = f"  {_letters(t)} "
-            for n in range(3):
-                grams[n].update(t[i : i + n + 1] for i in range(2 - n, len(t) - n))
+    def __init__(self, triples: Counter, usual: float = -2.0, spread: float = 0.0):
+        """triples: how often each three signs stand in texts of the language."""
+        self.usual, self.spread = usual, max(0.15, spread)
+        grams: list[Counter] = [Counter(), Counter(), triples]
+        for g, c in triples.items():
+            grams[0][g[2]] += c
+            grams[1][g[1:]] += c
         total = max(1, grams[0].total())
         one = {g: (c + 0.5) / (total + 50) for g, c in grams[0].items()}
         self.floor = math.log(0.5 / (total + 50))
@@ -147,6 +143,13 @@ class Trigrams:
         self.two = {g: math.log(x) for g, x in two.items()}
         self.one = {g: math.log(x) for g, x in one.items()}
 
+    @classmethod
+    def of(cls, texts: list[str]) -> Trigrams:
+        half = len(texts) // 2
+        first = cls(triples_of(texts[:half] or texts))
+        held = [x for t in texts[half:] if (x := first.mean(t)) is not None] or [-2.0]
+        return cls(triples_of(texts), float(np.mean(held)), float(np.std(held)))
+
     def mean(self, text: str) -> float | None:
         t = f"  {_letters(text)} "
         if len(t) < LETTERS + 3:
@@ -159,12 +162,20 @@ class Trigrams:
         return (self.usual - mean) / (self.spread * max(1.0, (40 / n) ** 0.5))
 
 
+def triples_of(texts: Iterable[str]) -> Counter:
+    n: Counter = Counter()
+    for t in texts:
+        t = f"  {_letters(t)} "
+        n.update([t[i : i + 3] for i in range(len(t) - 2)])
+    return n
+
+
 def _letters(text: str) -> str:
     return _NORM.sub(" ", _DIGITS.sub("", text.lower())).strip()
 
 
 class Knowledge:
-    """What is learned from the sample beside the field: trigrams by language, words of sound pairs, words of refusals."""
+    """What is learned from all pairs beside the field: trigrams by language, words of sound pairs, words of refusals."""
 
     def __init__(self, vocabulary: set[str], words: dict[int, set[str]], trigrams: dict[int, Trigrams], common: set[str], refusing: dict[str, float]):
         self.vocabulary, self.words, self.trigrams, self.common, self.refusing = vocabulary, words, trigrams, common, refusing
@@ -409,66 +420,136 @@ _SOUND = [("Is it there?", "yes"), ("Is it there?", "No."), ("How many are there
 _DECORATE = [lambda q: q, lambda q: "Q: " + q, lambda q: "Question: " + q, lambda q: "> " + q, lambda q: "You asked: " + q, lambda q: "The question was: " + q, lambda q: "Here is your question again: " + q, lambda q: q.upper(), lambda q: q.lower(), lambda q: q.replace(" ", "  "), lambda q: q.rstrip("?. ") + "...", lambda q: f'"{q}"', lambda q: q + " " + q, lambda q: q.rstrip("?.")]
 
 
-def refusal_words(pairs: list[tuple[str | None, str | None]]) -> tuple[dict[str, float], list[str]]:
-    """The log odds of words to be a refusal's rather than an answer's, and the sample's own refusals: clauses that read like one and
-    recur with different questions of which they repeat nothing."""
-    told, said = Counter(w for t in [*(c + x for c in _CORES for x in _CLOSERS), *(o + "x" for o in _OPENERS), *_ABROAD * 4] for w in pieces_of(t.lower())), Counter()
-    asked: dict[str, set[str]] = {}
-    for q, a in pairs:
+#: How often words stand in the refusals to learn from.
+_TOLD = Counter(w for t in [*(c + x for c in _CORES for x in _CLOSERS), *(o + "x" for o in _OPENERS), *_ABROAD * 4] for w in pieces_of(t.lower()))
+_PLAIN_WORDS = {"the", "a", "this", "that", "is", "in", "of"}
+
+
+def said_in(pairs: list[tuple[str | None, str | None]]) -> Counter:
+    """In how many clauses each word of refusals stands, and under "" how many words all clauses have."""
+    said: Counter = Counter()
+    for _, a in pairs:
         for c in clauses_of(a) if a else ():
+            words = set(pieces_of(c.lower()))
+            said[""] += len(words)
+            said.update(w for w in words if w in _TOLD)
+    return said
+
+
+def odds_of(said: Counter) -> dict[str, float]:
+    """The log odds of words to be a refusal's rather than an answer's."""
+    n_told, n_said = _TOLD.total(), max(1, said[""])
+    return {w: math.log((c + 0.5) / n_told) - math.log((said[w] + 0.5) / n_said) for w, c in _TOLD.items()}
+
+
+def refusing_in(pairs: list[tuple[str | None, str | None]], odds: dict[str, float]) -> Iterator[tuple[str, str]]:
+    """(clause, question) of clauses that read like a refusal and repeat nothing of their question."""
+    for q, a in pairs:
+        for c in clauses_of(a) if a and q else ():
             low = c.lower()
             words = pieces_of(low)
-            said.update(set(words))
-            if len(words) > 3 and q and not set(words) & (set(pieces_of(q.lower())) - {"the", "a", "this", "that", "is", "in", "of"}):
-                asked.setdefault(low.rstrip(".!…。"), set()).add(q)
-    n_told, n_said = told.total(), max(1, said.total())
-    odds = {w: math.log((c + 0.5) / n_told) - math.log((said[w] + 0.5) / n_said) for w, c in told.items()}
-    own = [c for c, qs in asked.items() if len(qs) > 1 and aside_of(pieces_of(c), odds, c) > 0]
-    return odds, own
+            if len(words) > 3 and aside_of(pieces_of(cut := low.rstrip(".!…。")), odds, cut) > 0 and not set(words) & (set(pieces_of(q.lower())) - _PLAIN_WORDS):
+                yield cut, q
 
 
-def training_set(pairs: list[tuple[str | None, str | None]], seed: int = 3) -> tuple[Reader, list, list]:
-    """The reader with what it knows of the sample, and sequences of features with their tags: sound pairs, and made defects."""
-    rng = random.Random(seed)
-    sound, by_language, spoken = [], {}, {}
-    odds, recurring = refusal_words(pairs)
-    probe = Reader(Knowledge(set(), {}, {}, set(), odds))
-    words_in: dict[str, int] = Counter()
-    heard: dict[int, Counter] = {}
-    everywhere: dict[str, int] = Counter()
-    for q, a in [*pairs, *_SOUND * max(2, len(pairs) // 100)]:
+def refusal_words(pairs: list[tuple[str | None, str | None]]) -> tuple[dict[str, float], list[str]]:
+    """The log odds of words to be a refusal's, and the pairs' own refusals: clauses that read like one and recur with different
+    questions."""
+    odds, asked = odds_of(said_in(pairs)), {}
+    for c, q in refusing_in(pairs, odds):
+        asked.setdefault(c, set()).add(q)
+    return odds, [c for c, qs in asked.items() if len(qs) > 1]
+
+
+#: A sound pair: question, clauses, language that is expected, language of each clause, whether it is of sentences without boxes.
+Sound = tuple[str, list[str], int, list[int], bool]
+
+
+def sound_in(pairs: list[tuple[str | None, str | None]], probe: Reader) -> Iterator[tuple[int, Sound]]:
+    """The pairs that show no sign of a defect, with their place. probe: a reader that knows the words of refusals."""
+    odds = probe.known.refusing
+    for at, (q, a) in enumerate(pairs):
         if not q or is_nothing(a):
             continue
         parts = clauses_of(a)
         if not parts:
             continue
-        expected, qnorm, _, wants_box, _ = probe.question(q)
+        expected, qnorm, _, _, _ = probe.question(q)
         infos = [probe.clause(c) for c in parts]
         refusing = any(aside_of(pieces_of(c.lower()), odds, c) > SURELY for c in parts)
         abroad = any(i[1] >= 0 and expected >= 0 and i[1] != expected and i[2] > 1 for i in infos)
-        sentence = len(parts[-1].split()) > 4 or _HAN.search(a)
+        sentence = bool(len(parts[-1].split()) > 4 or _HAN.search(a))
         whole = re.search(r"[.!?。！？][\"'”’]*$", a.strip()) if sentence and "[" not in a else probe.ending(parts[-1], infos[-1][3], False) != [_UNBALANCED]
         if refusing or abroad or not whole or (qnorm and qnorm in plain(a.lower()) and len(plain(a)) < 1.3 * len(qnorm) + 12):
             continue
+        yield at, (q, parts, expected, [i[1] for i in infos], sentence and "[" not in a)
+
+
+def spoken_in(pair: Sound) -> list[str]:
+    """The texts of a sound pair that are in the language of its question."""
+    q, parts, expected, langs, told = pair
+    return [q.replace("<image>", " "), *(c for c, k in zip(parts, langs) if told and k in (expected, -1))] if expected >= 0 else []
+
+
+def counted(sound: list[Sound]) -> Counter:
+    """By (kind, language, word), how often words stand in sound pairs: `word` in clauses with their apostrophes, `heard` by
+    language in pairs, `every` in pairs at all."""
+    n: Counter = Counter()
+    for q, parts, expected, _, _ in sound:
         for c in parts:
-            words_in.update({w.lower() for w in re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", c)})
-        if expected >= 0:
-            heard.setdefault(expected, Counter()).update({w for t in (q, *parts) for w in _WORD.findall(t.lower())})
-        everywhere.update({w for c in parts for w in _WORD.findall(c.lower())})
-        sound.append((q, parts))
-        if sentence and "[" not in a:
-            by_language.setdefault(infos[0][1], []).append(parts)
+            n.update(("word", -1, w) for w in {w.lower() for w in re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", c)})
+        of_parts = {w for c in parts for w in _WORD.findall(c.lower())}
+        n.update(("every", -1, w) for w in of_parts)
         if expected >= 0:
-            spoken.setdefault(expected, []).append(q.replace("<image>", " "))
-            if sentence and "[" not in a:
-                spoken[expected] += [c for c, i in zip(parts, infos) if i[1] in (expected, -1)]
-    # what two sound records have is no surprise in a third
-    vocabulary = {w for w, n in words_in.items() if n > 1 or len(sound) < 200}
+            n.update(("heard", expected, w) for w in of_parts.union(_WORD.findall(q.lower())))
+    return n
+
+
+def knowledge(n: Counter, n_sound: int, trigrams: dict[int, Trigrams], odds: dict[str, float]) -> Knowledge:
+    """What is known by the counts of all sound pairs."""
+    vocabulary, words, common = set(), {}, set()
+    for (kind, lang, w), c in n.items():
+        # what two sound records have is no surprise in a third
+        if kind == "every":
+            if c > n_sound / 40:
+                common.add(w)
+        elif c > 1 or n_sound < 200:
+            (vocabulary if kind == "word" else words.setdefault(lang, set())).add(w)
+    return Knowledge(vocabulary, words, trigrams, common, odds)
+
+
+def prober(odds: dict[str, float]) -> Reader:
+    return Reader(Knowledge(set(), {}, {}, set(), odds))
+
+
+def training_set(pairs: list[tuple[str | None, str | None]], seed: int = 3) -> tuple[Reader, list, list]:
+    """The reader with what it knows of these pairs, and sequences of features with their tags: sound pairs, and made defects."""
+    rng = random.Random(seed)
+    odds, recurring = refusal_words(pairs)
+    sound = [x for _, x in sound_in([*pairs, *_SOUND * max(2, len(pairs) // 100)], prober(odds))]
+    spoken: dict[int, list[str]] = {}
+    for x in sound:
+        spoken.setdefault(x[2], []).extend(spoken_in(x))
     rng.shuffle(sound)
-    trigrams = {k: Trigrams(rng.sample(t, len(t))) for k, t in spoken.items() if len(t) > 20}
-    common = {w for w, n in everywhere.items() if n > len(sound) / 40}
-    words = {k: {w for w, n in c.items() if n > 1 or len(sound) < 200} for k, c in heard.items()}
-    reader, xs, ys = Reader(Knowledge(vocabulary, words, trigrams, common, odds)), [], []
+    trigrams = {k: Trigrams.of(rng.sample(t, len(t))) for k, t in spoken.items() if len(t) > 20}
+    reader = Reader(knowledge(counted(sound), len(sound), trigrams, odds))
+    return reader, *made(sound, reader, recurring, languages_of(sound), rng)
+
+
+def languages_of(sound: list[Sound]) -> dict[int, list[list[str]]]:
+    """The answers in sentences of each language."""
+    found: dict[int, list[list[str]]] = {}
+    for _, parts, _, langs, told in sound:
+        if told:
+            found.setdefault(langs[0], []).append(parts)
+    return found
+
+
+def made(sound: list[Sound], reader: Reader, recurring: list[str], by_language: dict[int, list[list[str]]], rng: random.Random, n_sound: int | None = None) -> tuple[list, list]:
+    """Sequences of features and their tags of sound pairs and of defects made in each; n_sound: of the pairs that by_language is of,
+    if they are more."""
+    n_sound = n_sound or len(sound)
+    odds, xs, ys = reader.known.refusing, [], []
     unknown = {_LANG_OTHER, _LANG_OTHER_WEAK, _SCRIPT, *_LIKE_OTHER}
     told = {_lex("r", w) for w in odds} | set(_ASIDE)
 
@@ -482,8 +563,8 @@ def training_set(pairs: list[tuple[str | None, str | None]], seed: int = 3) -> t
             ys.append(tags)
 
     known = [k for k in by_language if k >= 0 and len(by_language[k]) > 4]
-    weight = {k: min(12, max(1, len(sound) // (6 * len(v)))) for k, v in by_language.items()}  # few rows of a language count more
-    for q, parts in sound:
+    weight = {k: min(12, max(1, n_sound // (6 * len(v)))) for k, v in by_language.items()}  # few rows of a language count more
+    for q, parts, *_ in sound:
         bare = q.replace("<image>", "").strip()
         add(q, parts, [ANSWER] * len(parts))
         if rng.random() < 0.2:  # a null or empty question
@@ -519,17 +600,151 @@ def training_set(pairs: list[tuple[str | None, str | None]], seed: int = 3) -> t
             there = rng.choice(by_language[rng.choice(others)])
             there = [*there[:-1], re.sub(r"[.。]$", "", there[-1])] if rng.random() < 0.2 else there
             add(q, there, [FOREIGN] * len(there), unknown if rng.random() < 0.4 else frozenset())
-    return reader, xs, ys
+    return xs, ys
 
 
 def fit(pairs: list[tuple[str | None, str | None]]) -> tuple[Crf, Knowledge]:
     reader, xs, ys = training_set(pairs)
     model = Crf(HASHED, 5)
     if xs:
-        model.fit(xs, ys, epochs=6)
+        model.fit(xs, ys, epochs=EPOCHS)
     return model, reader.known
 
 
+def fit_part(sound: list[Sound], known: Knowledge, recurring: list[str], seed: int = 3) -> Crf:
+    """The field of a task's sound pairs, all of which are gone through in chunks; several times if they are few."""
+    rng, model, reader = random.Random(seed), Crf(HASHED, 5), Reader(known)
+    rng.shuffle(sound)
+    by_language = languages_of(sound)
+    epochs = max(1, min(EPOCHS, VISITS // max(1, len(sound))))
+    size = CHUNK if epochs == 1 else len(sound)
+    for at in range(0, len(sound), size):
+        xs, ys = made(sound[at : at + size], reader, recurring, by_language, rng, len(sound))
+        model.fit(xs, ys, epochs=epochs)
+    return model
+
+
+def pairs_of(f: pd.DataFrame) -> list[tuple[str | None, str | None]]:
+    return list(zip(f["question"], f["answer"]))
+
+
+def sound_rows(f: pd.DataFrame) -> list[Sound]:
+    return [(q, list(p), e, list(k), t) for q, p, e, k, t in zip(f["question"], f["parts"], f["expected"], f["langs"], f["told"])]
+
+
+def sound_table(spark: SparkSession, pairs: DataFrame, odds: dict[str, float]) -> DataFrame:
+    """The sound pairs as a table, and those of kinds that the data may lack, a hundredth as many each; beside them the clauses that
+    read like a refusal (kind `refusing`, the clause in parts)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        probe = prober(odds)
+        for f in frames:
+            given = pairs_of(f)
+            rows = [("sound", f["row_key"].iat[at], f["turn"].iat[at], *x) for at, x in sound_in(given, probe)]
+            rows += [("refusing", 0, 0, q, [c], -1, [], False) for c, q in refusing_in(given, odds)]
+            yield pd.DataFrame(rows, columns=["kind", "row_key", "turn", "question", "parts", "expected", "langs", "told"])
+
+    few = spark.createDataFrame([(k, q, a) for k, (q, a) in enumerate(_SOUND)], "turn int, question string, answer string")
+    lent = spark.range(max(2, pairs.count() // 100)).select((-1 - F.col("id")).alias("row_key")).crossJoin(F.broadcast(few))
+    every = spread(pairs.unionByName(lent))
+    return written(every.mapInPandas(run, "kind string, row_key long, turn int, question string, parts array<string>, expected int, langs array<int>, told boolean"), "sound")
+
+
+def _half(x: Sound) -> int:
+    return zlib.crc32(f"{x[0]} {x[1][0]}".encode()) & 1
+
+
+def tallied(df: DataFrame, tally, value: str = "long") -> DataFrame:
+    """(kind, lang, word, n): the sums over all rows of what tally, a function from a pandas frame to a Counter by the first three, says."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        for f in frames:
+            total.update(tally(f))
+        rows = [(*k, n) for k, n in total.items()]
+        yield pd.DataFrame(rows, columns=["kind", "lang", "word", "n"])
+
+    return df.mapInPandas(run, f"kind string, lang int, word string, n {value}").groupBy("kind", "lang", "word").agg(F.sum("n").alias("n"))
+
+
+def learned(sound: DataFrame, odds: dict[str, float]) -> Knowledge:
+    """What is known by the counts over all sound pairs. How a language usually reads is told by the half of its texts that the
+    counts for it leave out."""
+
+    def tally(f: pd.DataFrame) -> Counter:
+        rows = sound_rows(f)
+        n = counted(rows)
+        for x in rows:
+            if spoken := spoken_in(x):
+                n["texts", x[2], ""] += len(spoken)
+                kind = f"half{_half(x)}"
+                n.update((kind, x[2], g) for g in triples_of(spoken).elements())
+        return n
+
+    n_sound = sound.count()
+    # of words, those that knowledge() takes
+    kept = F.when(F.col("kind") == "every", F.col("n") > n_sound / 40).when(F.col("kind").isin("word", "heard"), (F.col("n") > 1) | F.lit(n_sound < 200)).otherwise(True)
+    words, halves, texts = Counter(), {}, Counter()
+    for kind, lang, word, n in tallied(sound, tally).where(kept).collect():
+        if kind.startswith("half"):
+            halves.setdefault(lang, (Counter(), Counter()))[int(kind[4])][word] = n
+        elif kind == "texts":
+            texts[lang] = n
+        else:
+            words[kind, lang, word] = n
+    firsts = {k: Trigrams(a or b) for k, (a, b) in halves.items() if texts[k] > 20}
+
+    def usual(f: pd.DataFrame) -> Counter:
+        n: Counter = Counter()
+        for x in sound_rows(f):
+            if x[2] in firsts and _half(x):
+                for m in map(firsts[x[2]].mean, spoken_in(x)):
+                    if m is not None:
+                        n["n", x[2], ""] += 1.0
+                        n["sum", x[2], ""] += m
+                        n["square", x[2], ""] += m * m
+        return n
+
+    sums = {(k, lang): n for k, lang, _, n in tallied(sound, usual, "double").collect()}
+    trigrams = {}
+    for k in sorted(firsts):
+        n = sums.get(("n", k), 0.0)
+        mean = sums["sum", k] / n if n else -2.0
+        trigrams[k] = Trigrams(halves[k][0] + halves[k][1], mean, math.sqrt(max(0.0, sums["square", k] / n - mean * mean)) if n else 0.0)
+    return knowledge(words, n_sound, trigrams, odds)
+
+
+def fit_all(samples: DataFrame) -> tuple[Crf, Knowledge]:
+    """The field and what is known, of all pairs of samples but lists. Gathered are only words and triples with their counts, the
+    refusals that recur, and one weight for each feature and label."""
+    spark = samples.sparkSession
+    ship_code(spark)
+    pairs = spread(record_pairs(samples))
+    odds = odds_of(Counter({w: n for _, _, w, n in tallied(pairs, lambda f: Counter({("said", -1, w): n for w, n in said_in(pairs_of(f)).items()})).collect()}))
+    table = sound_table(spark, pairs, odds)
+    refusing = table.where("kind = 'refusing'").groupBy(F.get("parts", F.lit(0)).alias("c")).agg(F.min("question").alias("a"), F.max("question").alias("b")).where("a <> b")
+    recurring = sorted(r["c"] for r in refusing.select("c").collect())
+    sound = table.where("kind = 'sound'")
+    known = learned(sound, odds)
+    shared = spark.sparkContext.broadcast((known, recurring))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [x for f in frames for x in sound_rows(f)]
+        if rows:
+            model = fit_part(rows, *shared.value)
+            w = np.concatenate([model.w.ravel(), model.t.ravel()]) * len(rows)
+            at = np.flatnonzero(w)
+            yield pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at], float(len(rows)))})
+
+    dealt = sound.repartition(max(1, -(-sound.count() // PART)), "row_key", "turn").sortWithinPartitions("row_key", "turn", "question")
+    sums = dealt.mapInPandas(run, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toPandas()
+    model, total = Crf(HASHED, 5), np.zeros(HASHED * 5 + 25)
+    ends = sums["at"].to_numpy() >= 0
+    total[sums["at"].to_numpy()[ends]] = sums["w"].to_numpy()[ends] / sums["w"].to_numpy()[~ends].sum()
+    model.w, model.t = total[:-25].reshape(HASHED, 5).copy(), total[-25:].reshape(5, 5).copy()
+    return model, known
+
+
 # --- applying --------------------------------------------------------------------------------------------------------
 
 
@@ -549,22 +764,28 @@ def answers(samples: DataFrame, predictions: DataFrame) -> DataFrame:
     return of_samples.unionByName(of_predictions)
 
 
-def sample_pairs(samples: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str | None, str | None]]:
-    """The pairs of the `rows` records with the least hashes: a sample of bounded size to fit on."""
+def record_pairs(samples: DataFrame) -> DataFrame:
+    """(row_key, turn, question, answer) of the records that are no lists."""
+    told = samples.where("row_no is not null and (answer_form is null or answer_form <> 'list')")
+    none = told.select(F.lit(None).cast("long").alias("pred_no"), *(F.lit(None).cast("string").alias(c) for c in ("prompt", "text", "gt", "answer_form"))).limit(0)
+    return answers(told, none).select("row_key", "turn", "question", "answer")
+
+
+def sample_pairs(samples: DataFrame, rows: int) -> list[tuple[str | None, str | None]]:
+    """The pairs of the `rows` records with the least hashes, gathered to look at; `defects` is fitted on all records instead."""
     few = samples.where("row_no is not null and (answer_form is null or answer_form <> 'list')").orderBy(F.xxhash64("row_no"), "row_no").limit(rows)
-    none = few.select(F.lit(None).cast("long").alias("pred_no"), *(F.lit(None).cast("string").alias(c) for c in ("prompt", "text", "gt", "answer_form"))).limit(0)
-    return [(r["question"], r["answer"]) for r in answers(few, none).orderBy("row_key", "turn").select("question", "answer").collect()]
+    return pairs_of(record_pairs(few).orderBy("row_key", "turn").toPandas())
 
 
-def defects(samples: DataFrame, predictions: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+def defects(samples: DataFrame, predictions: DataFrame) -> DataFrame:
     """(field_name, row_key, turn, defect) of each defective answer: empty, truncated, refusal, copy or language; one at most.
 
     A null or blank answer, or one that is only a stand-in for nothing, is empty whatever its question; a null question has no
     language and can't be copied. Lists have no defect. Repeated rows each count, extra columns don't matter, whole texts are
-    read. One pass over the rows, without a shuffle; the model is what is fitted on at most `rows` records."""
+    read. The field is fitted on all pairs of samples first; then one pass over the rows, without a shuffle."""
     spark = samples.sparkSession
     ship_code(spark)
-    fitted = spark.sparkContext.broadcast(fit(sample_pairs(samples, rows)))
+    fitted = spark.sparkContext.broadcast(fit_all(samples))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, known = fitted.value

@@ -10,15 +10,17 @@ class Crf:
     def __init__(self, n_features: int, n_labels: int):
         self.w = np.zeros((n_features, n_labels))
         self.t = np.zeros((n_labels, n_labels))
+        self.moments, self.steps = None, 0
 
     def emissions(self, items: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
         """(n, labels): the sum of the weights of each item's features; items and features are parallel."""
         return np.stack([np.bincount(items, self.w[features, k], n) for k in range(self.w.shape[1])], 1)
 
     def fit(self, sequences: list[list[list[int]]], labels: list[list[int]], epochs: int = 8, batch: int = 256, rate: float = 0.05, decay: float = 2e-6, seed: int = 1) -> Crf:
+        """Called again, it goes on from where it is with other sequences."""
         rng = np.random.default_rng(seed)
-        state = [np.zeros_like(x) for x in (self.w, self.w, self.t, self.t)]
-        step = 0
+        state = self.moments = self.moments or [np.zeros_like(x) for x in (self.w, self.w, self.t, self.t)]
+        step = self.steps
         for _ in range(epochs):
             order = rng.permutation(len(sequences))
             for at in range(0, len(order), batch):
@@ -31,6 +33,7 @@ class Crf:
                     v *= 0.999
                     v += 0.001 * g * g
                     x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        self.steps = step
         return self
 
     def _gradient(self, sequences, labels):

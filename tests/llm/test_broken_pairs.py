@@ -129,3 +129,21 @@ def test_what_no_list_names(spark):
             long = " ".join([a] * 12)
             assert len(reader.features(q, B.clauses_of(long))) >= 24
             break
+
+
+def test_fitted_on_all_records(spark, monkeypatch):
+    """Words, triples and odds are those of every record, and every sound pair is in the share of one task."""
+    names = ["".join(x) for x in itertools.product("bdgklmnprst", "aeiou", "bdgklmnprst", "aeiou")][:1750]
+    rows = [(k, [("human", f"What does the eel do near {names[k // 2].title()} Reef?"), ("gpt", f"The eel rests beside {names[k // 2]} for {k} minutes.")], "sentence") for k in range(3500)]
+    rows += [(5000 + k, [("human", f"Is it {names[k]}?"), ("gpt", "Sorry, I must decline to answer that.")], "sentence") for k in range(20)]
+    pairs = [(t[0][1], t[1][1]) for _, t, _ in rows]
+    odds, recurring = B.refusal_words(pairs)
+    sound = [x for _, x in B.sound_in([*pairs, *B._SOUND * (len(pairs) // 100)], B.prober(odds))]
+    monkeypatch.setattr(B, "PART", 1000)
+    monkeypatch.setattr(B, "EPOCHS", 1)
+    model, known = B.fit_all(spark.createDataFrame(rows, SAMPLES))
+    expected = B.knowledge(B.counted(sound), len(sound), {}, odds)
+    assert set(names) <= known.vocabulary == expected.vocabulary
+    assert known.words == expected.words and known.common == expected.common and known.refusing == odds
+    assert known.trigrams[0].three == B.Trigrams(B.triples_of(t for x in sound for t in B.spoken_in(x))).three
+    assert recurring and np.isfinite(model.w).all() and model.w.any() and model.t.any()
