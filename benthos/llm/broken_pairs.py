@@ -494,15 +494,15 @@ def spoken_in(pair: Sound) -> list[str]:
 def counted(sound: list[Sound]) -> Counter:
     """By (kind, language, word), how often words stand in sound pairs: `word` in clauses with their apostrophes, `heard` by
     language in pairs, `every` in pairs at all."""
-    n: Counter = Counter()
+    by: dict[tuple[str, int], Counter] = {("word", -1): Counter(), ("every", -1): Counter()}
     for q, parts, expected, _, _ in sound:
         for c in parts:
-            n.update(("word", -1, w) for w in {w.lower() for w in re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", c)})
+            by["word", -1].update({w.lower() for w in re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", c)})
         of_parts = {w for c in parts for w in _WORD.findall(c.lower())}
-        n.update(("every", -1, w) for w in of_parts)
+        by["every", -1].update(of_parts)
         if expected >= 0:
-            n.update(("heard", expected, w) for w in of_parts.union(_WORD.findall(q.lower())))
-    return n
+            by.setdefault(("heard", expected), Counter()).update(of_parts.union(_WORD.findall(q.lower())))
+    return Counter({(*k, w): c for k, n in by.items() for w, c in n.items()})
 
 
 def knowledge(n: Counter, n_sound: int, trigrams: dict[int, Trigrams], odds: dict[str, float]) -> Knowledge:
@@ -673,13 +673,12 @@ def learned(sound: DataFrame, odds: dict[str, float]) -> Knowledge:
 
     def tally(f: pd.DataFrame) -> Counter:
         rows = sound_rows(f)
-        n = counted(rows)
+        n, texts = counted(rows), {}
         for x in rows:
             if spoken := spoken_in(x):
                 n["texts", x[2], ""] += len(spoken)
-                kind = f"half{_half(x)}"
-                n.update((kind, x[2], g) for g in triples_of(spoken).elements())
-        return n
+                texts.setdefault((f"half{_half(x)}", x[2]), []).extend(spoken)
+        return n + Counter({(*k, g): c for k, t in texts.items() for g, c in triples_of(t).items()})
 
     n_sound = sound.count()
     # of words, those that knowledge() takes
