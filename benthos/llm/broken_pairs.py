@@ -23,7 +23,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benthos.llm.crf import Crf
+from benthos.llm.clause_sheets import Sheets, triples_in, uniques, usual_of
+from benthos.llm.crf import Crf, Sequences, ranges
 from benthos.operators.packed_values import turns
 from benthos.session import ship_code, spread, written
 
@@ -60,8 +61,9 @@ _ASKED_AS = {"english": "en", "englisch": "en", "inglés": "en", "anglais": "en"
 
 _WANTS_BOX = re.compile(r"\b(?:give|output|return|mark|draw|locate|detect|report|list)\b.{0,90}?\b(?:box|boxes|bbox|coordinates|json)\b", re.S)
 _WORD = re.compile(r"[^\W\d_]+")
-_CLAUSES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
+_CLAUSE_ENDS = re.compile(r"[.!?。！？\n](?:(?<=[.!?])\s+|(?<=[。！？])|(?<=\n)\n*)")
 _QUOTED = re.compile(r'"[^"]*"|“[^”]*”|«[^»]*»|\[[^\]]*\]|\{[^}]*\}')
+_QUOTES = re.compile(r'["“«\[{]')
 _CYRILLIC, _HAN = re.compile(r"[а-яё]", re.I), re.compile(r"[一-鿿]")
 _NORM = re.compile(r"[\W_]+")
 _DIGITS = re.compile(r"\d+")
@@ -194,11 +196,11 @@ class Reader:
         if found is None:
             bare = (text or "").replace("<image>", " ").strip()
             low = bare.lower()
-            asked = _ASKED.search(low)
-            lang = _BIT[_ASKED_AS[asked[1].lower()]] if asked else language(_QUOTED.sub(" ", low))[0]
-            wants_box = bool(_WANTS_BOX.search(low))
+            asked = any(w in low for w in _ASKED_AS) and _ASKED.search(low)
+            lang = _BIT[_ASKED_AS[asked[1].lower()]] if asked else language(_QUOTED.sub(" ", low) if _QUOTES.search(low) else low)[0]
+            wants_box = ("box" in low or "coordinates" in low or "json" in low) and bool(_WANTS_BOX.search(low))
             norm = plain(low)
-            found = lang, norm, frozenset(norm.split()), wants_box, _OF_LANGUAGE.get(lang, "latin") if lang >= 0 else script(bare)[0] if bare else None
+            found = lang, norm, frozenset(norm.split()), wants_box, _OF_LANGUAGE.get(lang, "latin") if lang >= 0 else ("latin" if bare.isascii() else script(bare)[0]) if bare else None
             if len(self.questions) >= KEPT_CLAUSES:
                 self.questions.clear()
             self.questions[text] = found
@@ -269,14 +271,8 @@ class Reader:
                 shared = len([w for w in words if w in qwords]) / len(words)
                 if shared > 0.8 or (lang == 5 and expected == 5):
                     f.append(_OVERLAP_HIGH)
-                    norm = plain(text.lower())
-                    bare = _ECHO_LEAD.sub("", norm)
-                    if qnorm in norm:
-                        f.append(_ECHO_ALL)
-                    elif len(bare) > 3 and qnorm.startswith(bare):
-                        f.append(_ECHO_BEGIN)
-                    elif len(bare) > 7 and bare in qnorm:
-                        f.append(_ECHO_PART)
+                    if echoed := echo(text, qnorm):
+                        f.append(echoed)
                 elif shared > 0.5:
                     f.append(_OVERLAP_MID)
             if i == n - 1:
@@ -301,47 +297,73 @@ class Reader:
             known[expected] = f
         return known[expected]
 
-    def ending(self, text: str, words: list[str], wants_box: bool) -> list[int]:
+    def ending(self, text: str, words: list[str] | bool, wants_box: bool) -> list[int]:
         """How the last clause ends."""
         end = text.rstrip().rstrip("\"'”’»)*_")
         if "{" in text or "[" in text:
             whole = text.count("[") == text.count("]") and text.count("{") == text.count("}") and text.count('"') % 2 == 0
             return [_END_STOP] if whole and re.search(r"[\]})][\s.,]*$", text) and not re.search(r",\s*$", text) else [_UNBALANCED]
-        if re.search(r"\([^()]*\)\W*$", text):  # a remark after the end
+        if "(" in text and re.search(r"\([^()]*\)\W*$", text):  # a remark after the end
             return [_END_STOP]
         f = []
-        if wants_box and words and not re.search(r"[.!?。！？]$", end):
+        if wants_box and words and not end.endswith(_STOPS):
             f.append(_NO_BOX)
         if end.endswith(("...", "…")):
             return [*f, _END_DOTS]
-        if end.endswith((".", "!", "?", "。", "！", "？")):
-            return [*f, _DIGIT_STOP if re.search(r"\d\.$", end) else _END_STOP]
+        if end.endswith(_STOPS):
+            return [*f, _DIGIT_STOP if end[-1] == "." and end[-2:-1].isdecimal() else _END_STOP]
         if end.endswith((",", ";", ":", "-", "–", "—", "，", "、", "；", "：", "(", "/")):
             return [*f, _END_OPEN]
         f.append(_END_NONE)
-        tokens = re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*|[一-鿿]", text)
+        tokens = _TOKENS.findall(text)
         if not tokens:
             return f
-        if _HAN.search(text):
+        if not text.isascii() and _HAN.search(text):
             f += [_lex("z", text[-1]), _lex("y", text[-2:]), _lex("x", text[-3:])]
             return f
-        shape = ["0" if t[0].isdigit() else "N" if t[0].isupper() and k else t.lower() for k, t in enumerate(tokens)]
-        last = tokens[-1]
+        last, n = tokens[-1], len(tokens)
         if last[0].isdigit():
             f.append(_END_NUMBER)
-        elif last[0].isupper() and len(tokens) > 1:
+        elif last[0].isupper() and n > 1:
             f.append(_NAME_LAST)
-        elif len(tokens) > 3 and last.lower() not in self.vocabulary:
+        elif n > 3 and last.lower() not in self.vocabulary:
             f.append(_OOV)
-        if len(tokens) > 3:
-            before = [s for k, s in enumerate(shape) if s != "N" or k + 1 == len(shape) or shape[k + 1] != "N"]  # names of several words as one
-            run = len(shape) - len("".join(s[0] if s == "N" else "x" for s in shape).rstrip("N"))
-            f += [_lex("a", last.lower()), _lex("b", *before[-2:], run), _lex("c", *before[-3:], run), _lex("d", *before[-4:], run)]
+        if n > 3:
+            run, before, k = 0, [], n - 1
+            while k >= 0 and len(before) < 4:  # from the end on; names of several words as one
+                t = tokens[k]
+                shape = "0" if t[0].isdigit() else "N" if k and t[0].isupper() else t.lower()
+                if shape == "N":
+                    run += run == n - 1 - k
+                    if k + 1 == n or above != "N":
+                        before.append(shape)
+                else:
+                    before.append(shape)
+                above, k = shape, k - 1
+            before.reverse()
+            low, crc = last.lower(), zlib.crc32
+            two, three, four = ("\t".join(before[k:]) for k in (-2, -3, -4))
+            f += [FIXED + crc(x.encode()) % (HASHED - FIXED) for x in (f"a\t{low}", f"b\t{two}\t{run}", f"c\t{three}\t{run}", f"d\t{four}\t{run}")]
             if len(before) > 1:
-                f.append(_lex("e", before[-2], last.lower()))
+                f.append(FIXED + crc(f"e\t{before[-2]}\t{low}".encode()) % (HASHED - FIXED))
         return f
 
 
+_TOKENS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*|[一-鿿]")
+_STOPS = (".", "!", "?", "。", "！", "？")
+
+
+def echo(text: str, qnorm: str) -> int:
+    """How a clause repeats the question, or 0."""
+    norm = plain(text.lower())
+    bare = _ECHO_LEAD.sub("", norm)
+    if qnorm in norm:
+        return _ECHO_ALL
+    if len(bare) > 3 and qnorm.startswith(bare):
+        return _ECHO_BEGIN
+    return _ECHO_PART if len(bare) > 7 and bare in qnorm else 0
+
+
 _ECHO_LEAD = re.compile(r"^(?:q|question|query|prompt|user|human)\s+")
 
 
@@ -354,7 +376,23 @@ def is_nothing(answer: str | None) -> bool:
 
 
 def clauses_of(answer: str) -> list[str]:
-    return [c for c in (x.strip() for x in _CLAUSES.split(answer)) if c]
+    return parted(answer, ends_of(answer))
+
+
+def ends_of(text: str) -> list[tuple[int, int, int]]:
+    """Of each end of a clause: the least length of a text broken off here that has it, where the clause ends, and the next begins."""
+    return [(k + 1 + (text[k] not in "。！？"), k + (text[k] != "\n"), m.end()) for m in _CLAUSE_ENDS.finditer(text) for k in (m.start(),)]
+
+
+def parted(text: str, ends: list[tuple[int, int, int]]) -> list[str]:
+    parts, at = [], 0
+    for _, to, after in ends:
+        if c := text[at:to].strip():
+            parts.append(c)
+        at = after
+    if c := text[at:].strip():
+        parts.append(c)
+    return parts
 
 
 def decide(clauses: list[str], tags: list[int], qnorm: str, qwords: frozenset[str]) -> str | None:
@@ -427,13 +465,7 @@ _PLAIN_WORDS = {"the", "a", "this", "that", "is", "in", "of"}
 
 def said_in(pairs: list[tuple[str | None, str | None]]) -> Counter:
     """In how many clauses each word of refusals stands, and under "" how many words all clauses have."""
-    said: Counter = Counter()
-    for _, a in pairs:
-        for c in clauses_of(a) if a else ():
-            words = set(pieces_of(c.lower()))
-            said[""] += len(words)
-            said.update(w for w in words if w in _TOLD)
-    return said
+    return Sheets(prober(dict.fromkeys(_TOLD, 0.0))).said([c for _, a in pairs if a for c in clauses_of(a)])
 
 
 def odds_of(said: Counter) -> dict[str, float]:
@@ -442,14 +474,9 @@ def odds_of(said: Counter) -> dict[str, float]:
     return {w: math.log((c + 0.5) / n_told) - math.log((said[w] + 0.5) / n_said) for w, c in _TOLD.items()}
 
 
-def refusing_in(pairs: list[tuple[str | None, str | None]], odds: dict[str, float]) -> Iterator[tuple[str, str]]:
+def refusing_in(pairs: list[tuple[str | None, str | None]], odds: dict[str, float]) -> list[tuple[str, str]]:
     """(clause, question) of clauses that read like a refusal and repeat nothing of their question."""
-    for q, a in pairs:
-        for c in clauses_of(a) if a and q else ():
-            low = c.lower()
-            words = pieces_of(low)
-            if len(words) > 3 and aside_of(pieces_of(cut := low.rstrip(".!…。")), odds, cut) > 0 and not set(words) & (set(pieces_of(q.lower())) - _PLAIN_WORDS):
-                yield cut, q
+    return looked_at(pairs, Sheets(prober(odds)))[1]
 
 
 def refusal_words(pairs: list[tuple[str | None, str | None]]) -> tuple[dict[str, float], list[str]]:
@@ -465,24 +492,42 @@ def refusal_words(pairs: list[tuple[str | None, str | None]]) -> tuple[dict[str,
 Sound = tuple[str, list[str], int, list[int], bool]
 
 
-def sound_in(pairs: list[tuple[str | None, str | None]], probe: Reader) -> Iterator[tuple[int, Sound]]:
+def sound_in(pairs: list[tuple[str | None, str | None]], probe: Reader) -> list[tuple[int, Sound]]:
     """The pairs that show no sign of a defect, with their place. probe: a reader that knows the words of refusals."""
-    odds = probe.known.refusing
-    for at, (q, a) in enumerate(pairs):
-        if not q or is_nothing(a):
-            continue
-        parts = clauses_of(a)
-        if not parts:
+    return looked_at(pairs, Sheets(probe))[0]
+
+
+def looked_at(pairs: list[tuple[str | None, str | None]], sheets: Sheets) -> tuple[list[tuple[int, Sound]], list[tuple[str, str]]]:
+    """What sound_in and refusing_in say; sheets: of a reader that knows the words of refusals."""
+    probe, numbers = sheets.reader, {}
+    answers = [clauses_of(a) if q and a else [] for q, a in pairs]
+    places = [[numbers.setdefault(c, len(numbers)) for c in parts] for parts in answers]
+    of = sheets.clauses(list(numbers)) if numbers else {"aside": np.zeros(0), "lang": np.zeros(0), "margin": np.zeros(0)}
+    asides, langs, margins = of["aside"].tolist(), of["lang"].tolist(), of["margin"].tolist()
+    sound, refusing = [], []
+    for at, ((q, a), parts, own) in enumerate(zip(pairs, answers, places)):
+        for c, k in zip(parts, own):
+            if asides[k] > 0:
+                cut = c.lower().rstrip(".!…。")
+                words = pieces_of(cut)
+                if len(words) > 3 and not set(words) & (set(pieces_of(q.lower())) - _PLAIN_WORDS):
+                    refusing.append((cut, q))
+        if not parts or is_nothing(a) or any(asides[k] > SURELY for k in own):
             continue
         expected, qnorm, _, _, _ = probe.question(q)
-        infos = [probe.clause(c) for c in parts]
-        refusing = any(aside_of(pieces_of(c.lower()), odds, c) > SURELY for c in parts)
-        abroad = any(i[1] >= 0 and expected >= 0 and i[1] != expected and i[2] > 1 for i in infos)
-        sentence = bool(len(parts[-1].split()) > 4 or _HAN.search(a))
-        whole = re.search(r"[.!?。！？][\"'”’]*$", a.strip()) if sentence and "[" not in a else probe.ending(parts[-1], infos[-1][3], False) != [_UNBALANCED]
-        if refusing or abroad or not whole or (qnorm and qnorm in plain(a.lower()) and len(plain(a)) < 1.3 * len(qnorm) + 12):
+        if expected >= 0 and any(langs[k] >= 0 and langs[k] != expected and margins[k] > 1 for k in own):
             continue
-        yield at, (q, parts, expected, [i[1] for i in infos], sentence and "[" not in a)
+        last = parts[-1]
+        sentence = bool(len(last.split()) > 4 or not a.isascii() and _HAN.search(a))
+        boxes = "[" in a
+        whole = _WHOLE.search(a.strip()) if sentence and not boxes else not ("[" in last or "{" in last) or probe.ending(last, True, False) != [_UNBALANCED]
+        if not whole or (qnorm and qnorm.split(" ", 1)[0] in (low := a.lower()) and qnorm in plain(low) and len(plain(a)) < 1.3 * len(qnorm) + 12):
+            continue
+        sound.append((at, (q, parts, expected, [langs[k] for k in own], sentence and not boxes)))
+    return sound, refusing
+
+
+_WHOLE = re.compile(r"[.!?。！？][\"'”’]*$")
 
 
 def spoken_in(pair: Sound) -> list[str]:
@@ -494,15 +539,57 @@ def spoken_in(pair: Sound) -> list[str]:
 def counted(sound: list[Sound]) -> Counter:
     """By (kind, language, word), how often words stand in sound pairs: `word` in clauses with their apostrophes, `heard` by
     language in pairs, `every` in pairs at all."""
-    by: dict[tuple[str, int], Counter] = {("word", -1): Counter(), ("every", -1): Counter()}
+    clauses, asked = [c for x in sound for c in x[1]], [x[0].replace("\n", " ") for x in sound]
+    both = "\n".join(clauses) + "\n" + "\n".join(asked) + "\n"
+    if "İ" in both:  # its lower case is two signs, which part a word
+        return counted_one_by_one(sound)
+    tokens = _HYPHENED.findall(both.lower())
+    names = {w: k for k, w in enumerate(dict.fromkeys(["\n", *tokens]))}
+    numbers = np.fromiter(map(names.__getitem__, tokens), np.int64, len(tokens))
+    ends = numbers == 0
+    text = (np.cumsum(ends) - ends)[~ends]
+    numbers, texts = numbers[~ends], len(clauses) + len(asked)
+    many = np.zeros(texts, np.int64)
+    many[: len(clauses)] = np.repeat(np.arange(len(sound)), [len(x[1]) for x in sound])
+    many[len(clauses) :] = np.arange(len(sound))
+    own = text < len(clauses)
+    hyphened = np.bincount(distinct(text[own], numbers[own]), minlength=len(names)).tolist()
+    n: Counter = Counter({("word", -1, w): hyphened[k] for w, k in names.items() if k and hyphened[k]})
+    # the words of tokens, most of which are one
+    words: dict[str, int] = {}
+    pieces = [[words.setdefault(w, len(words)) for w in ([t] if t.isalpha() else _WORD.findall(t))] for t in names]
+    sizes = np.array([len(x) for x in pieces])
+    flat, times = np.array([k for x in pieces for k in x], np.int64), sizes[numbers]
+    word = flat[ranges((np.cumsum(sizes) - sizes)[numbers], times)]
+    pair, own = np.repeat(many[text], times), np.repeat(own, times)
+    expected = np.array([x[2] for x in sound], np.int64)
+    every = np.bincount(distinct(pair[own], word[own]), minlength=len(words)).tolist()
+    n.update({("every", -1, w): every[k] for w, k in words.items() if every[k]})
+    for k in {x[2] for x in sound if x[2] >= 0}:
+        mine = (expected == k)[pair]
+        heard = np.bincount(distinct(pair[mine], word[mine]), minlength=len(words)).tolist()
+        n.update({("heard", k, w): heard[j] for w, j in words.items() if heard[j]})
+    return n
+
+
+_HYPHENED = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\n")
+
+
+def distinct(groups: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The numbers, each once in its group."""
+    return uniques((groups << 32) | numbers) & 0xFFFFFFFF
+
+
+def counted_one_by_one(sound: list[Sound]) -> Counter:
+    n: Counter = Counter()
     for q, parts, expected, _, _ in sound:
         for c in parts:
-            by["word", -1].update({w.lower() for w in re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", c)})
+            n.update({("word", -1, w.lower()) for w in _HYPHENED.findall(c)})
         of_parts = {w for c in parts for w in _WORD.findall(c.lower())}
-        by["every", -1].update(of_parts)
+        n.update(("every", -1, w) for w in of_parts)
         if expected >= 0:
-            by.setdefault(("heard", expected), Counter()).update(of_parts.union(_WORD.findall(q.lower())))
-    return Counter({(*k, w): c for k, n in by.items() for w, c in n.items()})
+            n.update(("heard", expected, w) for w in of_parts.union(_WORD.findall(q.lower())))
+    return n
 
 
 def knowledge(n: Counter, n_sound: int, trigrams: dict[int, Trigrams], odds: dict[str, float]) -> Knowledge:
@@ -533,7 +620,8 @@ def training_set(pairs: list[tuple[str | None, str | None]], seed: int = 3) -> t
     rng.shuffle(sound)
     trigrams = {k: Trigrams.of(rng.sample(t, len(t))) for k, t in spoken.items() if len(t) > 20}
     reader = Reader(knowledge(counted(sound), len(sound), trigrams, odds))
-    return reader, *made(sound, reader, recurring, languages_of(sound), rng)
+    seq = made(sound, reader, recurring, languages_of(sound), rng)
+    return reader, *seq.lists()
 
 
 def languages_of(sound: list[Sound]) -> dict[int, list[list[str]]]:
@@ -545,45 +633,43 @@ def languages_of(sound: list[Sound]) -> dict[int, list[list[str]]]:
     return found
 
 
-def made(sound: list[Sound], reader: Reader, recurring: list[str], by_language: dict[int, list[list[str]]], rng: random.Random, n_sound: int | None = None) -> tuple[list, list]:
+def made(sound: list[Sound], reader: Reader, recurring: list[str], by_language: dict[int, list[list[str]]], rng: random.Random, n_sound: int | None = None, sheets: Sheets | None = None) -> Sequences:
     """Sequences of features and their tags of sound pairs and of defects made in each; n_sound: of the pairs that by_language is of,
     if they are more."""
     n_sound = n_sound or len(sound)
-    odds, xs, ys = reader.known.refusing, [], []
-    unknown = {_LANG_OTHER, _LANG_OTHER_WEAK, _SCRIPT, *_LIKE_OTHER}
-    told = {_lex("r", w) for w in odds} | set(_ASIDE)
+    answers, gold, without = [], [], []
 
-    def add(q: str, parts: list[str], tags: list[int], without: set[int] = frozenset()) -> None:
-        """without: features left out, as of a language or of words that the sample doesn't have."""
+    def add(q: str, parts: list[str], tags: list[int], left_out: int = 0) -> None:
+        """left_out: 1 or 2 for features left out as of words of refusals or of a language that the sample doesn't have."""
         if parts:
-            fs = reader.features(q, parts)
-            if without:
-                fs = [[x for x in f if x not in without] + [_LANG_NONE] * (without is unknown and _LANG_NONE not in f) for f in fs]
-            xs.append(fs)
-            ys.append(tags)
+            answers.append((q, parts))
+            gold.extend(tags)
+            without.append(left_out)
 
     known = [k for k in by_language if k >= 0 and len(by_language[k]) > 4]
     weight = {k: min(12, max(1, n_sound // (6 * len(v)))) for k, v in by_language.items()}  # few rows of a language count more
-    for q, parts, *_ in sound:
+    for q, parts, expected, langs, _ in sound:
         bare = q.replace("<image>", "").strip()
         add(q, parts, [ANSWER] * len(parts))
         if rng.random() < 0.2:  # a null or empty question
             add("", parts, [ANSWER] * len(parts))
-        lang = reader.clause(parts[0])[1]
+        lang = langs[0]
         sentence = len(parts[-1].split()) > 4 or bool(_HAN.search(parts[-1]))
         boxes = "[" in parts[-1]
+        text = "\n".join(parts) if boxes else " ".join(parts)
+        ends = ends_of(text) if sentence or boxes else []
+        undotted = [*parts[:-1], re.sub(r"[.。]$", "", parts[-1])] if sentence and not boxes else parts
         for _ in range(weight.get(lang, 1) if sentence and not boxes else 1):
             if sentence and not boxes:
                 for _ in range(1 + (rng.random() < 0.5)):
-                    add(q, [*parts[:-1], re.sub(r"[.。]$", "", parts[-1])], [ANSWER] * len(parts))
+                    add(q, undotted, [ANSWER] * len(parts))
             if sentence or boxes:
-                text = "\n".join(parts) if boxes else " ".join(parts)
                 for _ in range(3):
                     cut = text[: rng.randint(max(4, len(text) // 5), max(5, len(text) - 3))].rstrip()
                     if boxes and re.search(r"[\]}]$", cut):
                         continue
-                    broken = clauses_of(cut + rng.choice(["", "", "", "", "…", "...", ","]))
-                    if broken and not (re.search(r"[.!?。！？]$", broken[-1]) and not broken[-1].endswith("..")):
+                    broken = parted(cut + rng.choice(["", "", "", "", "…", "...", ","]), [x for x in ends if x[0] <= len(cut)])
+                    if broken and not (broken[-1].endswith(_STOPS) and not broken[-1].endswith("..")):
                         add(q, broken, [ANSWER] * (len(broken) - 1) + [UNFINISHED])
         if bare and rng.random() < 0.35:
             again = clauses_of(rng.choice(_DECORATE)(bare))
@@ -593,14 +679,24 @@ def made(sound: list[Sound], reader: Reader, recurring: list[str], by_language:
                 add(q, first + parts, [ECHO] * len(first) + [ANSWER] * len(parts))
         if rng.random() < 0.4:
             no = clauses_of(rng.choice(recurring) if recurring and rng.random() < 0.15 else made_refusal(rng))
-            known_tongue = all(reader.clause(c)[1] in (-1, reader.question(q)[0]) for c in no)  # else nothing but its words tells it from an answer abroad
-            add(q, no, [REFUSAL] * len(no), told if known_tongue and rng.random() < 0.25 else frozenset())
-        others = [k for k in known if k not in (lang, reader.question(q)[0])]
+            known_tongue = all(reader.clause(c)[1] in (-1, expected) for c in no)  # else nothing but its words tells it from an answer abroad
+            add(q, no, [REFUSAL] * len(no), 1 if known_tongue and rng.random() < 0.25 else 0)
+        others = [k for k in known if k not in (lang, expected)]
         if others and rng.random() < 0.35:
             there = rng.choice(by_language[rng.choice(others)])
             there = [*there[:-1], re.sub(r"[.。]$", "", there[-1])] if rng.random() < 0.2 else there
-            add(q, there, [FOREIGN] * len(there), unknown if rng.random() < 0.4 else frozenset())
-    return xs, ys
+            add(q, there, [FOREIGN] * len(there), 2 if rng.random() < 0.4 else 0)
+    items, features, sizes = (sheets or Sheets(reader)).read(answers)
+    drop = np.zeros((3, HASHED), bool)
+    drop[1, [*(_lex("r", w) for w in reader.known.refusing), *_ASIDE]] = True
+    drop[2, [_LANG_OTHER, _LANG_OTHER_WEAK, _SCRIPT, *_LIKE_OTHER]] = True
+    left_out = np.repeat(np.array(without, np.int64), sizes)
+    keep = ~drop[left_out[items], features]
+    items, features = items[keep], features[keep]
+    bare_of = left_out == 2
+    bare_of[items[features == _LANG_NONE]] = False
+    more = np.flatnonzero(bare_of)
+    return Sequences.of(np.concatenate([items, more]), np.concatenate([features, np.full(len(more), _LANG_NONE)]), sizes, np.array(gold, np.int64))
 
 
 def fit(pairs: list[tuple[str | None, str | None]]) -> tuple[Crf, Knowledge]:
@@ -614,77 +710,71 @@ def fit(pairs: list[tuple[str | None, str | None]]) -> tuple[Crf, Knowledge]:
 def fit_part(sound: list[Sound], known: Knowledge, recurring: list[str], seed: int = 3) -> Crf:
     """The field of a task's sound pairs, all of which are gone through in chunks; several times if they are few."""
     rng, model, reader = random.Random(seed), Crf(HASHED, 5), Reader(known)
+    sheets = Sheets(reader)
     rng.shuffle(sound)
     by_language = languages_of(sound)
     epochs = max(1, min(EPOCHS, VISITS // max(1, len(sound))))
     size = CHUNK if epochs == 1 else len(sound)
     for at in range(0, len(sound), size):
-        xs, ys = made(sound[at : at + size], reader, recurring, by_language, rng, len(sound))
-        model.fit(xs, ys, epochs=epochs)
+        model.fit_on(made(sound[at : at + size], reader, recurring, by_language, rng, len(sound), sheets), epochs=epochs)
     return model
 
 
 def pairs_of(f: pd.DataFrame) -> list[tuple[str | None, str | None]]:
-    return list(zip(f["question"], f["answer"]))
+    return list(zip(f["question"].tolist(), f["answer"].tolist()))
 
 
 def sound_rows(f: pd.DataFrame) -> list[Sound]:
-    return [(q, list(p), e, list(k), t) for q, p, e, k, t in zip(f["question"], f["parts"], f["expected"], f["langs"], f["told"])]
+    return [(q, p.split("\n"), e, [int(x) - 1 for x in k], t) for q, p, e, k, t in zip(f["question"].tolist(), f["parts"].tolist(), f["expected"].tolist(), f["langs"].tolist(), f["told"].tolist())]
 
 
 def sound_table(spark: SparkSession, pairs: DataFrame, odds: dict[str, float]) -> DataFrame:
-    """The sound pairs as a table, and those of kinds that the data may lack, a hundredth as many each; beside them the clauses that
-    read like a refusal (kind `refusing`, the clause in parts)."""
+    """The sound pairs as a table, and those of kinds that the data may lack, a hundredth as many each (clauses are parted by line
+    ends, a digit stands for the language of each); beside them the clauses that read like a refusal (kind `refusing`, the clause in
+    parts), and by kind, language (in expected) and word, how often words and triples stand in the sound pairs of a task."""
+    columns = ["kind", "row_key", "turn", "question", "parts", "expected", "langs", "told", "half", "word", "n"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        probe = prober(odds)
+        sheets, total = Sheets(prober(odds)), Counter()
         for f in frames:
-            given = pairs_of(f)
-            rows = [("sound", f["row_key"].iat[at], f["turn"].iat[at], *x) for at, x in sound_in(given, probe)]
-            rows += [("refusing", 0, 0, q, [c], -1, [], False) for c, q in refusing_in(given, odds)]
-            yield pd.DataFrame(rows, columns=["kind", "row_key", "turn", "question", "parts", "expected", "langs", "told"])
+            sound, refusing = looked_at(pairs_of(f), sheets)
+            keys, turn = f["row_key"].tolist(), f["turn"].tolist()
+            rows = [("sound", keys[at], turn[at], q, "\n".join(parts), e, "".join([str(k + 1) for k in langs]), told, _half(x), "", 0) for at, x in sound for q, parts, e, langs, told in (x,)]
+            rows += [("refusing", 0, 0, q, c, -1, "", False, 0, "", 0) for c, q in refusing]
+            yield pd.DataFrame(rows, columns=columns)
+            total.update(tally([x for _, x in sound]))
+        yield pd.DataFrame([(kind, 0, 0, "", "", lang, "", False, 0, w, n) for (kind, lang, w), n in total.items()], columns=columns)
 
     few = spark.createDataFrame([(k, q, a) for k, (q, a) in enumerate(_SOUND)], "turn int, question string, answer string")
     lent = spark.range(max(2, pairs.count() // 100)).select((-1 - F.col("id")).alias("row_key")).crossJoin(F.broadcast(few))
     every = spread(pairs.unionByName(lent))
-    return written(every.mapInPandas(run, "kind string, row_key long, turn int, question string, parts array<string>, expected int, langs array<int>, told boolean"), "sound")
+    return written(every.mapInPandas(run, "kind string, row_key long, turn int, question string, parts string, expected int, langs string, told boolean, half int, word string, n long"), "sound")
 
 
 def _half(x: Sound) -> int:
     return zlib.crc32(f"{x[0]} {x[1][0]}".encode()) & 1
 
 
-def tallied(df: DataFrame, tally, value: str = "long") -> DataFrame:
-    """(kind, lang, word, n): the sums over all rows of what tally, a function from a pandas frame to a Counter by the first three, says."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
-        for f in frames:
-            total.update(tally(f))
-        rows = [(*k, n) for k, n in total.items()]
-        yield pd.DataFrame(rows, columns=["kind", "lang", "word", "n"])
-
-    return df.mapInPandas(run, f"kind string, lang int, word string, n {value}").groupBy("kind", "lang", "word").agg(F.sum("n").alias("n"))
+def tally(sound: list[Sound]) -> Counter:
+    """By (kind, language, word), what is counted of sound pairs: what counted() says, texts, and the triples of either half."""
+    n, texts = counted(sound), {}
+    for x in sound:
+        if spoken := spoken_in(x):
+            n["texts", x[2], ""] += len(spoken)
+            texts.setdefault((f"half{_half(x)}", x[2]), []).extend(spoken)
+    return n + Counter({(*k, g): c for k, t in texts.items() for g, c in triples_in(t).items()})
 
 
-def learned(sound: DataFrame, odds: dict[str, float]) -> Knowledge:
+def learned(table: DataFrame, odds: dict[str, float]) -> Knowledge:
     """What is known by the counts over all sound pairs. How a language usually reads is told by the half of its texts that the
     counts for it leave out."""
-
-    def tally(f: pd.DataFrame) -> Counter:
-        rows = sound_rows(f)
-        n, texts = counted(rows), {}
-        for x in rows:
-            if spoken := spoken_in(x):
-                n["texts", x[2], ""] += len(spoken)
-                texts.setdefault((f"half{_half(x)}", x[2]), []).extend(spoken)
-        return n + Counter({(*k, g): c for k, t in texts.items() for g, c in triples_of(t).items()})
-
+    sound = table.where("kind = 'sound'")
     n_sound = sound.count()
     # of words, those that knowledge() takes
     kept = F.when(F.col("kind") == "every", F.col("n") > n_sound / 40).when(F.col("kind").isin("word", "heard"), (F.col("n") > 1) | F.lit(n_sound < 200)).otherwise(True)
+    sums = table.where("kind not in ('sound', 'refusing')").groupBy("kind", F.col("expected").alias("lang"), "word").agg(F.sum("n").alias("n"))
     words, halves, texts = Counter(), {}, Counter()
-    for kind, lang, word, n in tallied(sound, tally).where(kept).collect():
+    for kind, lang, word, n in sums.where(kept).collect():
         if kind.startswith("half"):
             halves.setdefault(lang, (Counter(), Counter()))[int(kind[4])][word] = n
         elif kind == "texts":
@@ -693,23 +783,22 @@ def learned(sound: DataFrame, odds: dict[str, float]) -> Knowledge:
             words[kind, lang, word] = n
     firsts = {k: Trigrams(a or b) for k, (a, b) in halves.items() if texts[k] > 20}
 
-    def usual(f: pd.DataFrame) -> Counter:
-        n: Counter = Counter()
-        for x in sound_rows(f):
-            if x[2] in firsts and _half(x):
-                for m in map(firsts[x[2]].mean, spoken_in(x)):
-                    if m is not None:
-                        n["n", x[2], ""] += 1.0
-                        n["sum", x[2], ""] += m
-                        n["square", x[2], ""] += m * m
-        return n
-
-    sums = {(k, lang): n for k, lang, _, n in tallied(sound, usual, "double").collect()}
+    def usual(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = {k: usual_of(t) for k, t in firsts.items()}
+        for f in frames:
+            texts: dict[int, list[str]] = {}
+            for x in sound_rows(f):
+                if x[2] in firsts:
+                    texts.setdefault(x[2], []).extend(spoken_in(x))
+            yield pd.DataFrame([(k, *tables[k](t)) for k, t in texts.items()], columns=["lang", "n", "sum", "square"])
+
+    read = sound.where("half = 1 and expected >= 0").select("question", "parts", "expected", "langs", "told").mapInPandas(usual, "lang int, n double, sum double, square double")
+    usuals = {r["lang"]: r for r in read.groupBy("lang").agg(*(F.sum(c).alias(c) for c in ("n", "sum", "square"))).collect()}
     trigrams = {}
     for k in sorted(firsts):
-        n = sums.get(("n", k), 0.0)
-        mean = sums["sum", k] / n if n else -2.0
-        trigrams[k] = Trigrams(halves[k][0] + halves[k][1], mean, math.sqrt(max(0.0, sums["square", k] / n - mean * mean)) if n else 0.0)
+        n = usuals[k]["n"] if k in usuals else 0.0
+        mean = usuals[k]["sum"] / n if n else -2.0
+        trigrams[k] = Trigrams(halves[k][0] + halves[k][1], mean, math.sqrt(max(0.0, usuals[k]["square"] / n - mean * mean)) if n else 0.0)
     return knowledge(words, n_sound, trigrams, odds)
 
 
@@ -719,12 +808,19 @@ def fit_all(samples: DataFrame) -> tuple[Crf, Knowledge]:
     spark = samples.sparkSession
     ship_code(spark)
     pairs = spread(record_pairs(samples))
-    odds = odds_of(Counter({w: n for _, _, w, n in tallied(pairs, lambda f: Counter({("said", -1, w): n for w, n in said_in(pairs_of(f)).items()})).collect()}))
+
+    def said(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter = Counter()
+        for f in frames:
+            n.update(said_in(pairs_of(f)))
+        yield pd.DataFrame(list(n.items()), columns=["word", "n"])
+
+    odds = odds_of(Counter({w: n for w, n in pairs.mapInPandas(said, "word string, n long").groupBy("word").agg(F.sum("n")).collect()}))
     table = sound_table(spark, pairs, odds)
-    refusing = table.where("kind = 'refusing'").groupBy(F.get("parts", F.lit(0)).alias("c")).agg(F.min("question").alias("a"), F.max("question").alias("b")).where("a <> b")
+    refusing = table.where("kind = 'refusing'").groupBy(F.col("parts").alias("c")).agg(F.min("question").alias("a"), F.max("question").alias("b")).where("a <> b")
     recurring = sorted(r["c"] for r in refusing.select("c").collect())
     sound = table.where("kind = 'sound'")
-    known = learned(sound, odds)
+    known = learned(table, odds)
     shared = spark.sparkContext.broadcast((known, recurring))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -735,7 +831,7 @@ def fit_all(samples: DataFrame) -> tuple[Crf, Knowledge]:
             at = np.flatnonzero(w)
             yield pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at], float(len(rows)))})
 
-    dealt = sound.repartition(max(1, -(-sound.count() // PART)), "row_key", "turn").sortWithinPartitions("row_key", "turn", "question")
+    dealt = sound.drop("kind", "half", "word", "n").repartition(max(1, -(-sound.count() // PART)), "row_key", "turn").sortWithinPartitions("row_key", "turn", "question")
     sums = dealt.mapInPandas(run, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toPandas()
     model, total = Crf(HASHED, 5), np.zeros(HASHED * 5 + 25)
     ends = sums["at"].to_numpy() >= 0
@@ -789,27 +885,24 @@ def defects(samples: DataFrame, predictions: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, known = fitted.value
         reader = Reader(known)
+        sheets = Sheets(reader)
         for f in frames:
             found: list[str | None] = [None] * len(f)
-            at, parts, flat = [], [], []
-            for k, (q, a) in enumerate(zip(f["question"], f["answer"])):
+            at, read = [], []
+            for k, (q, a) in enumerate(pairs_of(f)):
                 if is_nothing(a) or not (clauses := clauses_of(a)):
                     found[k] = "empty"
                     continue
                 at.append(k)
-                parts.append(clauses)
-                flat += reader.features(q, clauses)
+                read.append((q, clauses))
             if at:
-                items = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
-                features = np.fromiter((x for fs in flat for x in fs), np.int64)
-                sizes = np.array([len(c) for c in parts])
-                tags = model.decode(model.emissions(items, features, len(flat)), sizes)
-                start = 0
-                for k, clauses in zip(at, parts):
-                    own = tags[start : start + len(clauses)]
-                    start += len(clauses)
-                    if own.any():
-                        found[k] = decide(clauses, own.tolist(), *reader.question(f["question"].iat[k])[1:3])
+                items, features, sizes = sheets.read(read)
+                tags = model.decode(model.emissions(items, features, sizes.sum()), sizes)
+                ends = np.cumsum(sizes)
+                some = np.add.reduceat(tags, ends - sizes) > 0
+                for k in np.flatnonzero(some).tolist():
+                    q, clauses = read[k]
+                    found[at[k]] = decide(clauses, tags[ends[k] - sizes[k] : ends[k]].tolist(), *reader.question(q)[1:3])
             keep = [k for k, d in enumerate(found) if d]
             yield pd.DataFrame({c: f[c].to_numpy(dtype=object)[keep] for c in ("field_name", "row_key", "turn")} | {"defect": np.array([found[k] for k in keep], dtype=object)})
 

@@ -147,3 +147,29 @@ def test_fitted_on_all_records(spark, monkeypatch):
     assert known.words == expected.words and known.common == expected.common and known.refusing == odds
     assert known.trigrams[0].three == B.Trigrams(B.triples_of(t for x in sound for t in B.spoken_in(x))).three
     assert recurring and np.isfinite(model.w).all() and model.w.any() and model.t.any()
+
+
+def test_many_answers_at_once(monkeypatch):
+    """Sheets find the features that the reader finds clause by clause, and defects are made without a call for each clause."""
+    pairs = [(t[0][1], t[1][1]) for _, t, _ in sound()]
+    odd = ["İstanbul'da balık var mı acaba", "赤い魚は他の動物と一緒に泳いでいます。抱歉，我无法回答这个问题。", "السمكة الحمراء تسبح بالقرب", "ΤΟ ΨΑΡΙ ΕΙΝΑΙ ΚΟΚΚΙΝΟΣ.", "빨간 물고기는 다른", "Извините, я не могу ответить на этот вопрос.", "I’m sorry, but I cannot help. You may try again", "²³ x_y 12", "1", '{"bbox_2d": [1, 2,', "Who? Me!\n\nYes (or no)", "What does the eel do near the pier?", "The crab, the Ray Q. Goby…", "Das Ist im Haus der"]
+    odds, recurring = B.refusal_words(pairs)
+    found = [x for _, x in B.sound_in(pairs, B.prober(odds))]
+    known = B.knowledge(B.counted(found), len(found), {k: B.Trigrams.of([t for x in found if x[2] == k for t in B.spoken_in(x)]) for k in {x[2] for x in found} if k >= 0}, odds)
+    assert B.counted(found) == B.counted_one_by_one(found)
+    questions = [None, "", pairs[0][0], pairs[5][0], "Was ist das? Answer in German.", "Что это?", "这是什么？"]
+    answers = [(q, B.clauses_of(a)) for q in questions for a in [*odd, *(a for _, a in pairs[:12])]]
+    reader = B.Reader(known)
+    expected = [sorted(f) for q, cs in answers for f in reader.features(q, cs)]
+    items, features, sizes = B.Sheets(B.Reader(known)).read(answers)
+    got = [[] for _ in expected]
+    for i, f in zip(items.tolist(), features.tolist()):
+        got[i].append(f)
+    assert sizes.tolist() == [len(cs) for _, cs in answers] and [sorted(f) for f in got] == expected
+
+    calls = []
+    for name in ("features", "clause"):
+        monkeypatch.setattr(B.Reader, name, lambda self, *a, name=name, real=getattr(B.Reader, name): calls.append(name) or real(self, *a))
+    rng = B.random.Random(1)
+    B.made(found, B.Reader(known), recurring, B.languages_of(found), rng)
+    assert "features" not in calls and len(calls) < len(found)
