@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benthos.llm.clause_sheets import Sheets, triples_in, uniques, usual_of
+from benthos.llm.clause_sheets import Sheets, triples_in, uniques, usual_of, words_of
 from benthos.llm.crf import Crf, Sequences, ranges
 from benthos.operators.packed_values import turns
 from benthos.session import ship_code, spread, written
@@ -67,6 +67,8 @@ _QUOTES = re.compile(r'["“«\[{]')
 _CYRILLIC, _HAN = re.compile(r"[а-яё]", re.I), re.compile(r"[一-鿿]")
 _NORM = re.compile(r"[\W_]+")
 _DIGITS = re.compile(r"\d+")
+_ASCII_NORM = {k: " " for k in range(128) if not chr(k).isalnum()}
+_ASCII_LETTERS = {k: " " for k in range(128) if not chr(k).isalpha()}
 # feature numbers below the hashed ones
 _BIAS, _FIRST, _LAST, _ONLY = range(4)
 _SHORT, _NO_WORDS, _LANG_SAME, _LANG_OTHER, _LANG_OTHER_WEAK, _LANG_NONE, _SCRIPT = range(18, 25)
@@ -78,6 +80,8 @@ _ASIDE = (52, 53, 54)
 FIXED = 64
 #: Mean log odds of a clause's words to be a refusal's from which a sample's answer is not taken for sound.
 SURELY = 1.2
+#: Signs at the end of a text that its end is mostly told by.
+TAIL = 64
 #: Letters of a clause from which its trigrams tell.
 LETTERS = 10
 
@@ -89,7 +93,7 @@ def language(text: str, words: list[str] | None = None) -> tuple[int, int]:
         if han > 1 or cyrillic > 3:
             return (_BIT["zh"], han) if han * 3 >= cyrillic else (_BIT["ru"], cyrillic // 4 + 1)
     votes = [0] * 4
-    for w in _WORD.findall(text) if words is None else words:
+    for w in words_in(text) if words is None else words:
         if w in _VOTES:
             for k in _VOTES[w]:
                 votes[k] += 1
@@ -100,7 +104,11 @@ def language(text: str, words: list[str] | None = None) -> tuple[int, int]:
 
 
 def plain(text: str) -> str:
-    return _NORM.sub(" ", text).strip()
+    return " ".join(text.translate(_ASCII_NORM).split()) if text.isascii() else _NORM.sub(" ", text).strip()
+
+
+def words_in(text: str) -> list[str]:
+    return text.translate(_ASCII_LETTERS).split() if text.isascii() else _WORD.findall(text)
 
 
 _SCRIPTS = {name: regex.compile(pattern) for name, pattern in (("latin", r"\p{Latin}"), ("cyrillic", r"\p{Cyrillic}"), ("kana", r"[\p{Hiragana}\p{Katakana}]"), ("han", r"\p{Han}"), ("hangul", r"\p{Hangul}"), ("arabic", r"\p{Arabic}"), ("greek", r"\p{Greek}"), ("other", r"\p{L}"))}
@@ -315,12 +323,23 @@ class Reader:
         if end.endswith((",", ";", ":", "-", "–", "—", "，", "、", "；", "：", "(", "/")):
             return [*f, _END_OPEN]
         f.append(_END_NONE)
-        tokens = _TOKENS.findall(text)
+        wide = not text.isascii()
+        if wide and _HAN.search(text):
+            return [*f, _lex("z", text[-1]), _lex("y", text[-2:]), _lex("x", text[-3:])]
+        # the last words tell, unless there are too few or too many names among them
+        tokens = _TOKENS if wide else _ASCII_TOKENS
+        k = text.find(" ", len(text) - TAIL) if len(text) > TAIL else -1
+        if k > 0 and (told := self._last_words(tokens.findall(text, k), True)) is not None:
+            return f + told
+        return f + self._last_words(tokens.findall(text), False)
+
+    def _last_words(self, tokens: list[str], more: bool) -> list[int] | None:
+        """What the last words tell; more: some stand before these, and None if those are needed."""
+        if more and len(tokens) < 6:
+            return None
+        f: list[int] = []
         if not tokens:
             return f
-        if not text.isascii() and _HAN.search(text):
-            f += [_lex("z", text[-1]), _lex("y", text[-2:]), _lex("x", text[-3:])]
-            return f
         last, n = tokens[-1], len(tokens)
         if last[0].isdigit():
             f.append(_END_NUMBER)
@@ -340,6 +359,8 @@ class Reader:
                 else:
                     before.append(shape)
                 above, k = shape, k - 1
+            if more and k < 0:
+                return None
             before.reverse()
             low, crc = last.lower(), zlib.crc32
             two, three, four = ("\t".join(before[k:]) for k in (-2, -3, -4))
@@ -350,6 +371,7 @@ class Reader:
 
 
 _TOKENS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*|[一-鿿]")
+_ASCII_TOKENS = re.compile(r"[A-Za-z]+(?:['-][A-Za-z]+)*|[0-9]+(?:[.,][0-9]+)*")
 _STOPS = (".", "!", "?", "。", "！", "？")
 
 
@@ -367,6 +389,15 @@ def echo(text: str, qnorm: str) -> int:
 _ECHO_LEAD = re.compile(r"^(?:q|question|query|prompt|user|human)\s+")
 
 
+def tongue(clause: str) -> int:
+    """The language of a clause, as Reader.clause says."""
+    if "[" in clause or "{" in clause:
+        return -1
+    words = words_in(low := clause.lower())
+    lang = language(low, words)[0]
+    return -1 if len(words) < 3 and lang < 4 else lang
+
+
 def _lex(*parts) -> int:
     return FIXED + zlib.crc32("\t".join(map(str, parts)).encode()) % (HASHED - FIXED)
 
@@ -435,6 +466,8 @@ _ABROAD = [
 
 def pieces_of(low: str) -> list[str]:
     """Words of a text in lower case, and pairs of Han characters."""
+    if low.isascii():
+        return words_in(low)
     words = _WORD.findall(low.replace("’", "'"))
     return [w for w in words if not _HAN.search(w)] + [w[i : i + 2] for w in words if _HAN.search(w) for i in range(len(w) - 1)] if _HAN.search(low) else words
 
@@ -540,15 +573,13 @@ def counted(sound: list[Sound]) -> Counter:
     """By (kind, language, word), how often words stand in sound pairs: `word` in clauses with their apostrophes, `heard` by
     language in pairs, `every` in pairs at all."""
     clauses, asked = [c for x in sound for c in x[1]], [x[0].replace("\n", " ") for x in sound]
-    both = "\n".join(clauses) + "\n" + "\n".join(asked) + "\n"
-    if "İ" in both:  # its lower case is two signs, which part a word
+    lines = "\n".join([*clauses, *asked])
+    if "İ" in lines:  # its lower case is two signs, which part a word
         return counted_one_by_one(sound)
-    tokens = _HYPHENED.findall(both.lower())
+    tokens, sizes = words_of(lines.lower().split("\n"), _LINKS) if sound else ([], np.zeros(0, np.int64))
     names = {w: k for k, w in enumerate(dict.fromkeys(["\n", *tokens]))}
     numbers = np.fromiter(map(names.__getitem__, tokens), np.int64, len(tokens))
-    ends = numbers == 0
-    text = (np.cumsum(ends) - ends)[~ends]
-    numbers, texts = numbers[~ends], len(clauses) + len(asked)
+    text, texts = np.repeat(np.arange(len(sizes)), sizes), len(clauses) + len(asked)
     many = np.zeros(texts, np.int64)
     many[: len(clauses)] = np.repeat(np.arange(len(sound)), [len(x[1]) for x in sound])
     many[len(clauses) :] = np.arange(len(sound))
@@ -572,7 +603,8 @@ def counted(sound: list[Sound]) -> Counter:
     return n
 
 
-_HYPHENED = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\n")
+_HYPHENED = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_LINKS = tuple(map(ord, "'’-"))
 
 
 def distinct(groups: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -679,7 +711,7 @@ def made(sound: list[Sound], reader: Reader, recurring: list[str], by_language:
                 add(q, first + parts, [ECHO] * len(first) + [ANSWER] * len(parts))
         if rng.random() < 0.4:
             no = clauses_of(rng.choice(recurring) if recurring and rng.random() < 0.15 else made_refusal(rng))
-            known_tongue = all(reader.clause(c)[1] in (-1, expected) for c in no)  # else nothing but its words tells it from an answer abroad
+            known_tongue = all(tongue(c) in (-1, expected) for c in no)  # else nothing but its words tells it from an answer abroad
             add(q, no, [REFUSAL] * len(no), 1 if known_tongue and rng.random() < 0.25 else 0)
         others = [k for k in known if k not in (lang, expected)]
         if others and rng.random() < 0.35:
@@ -709,8 +741,8 @@ def fit(pairs: list[tuple[str | None, str | None]]) -> tuple[Crf, Knowledge]:
 
 def fit_part(sound: list[Sound], known: Knowledge, recurring: list[str], seed: int = 3) -> Crf:
     """The field of a task's sound pairs, all of which are gone through in chunks; several times if they are few."""
-    rng, model, reader = random.Random(seed), Crf(HASHED, 5), Reader(known)
-    sheets = Sheets(reader)
+    rng, model, sheets = random.Random(seed), Crf(HASHED, 5), Sheets.of(known, Reader)
+    reader = sheets.reader
     rng.shuffle(sound)
     by_language = languages_of(sound)
     epochs = max(1, min(EPOCHS, VISITS // max(1, len(sound))))
@@ -738,11 +770,27 @@ def sound_table(spark: SparkSession, pairs: DataFrame, odds: dict[str, float]) -
         sheets, total = Sheets(prober(odds)), Counter()
         for f in frames:
             sound, refusing = looked_at(pairs_of(f), sheets)
+            read = [x for _, x in sound]
             keys, turn = f["row_key"].tolist(), f["turn"].tolist()
-            rows = [("sound", keys[at], turn[at], q, "\n".join(parts), e, "".join([str(k + 1) for k in langs]), told, _half(x), "", 0) for at, x in sound for q, parts, e, langs, told in (x,)]
-            rows += [("refusing", 0, 0, q, c, -1, "", False, 0, "", 0) for c, q in refusing]
-            yield pd.DataFrame(rows, columns=columns)
-            total.update(tally([x for _, x in sound]))
+            yield pd.DataFrame(
+                {
+                    "kind": "sound",
+                    "row_key": [keys[at] for at, _ in sound],
+                    "turn": [turn[at] for at, _ in sound],
+                    "question": [x[0] for x in read],
+                    "parts": ["\n".join(x[1]) for x in read],
+                    "expected": [x[2] for x in read],
+                    "langs": ["".join([str(k + 1) for k in x[3]]) for x in read],
+                    "told": [x[4] for x in read],
+                    "half": [_half(x) for x in read],
+                    "word": "",
+                    "n": 0,
+                },
+                columns=columns,
+            )
+            if refusing:
+                yield pd.DataFrame([("refusing", 0, 0, q, c, -1, "", False, 0, "", 0) for c, q in refusing], columns=columns)
+            total.update(tally(read))
         yield pd.DataFrame([(kind, 0, 0, "", "", lang, "", False, 0, w, n) for (kind, lang, w), n in total.items()], columns=columns)
 
     few = spark.createDataFrame([(k, q, a) for k, (q, a) in enumerate(_SOUND)], "turn int, question string, answer string")
@@ -765,11 +813,10 @@ def tally(sound: list[Sound]) -> Counter:
     return n + Counter({(*k, g): c for k, t in texts.items() for g, c in triples_in(t).items()})
 
 
-def learned(table: DataFrame, odds: dict[str, float]) -> Knowledge:
+def learned(table: DataFrame, n_sound: int, odds: dict[str, float]) -> Knowledge:
     """What is known by the counts over all sound pairs. How a language usually reads is told by the half of its texts that the
     counts for it leave out."""
     sound = table.where("kind = 'sound'")
-    n_sound = sound.count()
     # of words, those that knowledge() takes
     kept = F.when(F.col("kind") == "every", F.col("n") > n_sound / 40).when(F.col("kind").isin("word", "heard"), (F.col("n") > 1) | F.lit(n_sound < 200)).otherwise(True)
     sums = table.where("kind not in ('sound', 'refusing')").groupBy("kind", F.col("expected").alias("lang"), "word").agg(F.sum("n").alias("n"))
@@ -812,15 +859,16 @@ def fit_all(samples: DataFrame) -> tuple[Crf, Knowledge]:
     def said(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
         for f in frames:
-            n.update(said_in(pairs_of(f)))
+            n.update(said_in([(None, a) for a in f["answer"].tolist()]))
         yield pd.DataFrame(list(n.items()), columns=["word", "n"])
 
-    odds = odds_of(Counter({w: n for w, n in pairs.mapInPandas(said, "word string, n long").groupBy("word").agg(F.sum("n")).collect()}))
+    odds = odds_of(Counter({w: n for w, n in pairs.select("answer").mapInPandas(said, "word string, n long").groupBy("word").agg(F.sum("n")).collect()}))
     table = sound_table(spark, pairs, odds)
     refusing = table.where("kind = 'refusing'").groupBy(F.col("parts").alias("c")).agg(F.min("question").alias("a"), F.max("question").alias("b")).where("a <> b")
     recurring = sorted(r["c"] for r in refusing.select("c").collect())
     sound = table.where("kind = 'sound'")
-    known = learned(table, odds)
+    n_sound = sound.count()
+    known = learned(table, n_sound, odds)
     shared = spark.sparkContext.broadcast((known, recurring))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -831,7 +879,7 @@ def fit_all(samples: DataFrame) -> tuple[Crf, Knowledge]:
             at = np.flatnonzero(w)
             yield pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at], float(len(rows)))})
 
-    dealt = sound.drop("kind", "half", "word", "n").repartition(max(1, -(-sound.count() // PART)), "row_key", "turn").sortWithinPartitions("row_key", "turn", "question")
+    dealt = sound.drop("kind", "half", "word", "n").repartition(max(1, -(-n_sound // PART)), "row_key", "turn").sortWithinPartitions("row_key", "turn", "question")
     sums = dealt.mapInPandas(run, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toPandas()
     model, total = Crf(HASHED, 5), np.zeros(HASHED * 5 + 25)
     ends = sums["at"].to_numpy() >= 0
@@ -884,8 +932,8 @@ def defects(samples: DataFrame, predictions: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, known = fitted.value
-        reader = Reader(known)
-        sheets = Sheets(reader)
+        sheets = Sheets.of(known, Reader)
+        reader = sheets.reader
         for f in frames:
             found: list[str | None] = [None] * len(f)
             at, read = [], []

@@ -11,16 +11,18 @@ import regex
 
 from benthos.llm.crf import ranges
 
-_PIECES = re.compile(r"[^\W\d_]+|\n")
+_WORD_SIGN = re.compile(r"[^\W\d_]")
 _SCRIPT_NAMES = ("latin", "cyrillic", "kana", "han", "hangul", "arabic", "greek", "other")
 _SCRIPT_OF = [regex.compile(x) for x in (r"\p{Latin}", r"\p{Cyrillic}", r"[\p{Hiragana}\p{Katakana}]", r"\p{Han}", r"\p{Hangul}", r"\p{Arabic}", r"\p{Greek}")]
 _LETTER, _NO_WORD, _NUMERAL = regex.compile(r"\p{L}"), re.compile(r"[\W_]"), re.compile(r"\d")
 _VOTED = (re.compile(r"[一-鿿]"), re.compile(r"[а-яё]", re.I))
 #: By code point: 255 if not looked at yet, else the script (7: none of them); whether it is a letter, Han or Cyrillic as languages
-#: are told by, and what it is in a text of letters alone: -1 left out, 32 white space.
+#: are told by or stands in words, and what it is in a text of letters alone: -1 left out, 32 white space.
 _SCRIPT = np.full(0x110000, 255, np.uint8)
 _FLAGS = np.zeros(0x110000, np.uint8)
 _BARE = np.zeros(0x110000, np.int32)
+#: Answers looked at together: their arrays fit a core's cache.
+AT_ONCE = 4000
 #: Bits of a packed sum; six languages and one more fit, as clauses of more words are summed one by one.
 BITS = 9
 #: Signs of a language up to which its trigrams are looked up in a table.
@@ -32,12 +34,28 @@ def codes_of(text: str) -> np.ndarray:
     new = codes[_SCRIPT[codes] == 255]
     for code in np.unique(new).tolist():
         c = chr(code)
-        _FLAGS[code] = bool(_LETTER.match(c)) + 2 * bool(_VOTED[0].match(c)) + 4 * bool(_VOTED[1].match(c))
+        _FLAGS[code] = bool(_LETTER.match(c)) + 2 * bool(_VOTED[0].match(c)) + 4 * bool(_VOTED[1].match(c)) + 8 * bool(_WORD_SIGN.match(c))
         _BARE[code] = -1 if _NUMERAL.match(c) else 32 if _NO_WORD.match(c) else code
         _SCRIPT[code] = next((k for k, p in enumerate(_SCRIPT_OF) if p.match(c)), 7)
     return codes
 
 
+def words_of(texts: list[str], joined_by: tuple[int, ...] = ()) -> tuple[list[str], np.ndarray]:
+    """(words, number by text): all runs of letters in texts of one line; joined_by: code points that part no word between letters."""
+    codes = codes_of("\n".join(texts) + "\n")
+    letter = _FLAGS[codes] & 8 > 0
+    if joined_by:
+        link = np.isin(codes, joined_by)
+        link[1:-1] &= letter[:-2] & letter[2:]
+        link[0] = False
+        letter |= link
+    starts = letter.copy()
+    starts[1:] &= ~letter[:-1]
+    lines = np.flatnonzero(codes == 10) + 1
+    lines[1:], lines[0] = lines[:-1].copy(), 0
+    return np.where(letter, codes, np.uint32(32)).tobytes().decode("utf-32-le", "surrogatepass").split(), np.add.reduceat(starts, lines, dtype=np.int64)
+
+
 def uniques(keys: np.ndarray) -> np.ndarray:
     keys = np.sort(keys)
     return keys[np.diff(keys, prepend=keys[:1] - 1) > 0]
@@ -119,9 +137,16 @@ class TrigramTable:
         return np.where(sizes < LETTERS_LEAST, np.nan, np.add.reduceat(v, first) / (sizes - 2)) if len(sizes) else np.zeros(0)
 
 
+def table_of(model) -> TrigramTable:
+    """Its table, made once in a process."""
+    if (found := model.__dict__.get("table")) is None:
+        found = model.table = TrigramTable(model)
+    return found
+
+
 def usual_of(model):
     """A function that says how many of some texts are long enough, and the sum of their means and of the squares of these."""
-    table = TrigramTable(model)
+    table = table_of(model)
 
     def sums(texts: list[str]) -> tuple[float, float, float]:
         if not texts:
@@ -136,6 +161,21 @@ def usual_of(model):
 LETTERS_LEAST = 13
 
 
+_LAST: list[Sheets] = []
+
+
+class _Words(dict):
+    """Numbers of words, new ones added."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class Sheets:
     """Features by a reader. What is known of a word is kept for when it comes again."""
 
@@ -143,12 +183,20 @@ class Sheets:
         from benthos.llm import broken_pairs as B
 
         self.B, self.reader, self.known = B, reader, reader.known
-        self.tables = {k: TrigramTable(t) for k, t in self.known.trigrams.items()}
+        self.tables = {k: table_of(t) for k, t in self.known.trigrams.items()}
         self.heard = sorted(k for k, x in self.known.words.items() if x)
         self._new()
 
+    @classmethod
+    def of(cls, known, reader_of) -> Sheets:
+        """Those of what is known; the last are kept for the next task of this process."""
+        if not _LAST or _LAST[0].known is not known:
+            _LAST[:] = [cls(reader_of(known))]
+        return _LAST[0]
+
     def _new(self) -> None:
-        self.words: dict[str, int] = {"\n": 0}
+        self.words = _Words()
+        self.words["\n"] = 0
         self.lows: dict[str, int] = {}
         self.rows: list[tuple] = []
         self.low, self.length = np.zeros((2, 1), np.int64)
@@ -160,8 +208,8 @@ class Sheets:
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """The words' numbers, those of words not seen before added."""
-        known = self.words
-        for w in set(words).difference(known):
+        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        for w in self.words.new:
             low = w.lower()
             votes = sum(1 << BITS * k for k in self.B._VOTES.get(low, ()))
             told = self.known.refusing.get(low)
@@ -169,24 +217,22 @@ class Sheets:
             if len(low) > 2 and low.islower():  # as a first word; else also only as it is
                 fresh = 1 + sum(1 << BITS * (k + 1) for k, x in enumerate(self.heard) if low not in self.known.words[x])
             self.rows.append((self.lows.setdefault(low, len(self.lows)), self.B._lex("r", low) if told is not None else 0, told or 0.0, told is not None, low in self.known.common, votes, fresh, fresh if w.islower() else 0, len(w)))
-            known[w] = len(known)
         if self.rows:
             names = ("low", "lex", "odds", "told", "common", "votes", "as_first", "as_other", "length")
             for name, x in zip(names, zip(*self.rows)):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.array(x, old.dtype)]))
-            self.rows = []
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            self.rows, self.words.new = [], []
+        return numbers
 
     def said(self, texts: list[str]) -> Counter:
         """In how many texts each word of refusals stands, and under "" how many different words all texts have."""
         n: Counter = Counter()
         plain = [t for t in texts if t.isascii() or not ("İ" in t or _VOTED[0].search(t))]
         if plain:
-            numbers = self._numbers(_PIECES.findall("\n".join(plain) + "\n"))
-            ends = numbers == 0
-            used = numbers[~ends]
-            pairs = uniques((np.cumsum(ends) << 32)[~ends] | self.low[used]) & 0xFFFFFFFF
+            words, sizes = words_of([t.replace("\n", " ") for t in plain])
+            used = self._numbers(words)
+            pairs = uniques((np.repeat(np.arange(len(plain)), sizes) << 32) | self.low[used]) & 0xFFFFFFFF
             n[""] = len(pairs)
             names = list(self.lows)
             told = np.unique(self.low[used[self.told[used]]])
@@ -203,13 +249,9 @@ class Sheets:
         B, n = self.B, len(texts)
         if len(self.words) > 1_000_000:
             self._new()
-        joined = "\n".join(texts) + "\n"
-        numbers = self._numbers(_PIECES.findall(joined))
-        ends = np.flatnonzero(numbers == 0)
-        w_clause = np.repeat(np.arange(n), np.diff(ends, prepend=-1) - 1)
-        w = numbers[numbers > 0]
-        n_words = np.diff(ends, prepend=-1) - 1
-        w_start = ends - n_words - np.arange(n)
+        words, n_words = words_of(texts)
+        w = self._numbers(words)
+        w_clause, w_start = np.repeat(np.arange(n), n_words), np.cumsum(n_words) - n_words
         head = w_start[n_words > 0]
         boxes = np.array(["[" in t or "{" in t for t in texts], bool)
 
@@ -284,6 +326,16 @@ class Sheets:
 
     def read(self, answers: list[tuple[str | None, list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(items, features, number of clauses by answer): the features of all clauses, which are numbered through, in any order."""
+        items, features, sizes, n = [], [], [], 0
+        for at in range(0, len(answers), AT_ONCE):
+            i, f, some = self._read(answers[at : at + AT_ONCE])
+            items.append(i + n)
+            features.append(f)
+            sizes.append(some)
+            n += some.sum()
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (items, features, sizes))
+
+    def _read(self, answers: list[tuple[str | None, list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         B, reader = self.B, self.reader
         n_clauses = np.array([len(cs) for _, cs in answers], np.int64)
         at_clause: dict[str, int] = {}

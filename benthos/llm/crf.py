@@ -49,13 +49,13 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 class Crf:
     def __init__(self, n_features: int, n_labels: int):
-        self.w = np.zeros((n_features, n_labels))
+        self.w = np.zeros((n_labels, n_features)).T  # by label in a row
         self.t = np.zeros((n_labels, n_labels))
         self.moments, self.steps = None, 0
 
     def emissions(self, items: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
         """(n, labels): the sum of the weights of each item's features; items and features are parallel."""
-        return np.stack([np.bincount(items, self.w[features, k], n) for k in range(self.w.shape[1])], 1)
+        return np.stack([np.bincount(items, self.w[:, k][features], n) for k in range(self.w.shape[1])], 1)
 
     def fit(self, sequences: list[list[list[int]]], labels: list[list[int]], epochs: int = 8, batch: int = 256, rate: float = 0.05, decay: float = 2e-6, seed: int = 1) -> Crf:
         """Called again, it goes on from where it is with other sequences."""
@@ -64,29 +64,24 @@ class Crf:
     def fit_on(self, given: Sequences, epochs: int = 8, batch: int = 256, rate: float = 0.05, decay: float = 2e-6, seed: int = 1) -> Crf:
         rng = np.random.default_rng(seed)
         state = self.moments = self.moments or [np.zeros_like(x) for x in (self.w, self.w, self.t, self.t)]
-        step, spare = self.steps, [np.empty_like(x) for x in (self.w, self.t)]
+        step = self.steps
+        blocks = [(x.T[j, at : at + 16384], m.T[j, at : at + 16384], v.T[j, at : at + 16384]) for x, m, v in ((self.w, *state[:2]),) for j in range(x.shape[1]) for at in range(0, len(x), 16384)]
+        spare = np.empty(16384)
         for _ in range(epochs):
             order = rng.permutation(len(given.sizes))
             for at in range(0, len(order), batch):
                 step += 1
                 part = order[at : at + batch]
                 gw, gt = self.gradient(given.some(part))
-                gw *= 1 / len(part)
-                gw += np.multiply(self.w, decay, out=spare[0])
+                shrink, grow = 1 / np.sqrt(1 - 0.999**step), rate / (1 - 0.9**step)
+                gs = [gw.T[j, at : at + 16384] for j in range(gw.shape[1]) for at in range(0, len(gw), 16384)]
+                for (x, m, v), g in zip(blocks, gs):
+                    s = spare[: len(x)]
+                    g *= 1 / len(part)
+                    g += np.multiply(x, decay, out=s)
+                    _adam(x, g, m, v, s, shrink, grow)
                 gt /= len(part)
-                for x, g, m, v, s in ((self.w, gw, state[0], state[1], spare[0]), (self.t, gt, state[2], state[3], spare[1])):
-                    m *= 0.9
-                    m += np.multiply(g, 0.1, out=s)
-                    v *= 0.999
-                    g *= g
-                    g *= 0.001
-                    v += g
-                    np.sqrt(v, out=s)
-                    s *= 1 / np.sqrt(1 - 0.999**step)
-                    s += 1e-8
-                    np.divide(m, s, out=s)
-                    s *= rate / (1 - 0.9**step)
-                    x -= s
+                _adam(self.t, gt, *state[2:], np.empty_like(gt), shrink, grow)
         self.steps = step
         return self
 
@@ -125,9 +120,7 @@ class Crf:
             diff[at[i]] = p / p.sum(1, keepdims=True)
         gold = given.gold
         diff[np.arange(len(gold)), gold] -= 1
-        gw = np.empty_like(self.w)
-        for j in range(k):
-            gw[:, j] = np.bincount(features, diff[:, j][items], len(gw))
+        gw = np.stack([np.bincount(features, diff[:, j][items], len(self.w)) for j in range(k)]).T
         follow = np.ones(len(gold), bool)
         follow[starts] = False
         after = np.flatnonzero(follow)
@@ -153,3 +146,18 @@ class Crf:
                 last = back[i][np.arange(len(at)), last]
                 out[at + i] = last
         return out
+
+
+def _adam(x: np.ndarray, g: np.ndarray, m: np.ndarray, v: np.ndarray, s: np.ndarray, shrink: float, grow: float) -> None:
+    m *= 0.9
+    m += np.multiply(g, 0.1, out=s)
+    v *= 0.999
+    g *= g
+    g *= 0.001
+    v += g
+    np.sqrt(v, out=s)
+    s *= shrink
+    s += 1e-8
+    np.divide(m, s, out=s)
+    s *= grow
+    x -= s
